@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagweave import wording as w
 from tagweave.functions.text import empty_to_null, strip
+from tagweave.schemas import RECOMMENDATION_LISTS, RECOMMENDATION_TEXTS
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -141,18 +142,37 @@ def request_document(
     )
 
 
-def advice_text(document: Column) -> Column:
-    """A recommendation document as readable text; a JSON string passes through."""
-    field = lambda path: empty_to_null(F.get_json_object(document, path))
-    rec = lambda name: field(f"$.recommendation.{name}")
+def read_advice(document: Column) -> Column:
+    """A recommendation document parsed once, or the text of a JSON string.
+
+    Keep it as a column of its own: fields taken straight from the parse would each repeat it.
+    """
+    fields = ",".join(
+        [f"{name}:string" for name in RECOMMENDATION_TEXTS]
+        + [f"{name}:array<string>" for name in RECOMMENDATION_LISTS]
+    )
+    wrapped = F.concat(F.lit('{"s":'), document, F.lit("}"))
+    return F.struct(
+        F.when(
+            F.rlike(document, F.lit(r'\A\s*"')), F.from_json(wrapped, "s string")["s"]
+        ).alias("text"),
+        F.from_json(document, f"response string, recommendation struct<{fields}>").alias("doc"),
+    )
+
+
+def advice_text(advice: Column) -> Column:
+    """What ``read_advice`` gave as readable text: seven sections, each only if it has content."""
+    given = advice["doc"]["recommendation"]
+    rec = lambda name: empty_to_null(given[name])
 
     def section(label: str, body: Column, end: str = "") -> Column:
         return F.concat(F.lit(label), body, F.lit(end))
 
     def bullets(label: str, name: str, end: str = "") -> Column:
-        entries = F.from_json(rec(name), "array<string>")
-        lines = F.transform(F.slice(entries, 1, 5), lambda e: F.concat(F.lit(w.ADVICE_BULLET), e))
-        return F.when(F.size(entries) > 0, section(label, F.array_join(lines, "\n"), end))
+        first = F.transform(
+            F.slice(given[name], 1, 5), lambda e: F.concat(F.lit(w.ADVICE_BULLET), e)
+        )
+        return F.when(F.size(given[name]) > 0, section(label, F.array_join(first, "\n"), end))
 
     def reason(parent: str) -> Column:
         return F.when(
@@ -162,7 +182,7 @@ def advice_text(document: Column) -> Column:
     formatted = F.concat_ws(
         "\n",
         F.lit(w.ADVICE_HEADER),
-        section("", field("$.response"), "\n"),
+        section("", empty_to_null(advice["doc"]["response"]), "\n"),
         section(w.ADVICE_NEAREST, rec("nearest_position")),
         reason("nearest_position"),
         section(w.ADVICE_NEXT, rec("recommended_position")),
@@ -172,8 +192,4 @@ def advice_text(document: Column) -> Column:
         bullets(w.ADVICE_COURSES, "recommended_courses", "\n"),
         bullets(w.ADVICE_OPENINGS, "current_vacancies"),
     )
-    is_string = F.rlike(document, F.lit(r'\A\s*"'))
-    as_string = F.from_json(
-        F.concat(F.lit('{"s":'), document, F.lit("}")), "s string"
-    )["s"]
-    return F.when(is_string, as_string).otherwise(formatted)
+    return F.coalesce(advice["text"], formatted)

@@ -28,9 +28,10 @@ def l2_norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """``v`` over its length as floats; a zero vector has no direction and gives null."""
-    length = l2_norm(v)
-    scaled = F.transform(v, lambda x: (x.cast("double") / length).cast("float"))
-    return F.when(length > 0, scaled)
+    # Repeated beside the values: inside a lambda the length would be computed per value.
+    lengths = F.array_repeat(l2_norm(v), F.size(v))
+    scaled = F.zip_with(v, lengths, lambda x, n: (x.cast("double") / n).cast("float"))
+    return F.when(F.exists(v, lambda x: x != 0), scaled)
 
 
 def similarity_score(distance: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,39 +19,36 @@ DIMENSION = 64
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
 
-def hashed_tokens(text: Column, dimension: int = DIMENSION) -> Column:
-    """Signed bucket numbers (1-based) of the words of a text, by the head of their MD5."""
-    words = F.filter(F.split(normalise_text(text), " "), lambda t: t != "")
-
-    def bucket(word: Column) -> Column:
-        number = F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("bigint")
-        place = (number % dimension + 1).cast("int")
-        return F.when((F.floor(number / dimension) % 2) == 0, place).otherwise(-place)
-
-    return F.transform(words, bucket)
+def _bucket(word: str, dimension: int) -> tuple[int, int]:
+    """Place and sign of a word, by the first 32 bits of its MD5."""
+    turns, place = divmod(int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big"), dimension)
+    return place, 1 - 2 * (turns % 2)
 
 
 def hashing_vector(text: Column, dimension: int = DIMENSION) -> Column:
     """Unit-length signed word counts; a text without words gives zeros.
 
-    Words are cut and hashed in the JVM; only their bucket numbers cross to numpy, which counts a
-    whole batch at once. No shuffle.
+    Texts are normalised in the JVM. A batch is split and dictionary-coded by Arrow, so each
+    distinct word of it is hashed once, and counted by one bincount. No shuffle.
     """
 
     @F.arrow_udf("array<float>")
-    def count(buckets: pa.Array) -> pa.Array:
-        n = len(buckets)
-        signed = buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        lengths = buckets.value_lengths().to_numpy(zero_copy_only=False)
-        place = np.repeat(np.arange(n), lengths) * dimension + np.abs(signed) - 1
-        dense = np.bincount(place, weights=np.sign(signed), minlength=n * dimension)
+    def count(texts: pa.Array) -> pa.Array:
+        n = len(texts)
+        words = pc.split_pattern(texts, " ")
+        row = np.repeat(np.arange(n), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        coded = words.flatten().dictionary_encode()
+        hashed = [_bucket(w, dimension) if w else (0, 0) for w in coded.dictionary.to_pylist()]
+        place, sign = np.array(hashed, dtype=np.int64).reshape(-1, 2).T
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        dense = np.bincount(row * dimension + place[code], sign[code], n * dimension)
         dense = dense.reshape(n, dimension)
         size = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
         scaled = (dense / np.where(size > 0, size, 1.0)).astype(np.float32)
         offsets = np.arange(0, (n + 1) * dimension, dimension, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(scaled.ravel()))
 
-    return count(hashed_tokens(text, dimension))
+    return count(normalise_text(text))
 
 
 def encode(

@@ -16,6 +16,7 @@ from tagweave.functions.documents import (
     json_text,
     message,
     no_strings,
+    read_advice,
     request_document,
     tolerant_json,
 )
@@ -133,8 +134,15 @@ def complete(requests: DataFrame, ask: Complete = echo, request: str = "request"
     )
 
 
+def with_advice(df: DataFrame, document: str, output: str = "advice") -> DataFrame:
+    """Add a recommendation document as readable text."""
+    parsed = df.withColumn("_advice", read_advice(F.col(document)))
+    return parsed.withColumn(output, advice_text(F.col("_advice"))).drop("_advice")
+
+
 def final_replies(completed: DataFrame) -> DataFrame:
     """Completions as readable advice; rows that already have a reply keep it."""
-    return completed.withColumn(
-        "reply", F.coalesce("reply", advice_text(tolerant_json(F.col("completion"))))
-    )
+    tidy = completed.withColumn("_document", tolerant_json(F.col("completion")))
+    advised = with_advice(tidy, "_document", "_text")
+    replied = F.coalesce("reply", F.when(F.col("completion").isNotNull(), F.col("_text")))
+    return advised.withColumn("reply", replied).drop("_document", "_text")

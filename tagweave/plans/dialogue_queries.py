@@ -21,7 +21,7 @@ from tagweave.plans.sql_text import (
     years_sql,
 )
 from tagweave.plans.views import turns
-from tagweave.sources.tables import read_table
+from tagweave.sources.tables import read_spread
 
 VERBS = ("the", "der", "la", "que")
 LABELS = ("and", "und")
@@ -46,7 +46,7 @@ def user_text(spark: SparkSession, sf: str) -> DataFrame:
 )
 def tags_of_documents(spark: SparkSession, sf: str) -> DataFrame:
     tags = extract_tags(F.col("text"), VERBS, LABELS)
-    return read_table(spark, sf, "documents").select("doc_id", F.explode(tags).alias("tag"))
+    return read_spread(spark, sf, "documents").select("doc_id", F.explode(tags).alias("tag"))
 
 
 PROFILES_SQL = f"""{USER_TEXT_SQL},

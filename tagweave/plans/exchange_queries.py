@@ -181,7 +181,8 @@ def format_recommendation(spark: SparkSession, sf: str) -> DataFrame:
     document = F.to_json(
         F.struct(F.col("requirement").alias("response"), recommendation.alias("recommendation"))
     )
-    return items(spark, sf).select("vacancy_id", d.advice_text(document).alias("advice"))
+    documents = items(spark, sf).select("vacancy_id", document.alias("document"))
+    return ops.with_advice(documents, "document").drop("document")
 
 
 def _advice_sql(hits: str) -> str:

@@ -20,7 +20,7 @@ from tagweave.plans.sql_text import (
 )
 from tagweave.plans.views import ITEMS_SQL, KEYWORDS, TEXT_ITEMS_SQL, items, text_items
 from tagweave.sources.landing import request_grid
-from tagweave.sources.tables import read_table
+from tagweave.sources.tables import read_spread, read_table
 
 CITIES = {"AFRICA": 1, "AMERICA": 2, "ASIA": 3, "EUROPE": 4, "MIDDLE EAST": 5}
 # Unit words that follow digits in the given texts.
@@ -196,7 +196,7 @@ def path_labels(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT doc_id, {normalise_sql('text')} AS normal FROM documents",
 )
 def normalise_text(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "documents").select(
+    return read_spread(spark, sf, "documents").select(
         "doc_id", t.normalise_text(F.col("text")).alias("normal")
     )
 
@@ -250,7 +250,7 @@ def experience_bucket(spark: SparkSession, sf: str) -> DataFrame:
 def extract_years(spark: SparkSession, sf: str) -> DataFrame:
     digits = t.year_digits(F.col("text"), UNITS)
     return (
-        read_table(spark, sf, "documents")
+        read_spread(spark, sf, "documents")
         .select("doc_id", digits.alias("digits"))
         .withColumn("level", t.level_from_years(F.col("digits")))
     )
@@ -264,7 +264,7 @@ def extract_years(spark: SparkSession, sf: str) -> DataFrame:
       FROM documents WHERE text <> '')""",
 )
 def split_tags(spark: SparkSession, sf: str) -> DataFrame:
-    documents = read_table(spark, sf, "documents")
+    documents = read_spread(spark, sf, "documents")
     parts = documents.select("doc_id", F.posexplode(t.split_tags(F.col("text"))).alias("p", "tag"))
     return parts.select("doc_id", F.col("p").cast("bigint").alias("pos"), "tag")
 

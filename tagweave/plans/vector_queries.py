@@ -23,7 +23,7 @@ from tagweave.plans.views import (
     text_items,
     vectors,
 )
-from tagweave.sources.tables import read_table
+from tagweave.sources.tables import read_spread, read_table
 
 
 def as_pairs(hits: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def entries_sql(cte: str, key: str) -> str:
     f"WITH {encode_sql('enc', 'documents', 'doc_id', 'text')} {entries_sql('enc', 'doc_id')}",
 )
 def encode_hashing(spark: SparkSession, sf: str) -> DataFrame:
-    documents = read_table(spark, sf, "documents").select("doc_id", "text")
+    documents = read_spread(spark, sf, "documents").select("doc_id", "text")
     return entries(encode(documents, "text"), "doc_id")
 
 

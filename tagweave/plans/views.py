@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.text import salary_text
 from tagweave.session import scratch_path
-from tagweave.sources.tables import read_table
+from tagweave.sources.tables import read_spread, read_table
 
 # Crawl keywords of the landed listings: every item is listed under its status and its priority.
 KEYWORDS = (
@@ -119,7 +119,7 @@ items AS (
 
 def text_items(spark: SparkSession, sf: str) -> DataFrame:
     """One item per document: its whole text, with the item fields of the order of that number."""
-    documents = read_table(spark, sf, "documents").select(
+    documents = read_spread(spark, sf, "documents").select(
         F.col("doc_id").alias("vacancy_id"),
         F.col("text").alias("requirement"),
         F.col("source").alias("responsibility"),

@@ -9,6 +9,17 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row.
+
+    A file with fewer splits than the session has cores is dealt out to all of them; a table with
+    enough splits is read as it is, without a shuffle.
+    """
+    table = read_table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
