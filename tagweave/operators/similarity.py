@@ -140,17 +140,23 @@ def top_k_per_cell(
     k: int,
     metric: str = "l2",
     tile_rows: int = TILE_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Per (cell, query_id) the ``k`` nearest members of that cell.
 
     ``corpus(cell, id, vector)`` and ``queries(cell, query_id, vector)``. Both sides of a cell are
     split into parts of about ``tile_rows`` rows; every pair of parts is one tile. A hot cell
     becomes many tiles, and a tile emits at most k rows per query, never its pairs.
+
+    ``sizes(cell, members, askers)`` saves counting where the caller knows the sizes; they only
+    decide how finely a cell is cut, so they need not be exact, but must name every shared cell.
     """
-    parts = lambda n: F.ceil(F.col(n) / tile_rows).cast("int")
-    members = corpus.groupBy("cell").agg(F.count("*").alias("members"))
-    askers = queries.groupBy("cell").agg(F.count("*").alias("askers"))
-    plan = members.join(askers, "cell").select(
+    parts = lambda n: F.greatest(F.ceil(F.col(n) / tile_rows), F.lit(1)).cast("int")
+    if sizes is None:
+        members = corpus.groupBy("cell").agg(F.count("*").alias("members"))
+        askers = queries.groupBy("cell").agg(F.count("*").alias("askers"))
+        sizes = members.join(askers, "cell")
+    plan = sizes.select(
         "cell", parts("members").alias("c_parts"), parts("askers").alias("q_parts")
     )
     all_parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
