@@ -13,6 +13,7 @@ Ranks are by (distance rounded to 9 digits, id), so ties and last-bit noise cann
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +25,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tagweave.session import stage
+from tagweave.sources.small import broadcast_if_small
 
 MAX_BROADCAST_QUERIES = 2048
 MAX_BROADCAST_VALUES = 4_000_000
 TILE_ROWS = 4096
-PIVOTS = 64
-_WORKING_VALUES = 16_000_000
+MAX_PIVOTS = 1024
+_WORKING_VALUES = 8_000_000
 
 
 def rank_key(distance: Column) -> Column:
@@ -149,23 +151,32 @@ def top_k_per_cell(
     becomes many tiles, and a tile emits at most k rows per query, never its pairs.
 
     ``sizes(cell, members, askers)`` saves counting where the caller knows the sizes; they only
-    decide how finely a cell is cut, so they need not be exact, but must name every shared cell.
+    decide how finely a cell is cut, so they need not be exact.
     """
-    parts = lambda n: F.greatest(F.ceil(F.col(n) / tile_rows), F.lit(1)).cast("int")
     if sizes is None:
         members = corpus.groupBy("cell").agg(F.count("*").alias("members"))
         askers = queries.groupBy("cell").agg(F.count("*").alias("askers"))
         sizes = members.join(askers, "cell")
-    plan = sizes.select(
-        "cell", parts("members").alias("c_parts"), parts("askers").alias("q_parts")
+    # Only cells larger than a tile need cutting: at most (all rows / tile_rows) of them.
+    large = broadcast_if_small(
+        sizes.filter(F.greatest("members", "askers") > tile_rows).select(
+            "cell",
+            F.ceil(F.col("members") / tile_rows).cast("int").alias("c_parts"),
+            F.ceil(F.col("askers") / tile_rows).cast("int").alias("q_parts"),
+        )
     )
+
+    def cut(side: DataFrame) -> DataFrame:
+        known = side.join(large, "cell", "left")
+        return known.withColumns({n: F.coalesce(n, F.lit(1)) for n in ("c_parts", "q_parts")})
+
     all_parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own_part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
 
     id_type = corpus.schema["id"].dataType
     query_type = queries.schema["query_id"].dataType
     cell_type = corpus.schema["cell"].dataType
-    corpus_side = corpus.join(plan, "cell").select(
+    corpus_side = cut(corpus).select(
         "cell",
         own_part("id", "c_parts").alias("c_part"),
         all_parts("q_parts").alias("q_part"),
@@ -174,7 +185,7 @@ def top_k_per_cell(
         F.lit(None).cast(query_type).alias("query_id"),
         "vector",
     )
-    query_side = queries.join(plan, "cell").select(
+    query_side = cut(queries).select(
         "cell",
         all_parts("c_parts").alias("c_part"),
         own_part("query_id", "q_parts").alias("q_part"),
@@ -257,13 +268,18 @@ def _gaps(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def knn_join(
-    queries: DataFrame, corpus: DataFrame, k: int, pivots: int = PIVOTS, tile_rows: int = TILE_ROWS
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    pivots: int | None = None,
+    tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Exact kNN for a query table of any size.
 
     Equal vectors are looked up once, and of equal corpus vectors only the k smallest ids can
     appear in a result, so copies do not multiply the work. What goes through the driver is
-    ``pivots`` vectors and one (count, radius) pair per pivot.
+    ``pivots`` vectors (the root of the corpus size, at most ``MAX_PIVOTS``) and one (count,
+    radius) pair per pivot.
     """
     id_type = corpus.schema["id"].dataType
     query_type = queries.schema["query_id"].dataType
@@ -277,6 +293,8 @@ def knn_join(
     points = queries.groupBy(F.xxhash64("vector").alias("h"), "vector").agg(
         F.min("query_id").alias("query_id")
     )
+    if pivots is None:
+        pivots = min(MAX_PIVOTS, max(1, math.isqrt(corpus.count())))
     centres = _pivots(corpus, pivots)
     if len(centres) == 0:
         schema = _hits_schema(("query_id", query_type), ("id", id_type), ("distance", T.DoubleType()))
@@ -320,7 +338,7 @@ def knn_join(
                 first = reached.argmax(axis=1)
                 rows = np.arange(len(gaps))
                 reach = far[rows, order[rows, first]]
-                margin = 1e-6 * (1.0 + far.max())
+                margin = 4e-5 + 1e-6 * far.max()
                 row, cell = np.nonzero(gaps - radii <= reach[:, None] + margin)
                 picked = batch.take(pa.array(row))
                 out = [pa.array(used[cell].astype(np.int32)), *picked.columns]

@@ -259,7 +259,7 @@ asked AS (SELECT id AS query_id, v AS q FROM ask)"""
 )
 def search_by_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Every conversation's profile against every document."""
-    corpus = text_items(spark, sf)
+    corpus = stage(text_items(spark, sf), "corpus")
     asked = profiles(spark, sf).withColumnRenamed("conv_id", "query_id")
     return found(search.search_by_profile(asked, search.fit_index(corpus), corpus, 5))
 
@@ -272,7 +272,7 @@ _GOALS_ASKED_SQL = f"""{GOALS_SQL}, known AS (SELECT * FROM goals WHERE goals IS
 
 def _goals_advice(spark: SparkSession, sf: str) -> tuple[DataFrame, search.ListAdvice]:
     """Goals of the conversations that name them, and their recommendations."""
-    corpus = text_items(spark, sf)
+    corpus = stage(text_items(spark, sf), "corpus")
     asked = goals(spark, sf).filter(F.col("goals").isNotNull())
     asked = asked.withColumnRenamed("conv_id", "query_id")
     advice = search.recommend_list(asked, search.fit_index(corpus), corpus, 10)

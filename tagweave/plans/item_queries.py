@@ -35,7 +35,7 @@ def joined(name: str) -> Column:
     "keyword_grid",
     f"""WITH {ITEMS_SQL},
       cities(city, city_id) AS (VALUES {', '.join(f"('{c}', {i})" for c, i in CITIES.items())}),
-      keywords AS (SELECT DISTINCT industry AS keyword FROM items)
+      keywords AS (SELECT DISTINCT c_mktsegment AS keyword FROM customer)
       SELECT keyword, city, city_id, count(vacancy_id) AS items
       FROM keywords, cities LEFT JOIN items ON industry = keyword AND loc = city
       GROUP BY ALL""",
@@ -43,7 +43,8 @@ def joined(name: str) -> Column:
 def keyword_grid(spark: SparkSession, sf: str) -> DataFrame:
     found = items(spark, sf).select(F.col("industry").alias("keyword"), F.col("loc").alias("city"))
     counts = found.groupBy("keyword", "city").agg(F.count("*").alias("items"))
-    grid = request_grid(counts.select("keyword").distinct(), CITIES)
+    segments = read_table(spark, sf, "customer").select(F.col("c_mktsegment").alias("keyword"))
+    grid = request_grid(segments.distinct(), CITIES)
     return grid.join(counts, ["keyword", "city"], "left").fillna(0, ["items"])
 
 
@@ -67,19 +68,18 @@ def type_pass(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def listings(spark: SparkSession, sf: str) -> DataFrame:
-    """One frame per crawl keyword, put together; every order is listed twice."""
-    orders = read_table(spark, sf, "orders")
-    frames = [
-        orders.filter(F.col(column) == word).select(
+    """Two crawls put together, one by status and one by priority; every order is listed twice."""
+    order = F.array_position(F.array(*[F.lit(k) for k in KEYWORDS]), F.col("source_vacancy"))
+    crawls = [
+        read_table(spark, sf, "orders").select(
             F.col("o_orderkey").alias("vacancy_id"),
             F.col("o_totalprice").alias("price"),
-            F.lit(word).alias("source_vacancy"),
-            F.lit(i).alias("keyword_order"),
+            F.col(column).alias("source_vacancy"),
         )
-        for i, word in enumerate(KEYWORDS)
-        for column in ["o_orderstatus" if len(word) == 1 else "o_orderpriority"]
+        for column in ("o_orderstatus", "o_orderpriority")
     ]
-    return ops.union_items(frames)
+    listed = ops.union_items(crawls).withColumn("keyword_order", order)
+    return listed.filter(F.col("keyword_order") > 0)
 
 
 _LISTINGS_SQL = f"""

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave import schemas, wording
 from tagweave.functions.documents import first_industry, parse_tags
+from tagweave.sources.small import broadcast_if_small
 
 
 def request_grid(keywords: DataFrame, cities: dict[str, int] = wording.CITIES) -> DataFrame:
@@ -44,28 +45,38 @@ def crawled_pages(pages: DataFrame) -> DataFrame:
     """The pages a page-by-page crawl would have kept.
 
     A crawl of a keyword starts at page 0 and ends before the first empty page, before the first
-    missing page, or after the first page whose number has reached its own page count. Only
-    (keyword, page) numbers are shuffled to find the end; one keyword may own most pages.
+    missing page, or after the first page whose number has reached its own page count. The end is
+    found by two aggregations over page numbers, which are combined before they are shuffled.
     """
-    found = pages.select(
-        "keyword", "page", (F.coalesce(F.size("items"), F.lit(0)) > 0).alias("filled"),
-        (F.col("page") >= F.col("pages")).alias("final"),
-    )
-    before_first = found.select("keyword").distinct().select(
-        "keyword", F.lit(-1).alias("page"), F.lit(True).alias("filled"), F.lit(False).alias("final")
-    )
-    steps = found.unionByName(before_first)
-    following = found.filter("filled").select(
-        "keyword", (F.col("page") - 1).alias("page"), F.lit(True).alias("goes_on")
+    filled = F.coalesce(F.size("items"), F.lit(0)) > 0
+    final = F.coalesce(F.col("page") >= F.col("pages"), F.lit(False))
+    yes, no = F.lit(True), F.lit(False)
+
+    def mark(at: Column, stop: Column, last: Column, goes_on: Column) -> Column:
+        """At page ``at`` the crawl may stand, must end, or finds a filled page behind it."""
+        return F.struct(
+            at.cast("int").alias("at"),
+            stop.alias("stop"),
+            last.alias("last"),
+            goes_on.alias("goes_on"),
+        )
+
+    marks = F.array(
+        mark(F.lit(-1), yes, no, no),
+        mark(F.col("page"), yes, final, no),
+        mark(F.col("page") - 1, no, no, filled),
     )
     ends = (
-        steps.join(following, ["keyword", "page"], "left")
-        .filter(F.col("goes_on").isNull() | F.col("final"))
+        pages.select("keyword", marks.alias("marks"))
+        .select("keyword", F.inline("marks"))
+        .groupBy("keyword", "at")
+        .agg(*[F.max(c).alias(c) for c in ("stop", "last", "goes_on")])
+        .filter(F.col("stop") & (F.col("last") | ~F.col("goes_on")))
         .groupBy("keyword")
-        .agg(F.min("page").alias("last_page"))
+        .agg(F.min("at").alias("last_page"))
     )
     return (
-        pages.join(ends, "keyword")
+        pages.join(broadcast_if_small(ends), "keyword")
         .filter(F.col("page") <= F.col("last_page"))
         .drop("last_page")
     )
