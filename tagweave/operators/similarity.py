@@ -29,9 +29,10 @@ from tagweave.sources.small import broadcast_if_small
 
 MAX_BROADCAST_QUERIES = 2048
 MAX_BROADCAST_VALUES = 4_000_000
-TILE_ROWS = 4096
+TILE_ROWS = 8192
 MAX_PIVOTS = 1024
-_WORKING_VALUES = 8_000_000
+ROUTED_ROWS = 10_000
+_WORKING_VALUES = 2_000_000
 
 
 def rank_key(distance: Column) -> Column:
@@ -55,33 +56,46 @@ def _leading(groups: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(groups)) - np.repeat(starts, lengths) < k
 
 
+def _exact(queries: np.ndarray, rows: np.ndarray, block: np.ndarray, cols: np.ndarray, metric: str):
+    """Distances of the given pairs, term by term, a bounded number of pairs at a time."""
+    out = np.empty(len(rows))
+    step = max(1, _WORKING_VALUES // block.shape[1])
+    for at in range(0, len(rows), step):
+        q, c = queries[rows[at : at + step]], block[cols[at : at + step]]
+        out[at : at + step] = -(q * c).sum(axis=1) if metric == "dot" else ((q - c) ** 2).sum(axis=1)
+    return out
+
+
 def _nearest(
     codes: np.ndarray, block: np.ndarray, queries: np.ndarray, k: int, metric: str
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, block row, distance) of the ``k`` best block rows per query row.
 
-    A matrix product makes a shortlist that is never too short; distances of the shortlist are
-    then computed term by term, so they do not depend on how the data was cut into blocks.
+    A single-precision matrix product makes a shortlist, widened by its error bound so that it is
+    never too short. Distances of the shortlist are then computed term by term in double, so they
+    do not depend on how the data was cut into blocks.
     """
     members, width = block.shape
-    step = max(1, _WORKING_VALUES // max(1, members * width))
+    step = max(1, _WORKING_VALUES // members)
     kth = min(k, members) - 1
-    sizes = (block * block).sum(axis=1)
+    squares = (block * block).sum(axis=1)
+    longest = np.sqrt(squares.max())
+    small, small_squares = block.astype(np.float32).T, squares.astype(np.float32)
+    unit_error = 4 * (width + 4) * 6e-8
     found = []
     for start in range(0, len(queries), step):
         part = queries[start : start + step]
-        products = part @ block.T
+        rough = part.astype(np.float32) @ small
         if metric == "dot":
-            rough = -products
+            np.negative(rough, out=rough)
         else:
-            rough = (part * part).sum(axis=1)[:, None] + sizes[None, :] - 2 * products
-        slack = 2e-9 + 1e-12 * (np.abs(rough).max() + sizes.max())
+            rough *= -2
+            rough += small_squares
+        lengths = np.sqrt((part * part).sum(axis=1))
+        slack = 2e-9 + unit_error * (lengths * longest + longest * longest)
         limit = np.partition(rough, kth, axis=1)[:, kth] + slack
-        rows, cols = np.nonzero(rough <= limit[:, None])
-        if metric == "dot":
-            exact = -(part[rows] * block[cols]).sum(axis=1)
-        else:
-            exact = ((part[rows] - block[cols]) ** 2).sum(axis=1)
+        rows, cols = np.nonzero(rough <= limit.astype(np.float32)[:, None])
+        exact = _exact(part, rows, block, cols, metric)
         order = np.lexsort((codes[cols], np.round(exact, 9), rows))
         order = order[_leading(rows[order], k)]
         found.append((rows[order] + start, cols[order], exact[order]))
@@ -278,8 +292,8 @@ def knn_join(
 
     Equal vectors are looked up once, and of equal corpus vectors only the k smallest ids can
     appear in a result, so copies do not multiply the work. What goes through the driver is
-    ``pivots`` vectors (the root of the corpus size, at most ``MAX_PIVOTS``) and one (count,
-    radius) pair per pivot.
+    ``pivots`` vectors (one per tile of the corpus, at most ``MAX_PIVOTS``) and one (count, radius)
+    pair per pivot.
     """
     id_type = corpus.schema["id"].dataType
     query_type = queries.schema["query_id"].dataType
@@ -290,11 +304,14 @@ def knn_join(
         .filter(F.col("copy") <= k)
         .drop("copy")
     )
-    points = queries.groupBy(F.xxhash64("vector").alias("h"), "vector").agg(
-        F.min("query_id").alias("query_id")
+    points = stage(
+        queries.groupBy(F.xxhash64("vector").alias("h"), "vector").agg(
+            F.min("query_id").alias("query_id")
+        ),
+        "points",
     )
     if pivots is None:
-        pivots = min(MAX_PIVOTS, max(1, math.isqrt(corpus.count())))
+        pivots = min(MAX_PIVOTS, math.ceil(corpus.count() / tile_rows))
     centres = _pivots(corpus, pivots)
     if len(centres) == 0:
         schema = _hits_schema(("query_id", query_type), ("id", id_type), ("distance", T.DoubleType()))
@@ -328,30 +345,53 @@ def knn_join(
     radii = np.array([row["r"] for row in cells], dtype=np.float64)
     centres_used = centres[used]
 
+    def visited(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) pairs a search cannot skip: closer than cells known to hold k members."""
+        gaps = _gaps(_matrix(vectors), centres_used)
+        far = gaps + radii
+        order = far.argsort(axis=1)
+        reached = counts[order].cumsum(axis=1) >= min(k, counts.sum())
+        rows = np.arange(len(gaps))
+        reach = far[rows, order[rows, reached.argmax(axis=1)]]
+        # Room for rounding: distances equal to 9 digits are ties, and the smaller id wins.
+        margin = 4e-5 + 1e-6 * far.max()
+        return np.nonzero(gaps - radii <= reach[:, None] + margin)
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                gaps = _gaps(_matrix(batch.column(1)), centres_used)
-                far = gaps + radii
-                order = far.argsort(axis=1)
-                reached = counts[order].cumsum(axis=1) >= min(k, counts.sum())
-                first = reached.argmax(axis=1)
-                rows = np.arange(len(gaps))
-                reach = far[rows, order[rows, first]]
-                margin = 4e-5 + 1e-6 * far.max()
-                row, cell = np.nonzero(gaps - radii <= reach[:, None] + margin)
-                picked = batch.take(pa.array(row))
-                out = [pa.array(used[cell].astype(np.int32)), *picked.columns]
-                yield pa.RecordBatch.from_arrays(out, names=["cell", "query_id", "vector"])
-
-    routed = stage(
-        points.select("query_id", "vector").mapInArrow(
-            route,
-            _hits_schema(("cell", T.IntegerType()), ("query_id", query_type), ("vector", vector)),
-        ),
-        "routes",
+                row, cell = visited(batch.column(1))
+                # Wide rows are multiplied here, so they leave in small batches.
+                for at in range(0, len(row), ROUTED_ROWS):
+                    picked = batch.take(pa.array(row[at : at + ROUTED_ROWS]))
+                    cells = pa.array(used[cell[at : at + ROUTED_ROWS]].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [cells, *picked.columns], names=["cell", "query_id", "vector"]
+                    )
+
+    def count_routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(used), dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += np.bincount(visited(batch.column(1))[1], minlength=len(used))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used.astype(np.int32)), pa.array(counts), pa.array(total)],
+            names=["cell", "members", "askers"],
+        )
+
+    asked = points.select("query_id", "vector")
+    routed = asked.mapInArrow(
+        route,
+        _hits_schema(("cell", T.IntegerType()), ("query_id", query_type), ("vector", vector)),
+    )
+    sizes = (
+        asked.mapInArrow(count_routes, "cell int, members bigint, askers bigint")
+        .groupBy("cell", "members")
+        .agg(F.sum("askers").alias("askers"))
+    )
+    hits = top_k_per_cell(
+        celled.select("cell", "id", "vector"), routed, k, tile_rows=tile_rows, sizes=sizes
     )
-    hits = top_k_per_cell(celled.select("cell", "id", "vector"), routed, k, tile_rows=tile_rows)
     best = _ranked(hits.select("query_id", "id", "distance"), ["query_id"], k)
     who = queries.select("query_id", F.xxhash64("vector").alias("h"), "vector").join(
         points.withColumnRenamed("query_id", "asked"), ["h", "vector"]
