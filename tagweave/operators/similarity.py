@@ -298,11 +298,12 @@ def knn_join(
     id_type = corpus.schema["id"].dataType
     query_type = queries.schema["query_id"].dataType
     same = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("id")
-    members = (
+    members = stage(
         corpus.select("id", "vector")
         .withColumn("copy", F.row_number().over(same))
         .filter(F.col("copy") <= k)
-        .drop("copy")
+        .drop("copy"),
+        "members",
     )
     points = stage(
         queries.groupBy(F.xxhash64("vector").alias("h"), "vector").agg(
@@ -311,8 +312,8 @@ def knn_join(
         "points",
     )
     if pivots is None:
-        pivots = min(MAX_PIVOTS, math.ceil(corpus.count() / tile_rows))
-    centres = _pivots(corpus, pivots)
+        pivots = min(MAX_PIVOTS, math.ceil(members.count() / tile_rows))
+    centres = _pivots(members, pivots)
     if len(centres) == 0:
         schema = _hits_schema(("query_id", query_type), ("id", id_type), ("distance", T.DoubleType()))
         return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
@@ -327,17 +328,11 @@ def knn_join(
                 yield pa.RecordBatch.from_arrays(out, names=["cell", "id", "vector", "radius"])
 
     vector = T.ArrayType(T.FloatType())
-    celled = stage(
-        members.mapInArrow(
-            assign,
-            _hits_schema(
-                ("cell", T.IntegerType()),
-                ("id", id_type),
-                ("vector", vector),
-                ("radius", T.DoubleType()),
-            ),
+    celled = members.mapInArrow(
+        assign,
+        _hits_schema(
+            ("cell", T.IntegerType()), ("id", id_type), ("vector", vector), ("radius", T.DoubleType())
         ),
-        "cells",
     )
     cells = celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("r")).collect()
     used = np.array([row["cell"] for row in cells], dtype=np.int64)
