@@ -14,6 +14,9 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
+# All-pairs joins, row-at-a-time Python, and whole results in one task.
+UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "Exchange SinglePartition")
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -37,6 +40,9 @@ def _sorted(rows: list[tuple]) -> list[tuple]:
 
 def spark_rows(spark: SparkSession, query, sf_dir: str) -> tuple[list[str], list[tuple]]:  # noqa: ANN001
     frame = query(spark, sf_dir)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    for operator in UNWANTED:
+        assert operator not in plan, f"{operator} in the plan"
     columns = sorted(frame.columns)
     return columns, _sorted([tuple(r) for r in frame.select(*columns).collect()])
 
