@@ -281,6 +281,33 @@ def _gaps(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0.0))
 
 
+def _keyed(df: DataFrame, key: str) -> DataFrame:
+    vector = F.col("vector").cast("array<float>").alias("vector")
+    return df.select(key, vector).filter(F.col("vector").isNotNull())
+
+
+def _without_copies(corpus: DataFrame, k: int) -> DataFrame:
+    """The corpus with at most k ids per vector: ties go to the smallest ids, so no other can win."""
+    same = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("id")
+    numbered = corpus.withColumn("copy", F.row_number().over(same))
+    return stage(numbered.filter(F.col("copy") <= k).drop("copy"), "members")
+
+
+def _points(queries: DataFrame) -> DataFrame:
+    """One query per vector, named after the smallest of its queries."""
+    grouped = queries.groupBy(F.xxhash64("vector").alias("h"), "vector")
+    return stage(grouped.agg(F.min("query_id").alias("query_id")), "points")
+
+
+def _for_every_query(best: DataFrame, queries: DataFrame, points: DataFrame) -> DataFrame:
+    """The answers to ``points`` given to all queries with the same vector."""
+    asked = points.withColumnRenamed("query_id", "asked")
+    who = queries.select("query_id", F.xxhash64("vector").alias("h"), "vector")
+    same = who.join(asked, ["h", "vector"]).select("query_id", "asked")
+    answers = best.withColumnRenamed("query_id", "asked")
+    return same.join(answers, "asked").select("query_id", "id", "distance", "rank")
+
+
 def knn_join(
     queries: DataFrame,
     corpus: DataFrame,
@@ -295,22 +322,10 @@ def knn_join(
     ``pivots`` vectors (one per tile of the corpus, at most ``MAX_PIVOTS``) and one (count, radius)
     pair per pivot.
     """
+    queries, corpus = _keyed(queries, "query_id"), _keyed(corpus, "id")
     id_type = corpus.schema["id"].dataType
     query_type = queries.schema["query_id"].dataType
-    same = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("id")
-    members = stage(
-        corpus.select("id", "vector")
-        .withColumn("copy", F.row_number().over(same))
-        .filter(F.col("copy") <= k)
-        .drop("copy"),
-        "members",
-    )
-    points = stage(
-        queries.groupBy(F.xxhash64("vector").alias("h"), "vector").agg(
-            F.min("query_id").alias("query_id")
-        ),
-        "points",
-    )
+    members, points = _without_copies(corpus, k), _points(queries)
     if pivots is None:
         pivots = min(MAX_PIVOTS, math.ceil(members.count() / tile_rows))
     centres = _pivots(members, pivots)
@@ -388,12 +403,7 @@ def knn_join(
         celled.select("cell", "id", "vector"), routed, k, tile_rows=tile_rows, sizes=sizes
     )
     best = _ranked(hits.select("query_id", "id", "distance"), ["query_id"], k)
-    who = queries.select("query_id", F.xxhash64("vector").alias("h"), "vector").join(
-        points.withColumnRenamed("query_id", "asked"), ["h", "vector"]
-    )
-    return who.select("query_id", "asked").join(
-        best.withColumnRenamed("query_id", "asked"), "asked"
-    ).select("query_id", "id", "distance", "rank")
+    return _for_every_query(best, queries, points)
 
 
 def knn(
@@ -404,8 +414,7 @@ def knn(
     The number and size of the queries are checked before they are sent to every task; beyond the
     bounds ``knn_join`` takes over. Both are exact.
     """
-    queries = queries.select("query_id", "vector").filter(F.col("vector").isNotNull())
-    corpus = corpus.select("id", "vector").filter(F.col("vector").isNotNull())
+    queries, corpus = _keyed(queries, "query_id"), _keyed(corpus, "id")
     rows = _small_matrix(queries, max_queries)
     if rows is None:
         return knn_join(queries, corpus, k)
@@ -433,6 +442,8 @@ def knn_lsh(
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    queries = _keyed(queries, "query_id")
+    members, points = _without_copies(_keyed(corpus, "id"), k), _points(queries)
     lsh = BucketedRandomProjectionLSH(
         inputCol="features",
         outputCol="hashes",
@@ -440,10 +451,10 @@ def knn_lsh(
         numHashTables=tables,
         seed=seed,
     )
-    featured = lambda df: df.filter(F.col("vector").isNotNull()).withColumn(
+    featured = lambda df: df.withColumn(
         "features", array_to_vector(F.col("vector").cast("array<double>"))
     )
-    model = lsh.fit(featured(corpus))
+    model = lsh.fit(featured(members))
 
     def buckets(df: DataFrame, key: str) -> DataFrame:
         hashed = model.transform(featured(df)).select(key, "vector", F.posexplode("hashes"))
@@ -452,6 +463,6 @@ def knn_lsh(
             F.concat_ws(":", F.col("pos").cast("string"), bucket).alias("cell"), key, "vector"
         )
 
-    hits = top_k_per_cell(buckets(corpus, "id"), buckets(queries, "query_id"), k)
+    hits = top_k_per_cell(buckets(members, "id"), buckets(points, "query_id"), k)
     merged = hits.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
-    return _ranked(merged, ["query_id"], k)
+    return _for_every_query(_ranked(merged, ["query_id"], k), queries, points)
