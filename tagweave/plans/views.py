@@ -18,7 +18,12 @@ KEYWORDS = (
 PAGE_ITEMS = 100
 
 
-def _lines(spark: SparkSession, sf: str) -> DataFrame:
+def _only(df: DataFrame, key: str, keys: DataFrame | None) -> DataFrame:
+    """The rows whose order is among ``keys(o_orderkey)``; all rows without keys."""
+    return df if keys is None else df.join(keys.withColumnRenamed("o_orderkey", key), key, "left_semi")
+
+
+def _lines(spark: SparkSession, sf: str, keys: DataFrame | None = None) -> DataFrame:
     """Title, tags and kind of the orders that have lines.
 
     Lines are cut to distinct (order, part) pairs before the join, so repeated lines of one part
@@ -30,7 +35,8 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
         "p_name",
         "p_type",
     )
-    pairs = read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    lines = read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    pairs = _only(lines, "l_orderkey", keys).distinct()
     return (
         pairs.join(parts, "l_partkey")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
@@ -42,24 +48,24 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _orders(spark: SparkSession, sf: str) -> DataFrame:
+def _orders(spark: SparkSession, sf: str, keys: DataFrame | None = None) -> DataFrame:
     region = read_table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey")
     nation = read_table(spark, sf, "nation").join(region, "n_regionkey")
     customer = read_table(spark, sf, "customer").join(
         nation.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey"
     )
-    return read_table(spark, sf, "orders").join(
+    return _only(read_table(spark, sf, "orders"), "o_orderkey", keys).join(
         customer.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey"
     )
 
 
-def items(spark: SparkSession, sf: str) -> DataFrame:
-    """One item per order."""
+def items(spark: SparkSession, sf: str, keys: DataFrame | None = None) -> DataFrame:
+    """One item per order, or per order among ``keys``, which are applied before the joins."""
     priced = F.col("o_orderstatus") != "P"
     base = F.when(priced, F.floor("o_totalprice"))
     return (
-        _orders(spark, sf)
-        .join(_lines(spark, sf), "o_orderkey", "left")
+        _orders(spark, sf, keys)
+        .join(_lines(spark, sf, keys), "o_orderkey", "left")
         .withColumns(
             {
                 "salary_from": base,
@@ -124,7 +130,8 @@ def text_items(spark: SparkSession, sf: str) -> DataFrame:
         F.col("text").alias("requirement"),
         F.col("source").alias("responsibility"),
     )
-    fields = items(spark, sf).select(
+    keys = read_table(spark, sf, "documents").select(F.col("doc_id").alias("o_orderkey"))
+    fields = items(spark, sf, keys).select(
         "vacancy_id", "title", "company", "industry", "skills", "experience", "salary_str"
     )
     return documents.join(fields, "vacancy_id", "left")
@@ -169,9 +176,10 @@ L2_SQL = "list_distance({a}::DOUBLE[], {b}::DOUBLE[]) ** 2"
 
 def graph_items(spark: SparkSession, sf: str) -> DataFrame:
     """Items that have a vector and a title."""
+    embedded = vectors(spark, sf).withColumnRenamed("id", "vacancy_id")
     return (
-        items(spark, sf)
-        .join(vectors(spark, sf).withColumnRenamed("id", "vacancy_id"), "vacancy_id")
+        items(spark, sf, embedded.select(F.col("vacancy_id").alias("o_orderkey")))
+        .join(embedded, "vacancy_id")
         .filter(F.col("title").isNotNull())
     )
 
