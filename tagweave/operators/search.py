@@ -15,6 +15,7 @@ from tagweave.functions.vectors import similarity_score
 from tagweave.operators.encoding import encode
 from tagweave.operators.items import filter_equal, profiled, with_defaults
 from tagweave.operators.similarity import knn, rank_key
+from tagweave.session import stage
 
 Embed = Callable[[DataFrame, str], DataFrame]
 
@@ -58,12 +59,13 @@ def search(
     if mode == "pre":
         keyed = filter_equal(keyed, filters)
         index = index.join(keyed.select("id"), "id", "left_semi")
-        hits = knn(queries, index, top_n).drop("rank").join(keyed, "id")
+        near = knn(queries, index, top_n)
     elif mode == "post":
-        hits = knn(queries, index, OVERFETCH * top_n).drop("rank").join(keyed, "id")
-        hits = filter_equal(hits, filters)
+        near = knn(queries, index, OVERFETCH * top_n)
     else:
         raise ValueError(f"unknown mode: {mode}")
+    # Written first: a join that knows how few hits there are need not shuffle the items.
+    hits = filter_equal(stage(near.drop("rank"), "near").join(keyed, "id"), filters)
     window = Window.partitionBy("query_id").orderBy(rank_key(F.col("distance")), "id")
     return (
         hits.withColumn("rank", F.row_number().over(window))

@@ -43,13 +43,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/tagweave/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where several branches need one costly result: the written table cuts the lineage
-    and, unlike a cache, outlives the executors that made it.
+    and, unlike a cache, outlives the executors that made it. Its size is known to the planner,
+    which then broadcasts it only if it is small.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -58,20 +58,25 @@ def test_the_corpus_of_a_small_search_is_not_shuffled(spark, table):
     assert text.count("WindowGroupLimit") == 2
 
 
-def test_search_joins_wide_rows_after_the_cut(spark, table):
+def test_items_are_not_shuffled_for_few_hits(spark, table):
     queries = spark.createDataFrame([(1, [0.0, 0.0])], "query_id bigint, vector array<float>")
     index = table.select(F.col("vacancy_id").alias("id"), "vector")
     text = plan(search.search(queries, index, table, 3))
-    scan = next(c for c in read_columns(text) if "requirement" not in c)
-    assert scan == "vacancy_id:bigint,vector:array<float>"
+    assert "BroadcastHashJoin" in text
+    assert "SortMergeJoin" not in text
 
 
-def test_pre_filter_reaches_the_scan_and_post_filter_stays_above_the_cut(spark, table):
+def test_search_filters_reach_the_scan(spark, table):
     queries = spark.createDataFrame([(1, [0.0, 0.0])], "query_id bigint, vector array<float>")
     index = table.select(F.col("vacancy_id").alias("id"), "vector")
-    pre = plan(search.search(queries, index, table, 3, {"company": "c"}, "pre"))
-    assert "MapInArrow" in pre
-    assert re.search(r"(EqualTo|EqualNullSafe)\(company,c\)", pre[pre.index("MapInArrow") :])
+    text = plan(search.search(queries, index, table, 3, {"company": "c"}, "pre"))
+    assert re.search(r"PushedFilters: .*(EqualTo|EqualNullSafe)\(company,c\)", text)
+
+
+def test_hops_read_only_edges_of_their_type(table):
+    text = plan(graph.build_graph(table).tags_of())
+    assert re.search(r"PartitionFilters: \[[^\]]*skill", text)
+    assert "Join" not in text
 
 
 def test_edges_combine_before_the_shuffle(table):
