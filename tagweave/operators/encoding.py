@@ -25,6 +25,11 @@ def _bucket(word: str, dimension: int) -> tuple[int, int]:
     return place, 1 - 2 * (turns % 2)
 
 
+def _once(udf):  # noqa: ANN001, ANN202
+    """Keep the optimiser from repeating a costly function in filters it infers or moves."""
+    return udf.asNondeterministic()
+
+
 def hashing_vector(text: Column, dimension: int = DIMENSION) -> Column:
     """Unit-length signed word counts; a text without words gives zeros.
 
@@ -48,7 +53,7 @@ def hashing_vector(text: Column, dimension: int = DIMENSION) -> Column:
         offsets = np.arange(0, (n + 1) * dimension, dimension, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(scaled.ravel()))
 
-    return count(normalise_text(text))
+    return _once(count)(normalise_text(text))
 
 
 def encode(
@@ -73,4 +78,4 @@ def encode(
             matrix = np.asarray(encoder(batch.fillna("").tolist()), dtype=np.float32)
             yield pd.Series(list(matrix))
 
-    return df.withColumn(output, run(F.col(text)))
+    return df.withColumn(output, _once(run)(F.col(text)))

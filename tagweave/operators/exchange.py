@@ -122,7 +122,8 @@ def complete(requests: DataFrame, ask: Complete = echo, request: str = "request"
                 errors.append(error)
             yield pd.DataFrame({"text": texts, "error": errors}, dtype=object)
 
-    answered = requests.withColumn("_answer", run(F.col(request)))
+    # Marked so that the optimiser cannot move or repeat calls to the service.
+    answered = requests.withColumn("_answer", run.asNondeterministic()(F.col(request)))
     failed = F.col("_answer.error")
     return (
         answered.withColumn(

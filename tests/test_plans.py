@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagweave.operators import dialogue, graph, items, search
+from tagweave.operators.encoding import encode
 from tagweave.operators.similarity import knn
 from tagweave.sources.small import broadcast_if_small
 
@@ -79,6 +80,12 @@ def test_hops_read_only_edges_of_their_type(table):
     assert "Join" not in text
 
 
+def test_texts_are_encoded_once(table):
+    encoded = encode(table, "requirement").filter(F.col("vector").isNotNull())
+    text = plan(encoded.select("vacancy_id", F.explode("vector")))
+    assert text.count("ArrowEvalPython") == 1
+
+
 def test_edges_combine_before_the_shuffle(table):
     text = plan(graph.graph_edges(table))
     assert text.count("HashAggregate") == 2
