@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -154,6 +154,12 @@ def ingest_counts(items: DataFrame) -> DataFrame:
     )
 
 
+def observed(items: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``items`` and an observation of how many rows the next action has passed, without a pass of its own."""
+    seen = Observation(name)
+    return items.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
 def profiled(items: DataFrame) -> DataFrame:
     """Add the profile fields of an item and the text it is embedded by."""
     return (

@@ -168,3 +168,9 @@ def test_ingest(spark, tmp_path):
     assert (found[3].skills, found[3].industry, found[3].experience) == (
         [], w.UNKNOWN_INDUSTRY, w.NO_EXPERIENCE_LABEL,
     )
+
+
+def test_rows_are_counted_on_the_way(spark, tmp_path):
+    items, seen = ops.observed(spark.range(7), "ingested")
+    items.write.parquet(str(tmp_path / "out"))
+    assert seen.get == {"rows": 7}
