@@ -86,6 +86,12 @@ def test_texts_are_encoded_once(table):
     assert text.count("ArrowEvalPython") == 1
 
 
+def test_vectors_are_scaled_once(spark, table):
+    queries = spark.createDataFrame([(1, [3.0, 4.0])], "query_id bigint, vector array<float>")
+    index = graph.unit_vectors(table.select(F.col("vacancy_id").alias("id"), "vector"), "id")
+    assert plan(knn(graph.unit_vectors(queries, "query_id"), index, 3)).count("zip_with") == 1
+
+
 def test_edges_combine_before_the_shuffle(table):
     text = plan(graph.graph_edges(table))
     assert text.count("HashAggregate") == 2
