@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tagweave.operators.items import flatten_items
 from tagweave.plans.dialogue_queries import BLOCKS, PROGRESS_SQL, answers
