@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
 
 #: UTF-8 bytes of white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -45,13 +44,5 @@ def replaced(batch: pa.RecordBatch, values: dict[str, pa.Array]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def schema_with(df: DataFrame, **types: str) -> str | StructType:
-    """The schema of ``df`` with columns of these names replaced or added at the end."""
-    extra = StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in types.items()))
-    fields = [extra[f.name] if f.name in types else f for f in df.schema.fields]
-    fields += [f for f in extra.fields if f.name not in df.columns]
-    return StructType(fields)
-
-
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)

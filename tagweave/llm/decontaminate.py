@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.batches import byte_map, replaced, schema_with, slices, utf8
+from tagweave.llm.batches import byte_map, replaced, slices, utf8
 
 #: Bytes of item text in one automaton; an automaton takes some 100 bytes for each.
 BLOCK_BYTES = 1_000_000
@@ -315,5 +315,5 @@ def decontaminate(
 
     clean = docs
     for automaton in automata(items, min_words, block_bytes):
-        clean = clean.mapInArrow(search(_share(docs.sparkSession, automaton)), schema_with(docs))
+        clean = clean.mapInArrow(search(_share(docs.sparkSession, automaton)), docs.schema)
     return clean

@@ -94,7 +94,7 @@ def test_decontaminate_keeps_the_rest(spark):
     clean = " ".join(f"c{i}" for i in range(100))
     rows = [
         (1, clean, "en", len(clean)),
-        (2, f"{clean}: {item.upper()}! Ünd.", "de", None),
+        (2, f"{clean}: {item.upper()}! Ünd.", "de", 7),
         (3, item, "en", len(item)),
         (4, None, None, None),
         (None, "", "en", 0),
@@ -104,7 +104,7 @@ def test_decontaminate_keeps_the_rest(spark):
     got = {r.doc_id: tuple(r)[1:] for r in decontaminate(docs, items).collect()}
     assert got == {
         1: rows[0][1:],
-        2: (f"{clean}:  ! Ünd.".replace(":  !", ":  !"), "de", len(f"{clean}:  ! Ünd.")),
+        2: (f"{clean}:  ! Ünd.", "de", len(f"{clean}:  ! Ünd.")),
         4: rows[3][1:],
         None: rows[4][1:],
-    } or got[2][0].startswith(clean) and "I3" not in got[2][0] and set(got) == {1, 2, 4, None}
+    }

@@ -1,0 +1,75 @@
+"""Secret scans: candidates and redaction against Python, held-out findings, awkward rows."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tagweave.llm.secrets import BLOCK, FEATURES, KEY, labelled_findings, redact, scan, train
+
+HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+PLAIN = re.compile(BLOCK.replace("*+", "*") + rf"|(?<!{KEY})(?=[A-Za-z_+/-]*[0-9]){KEY}{{12,}}={{0,2}}")
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return train(labelled_findings(spark, 2_000))
+
+
+def test_findings_of_other_seeds_are_told_apart(spark, forest):
+    rows = labelled_findings(spark, 3_000).withColumn("doc_id", F.monotonically_increasing_id()).where("doc_id % 3000 >= 2000")
+    found = scan(rows.select("doc_id", "text", "path"), forest, "path").join(rows.select("doc_id", "label"), "doc_id").collect()
+    right = sum((r.n_secrets > 0) == (r.label == 1) for r in found)
+    assert right / len(found) > 0.95
+
+
+def test_scan_and_redact(spark, forest):
+    block = "-----BEGIN PRIVATE KEY-----\nMIIEvQIBADANBg\nkqhkiG9w0BAQ\n-----END PRIVATE KEY-----"
+    rows = [
+        (1, f'thantou token = "{HEX}" with 240.56.125.154 and 5927243074273351.', 5),
+        (2, f'É TOKEN = "{HEX.upper()}"!! {block} end', None),
+        (3, f"commit {HEX}", 47),
+        (4, None, None),
+        (5, "", 0),
+        (None, "nothing here", 12),
+        (6, f'"{HEX}"', 42),
+        (7, "a" * 200_000 + " 1" * 1000, 3),
+        (8, f'token = "{HEX}"\n' * 300, 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("_found", F.lit("x"))
+    got = {r.doc_id: r for r in scan(docs, forest).collect()}
+    assert {k: r.n_secrets for k, r in got.items()} == {1: 1, 2: 2, 3: 0, 4: 0, 5: 0, None: 0, 6: 0, 7: 0, 8: 300}
+    for doc, text, _ in rows:
+        places = [m.span() for m in PLAIN.finditer(text or "")]
+        spans = [(f.start, f.end) for f in got[doc].findings]
+        assert got[doc].n_candidates == len(places) and set(spans) <= set(places)
+        want, at = "", 0
+        for start, end in spans:
+            want, at = want + (text or "")[at:start] + "[SECRET]", end
+        assert got[doc].redacted == want + (text or "")[at:]
+    new = {r.doc_id: r for r in redact(docs, forest).collect()}
+    assert new[4].text is None and new[3].n_chars == 47 and new[1]._found == "x"
+    assert new[1].text == got[1].redacted and new[1].n_chars == len(new[1].text)
+    assert redact(docs, forest).columns == docs.columns
+    assert scan(docs.limit(0), forest).collect() == [] and redact(docs.limit(0), forest).collect() == []
+
+
+def test_path_counts(spark, forest):
+    text = 'token = "user_session_example_token_7"'
+    docs = spark.createDataFrame([(1, text, "tests/fixtures/a.json")], "doc_id long, text string, source string")
+    assert scan(docs, forest, "source").first().n_secrets == 0
+
+
+def test_findings_of_one_label_or_none(spark):
+    one = spark.createDataFrame([(f"token {HEX}", "", 1)], "text string, path string, label int")
+    assert train(one) == "1.0D" and train(one.limit(0)) == "0.0D"
+
+
+def test_no_python_in_the_plan(spark, forest):
+    docs = spark.createDataFrame([(1, "x", "y")], "doc_id long, text string, source string")
+    for frame in (scan(docs, forest, "source"), redact(docs, forest, "source")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    assert len(FEATURES) == 15
