@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: dict[str, str] = {}
+_staged: dict[str, list[str]] = {}
 
 
 def local_session(cores: str = "*", app: str = "tagweave") -> SparkSession:
     """A local session for tests and the bench; on a cluster the caller brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
@@ -21,8 +24,10 @@ def local_session(cores: str = "*", app: str = "tagweave") -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if SparkSession.getActiveSession() is None:
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tagweave-"))
+    return builder.getOrCreate()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -31,7 +36,7 @@ def scratch_root(spark: SparkSession) -> str:
     if shared:
         return shared.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if context.applicationId not in _local_root:
         _local_root[context.applicationId] = tempfile.mkdtemp(prefix="tagweave-")
@@ -39,8 +44,36 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path nobody has used yet."""
-    return f"{scratch_root(spark)}/tagweave/{label}-{uuid.uuid4().hex}"
+    """A path nobody has used yet, remembered until it is discarded or released."""
+    path = f"{scratch_root(spark)}/tagweave/{label}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what was written at a scratch path, in whatever store it is."""
+    known = _staged.get(spark.sparkContext.applicationId, [])
+    if path not in known:
+        raise ValueError(f"not a scratch path of this session: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    known.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end, so results must be written or collected inside.
+
+    Operators that need a costly result more than once write it; the README names them. Their answers
+    read those tables, which therefore stay until the caller is done.
+    """
+    before = set(_staged.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        for path in list(_staged.get(spark.sparkContext.applicationId, [])):
+            if path not in before:
+                discard(spark, path)
 
 
 def stage(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
