@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tagweave.llm.batches import byte_map, slices, utf8
 from tagweave.llm.crf import Chain, fit, marginals
 from tagweave.llm.sampling import held_out, labelled_sample
+from tagweave.session import stage
 
 #: Labelled rows learned from, training segments, known words, and tokens of a segment, at most.
 SAMPLE_ROWS, TRAIN_SEGMENTS, VOCABULARY, SEGMENT = 6_000, 12_000, 20_000, 64
@@ -101,9 +102,10 @@ def cover(explained: dict[bytes, set[int]], least: int) -> list[bytes]:
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Tagger:
     """A tagger from at most ``sample_rows`` labelled documents that are not held out.
 
-    Without toxic labels nothing is known and every score is near zero.
+    The sample is written once to the folder of ``spark.checkpoint.dir`` and read three times. Without toxic labels nothing is known and every score is near zero.
     """
-    sample = labelled_sample(docs, labels, "toxic", sample_rows, ~held_out(F.col("doc_id")), balanced=True)
+    learn_from = ~held_out(F.col("doc_id"))
+    sample = stage(labelled_sample(docs, labels, "toxic", sample_rows, learn_from, balanced=True), "sample")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
