@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.batches import slices
 
-#: Rows of the sample, entries of the broadcast table, entries of a task's cache, and the longest
-#: pre-token either of them holds; longer ones are encoded each time.
-SAMPLE_ROWS, TABLE_SIZE, CACHE_SIZE, LONGEST = 2_000, 32_768, 262_144, 64
+#: Rows of the sample and bytes of a text in it, entries of the broadcast table, entries of a task's
+#: cache, and the longest pre-token either of them holds; longer ones are encoded each time.
+SAMPLE_ROWS, SAMPLE_BYTES, TABLE_SIZE, CACHE_SIZE, LONGEST = 1_000, 32_768, 32_768, 262_144, 64
 
 # The pre-token rule of word_bpe_49k.json for lower-case text of the characters below.
 _LETTERS = "a-zªµºß-öø-įı-ňŊ-ſа-џ一-龥ぁ-ゖァ-ヺ"
@@ -57,19 +57,17 @@ def pre_tokens(text: str, special: list[str]) -> list[str] | None:
 
 
 def frequent(docs: DataFrame, path: str, sample_rows: int, table_size: int) -> dict[str, int]:
-    """The lengths of the most frequent short pre-tokens in some ``sample_rows`` texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special = _tokenizer(path)[1]
-        counts: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(p for p in pre_tokens(text, special) or () if len(p) <= LONGEST)
-        most = [piece for piece, _ in counts.most_common(table_size)]
-        yield pa.RecordBatch.from_arrays([pa.array(most, pa.string())], names=["piece"])
-
-    sample = docs.select(F.col("text").cast("string")).where("text is not null").limit(sample_rows)
-    pieces = [row.piece for row in sample.coalesce(1).mapInArrow(count, "piece string").collect()]
+    """The lengths of the most frequent short pre-tokens in ``sample_rows`` texts of bounded length.
+
+    Spark reads no more splits than hold that many rows, and the sample is all that reaches the driver.
+    """
+    text = F.col("text").cast("string")
+    short = docs.select(text.alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    special = _tokenizer(path)[1]
+    counts: Counter[str] = Counter()
+    for row in short.limit(sample_rows).collect():
+        counts.update(p for p in pre_tokens(row.text, special) or () if len(p) <= LONGEST)
+    pieces = [piece for piece, _ in counts.most_common(table_size)]
     return dict(zip(pieces, _lengths(_tokenizer(path)[0], pieces), strict=True))
 
 
