@@ -21,15 +21,33 @@ def json_text(value: Column) -> Column:
     return F.to_json(value, _KEEP_NULLS)
 
 
-def is_json(raw: Column) -> Column:
-    """Whether the whole text is one JSON value.
+#: JSON as common parsers take it: repeated names (the last counts), NaN, but no single quotes.
+_READ = {"allowSingleQuotes": "false"}
+
 
-    The parser stops after the first value, so text behind it would pass unseen. Only a single
-    value parses both as a list element and as a field value.
+def read_json(raw: Column, kind: str) -> Column:
+    """One parse of a whole text: ``valid``, and ``value`` of type ``kind`` if it has that shape.
+
+    The parser stops after the first value, so text behind it would pass unseen. The text is parsed
+    as the only entry of a list with its own hash behind the list; the hash is read back only if the
+    text is one value and nothing else. Keep the result as a column of its own: fields taken straight
+    from the parse would each repeat it.
     """
-    as_element = F.concat(F.lit("["), raw, F.lit("]"))
-    as_field = F.concat(F.lit('{"v":'), raw, F.lit("}"))
-    return F.try_parse_json(as_element).isNotNull() & F.try_parse_json(as_field).isNotNull()
+    mark = F.xxhash64(raw)
+    listed = F.concat(F.lit('{"a":['), raw, F.lit('],"b":'), mark.cast("string"), F.lit("}"))
+    found = F.from_json(listed, f"a array<{kind}>, b bigint", _READ)
+    return F.transform(
+        F.array(found),
+        lambda f: F.struct(
+            F.coalesce((f["b"] == mark) & (F.coalesce(F.size(f["a"]), F.lit(1)) == 1), F.lit(False)).alias("valid"),
+            F.get(f["a"], F.lit(0)).alias("value"),
+        ),
+    )[0]
+
+
+def is_json(raw: Column) -> Column:
+    """Whether the whole text is one JSON value; null for null."""
+    return F.when(raw.isNotNull(), read_json(raw, "string")["valid"])
 
 
 def parse_tags(raw: Column) -> Column:
@@ -37,15 +55,20 @@ def parse_tags(raw: Column) -> Column:
 
     An object without a name spoils its whole list.
     """
-    objects = F.from_json(raw, "array<struct<name:string>>")
-    names = F.transform(objects, lambda tag: tag["name"])
-    strings = F.from_json(raw, "array<string>")
-    valid = is_json(raw)
+    as_names = F.transform(
+        F.array(read_json(raw, "array<struct<name:string>>")),
+        lambda p: F.when(
+            p["valid"] & F.forall(p["value"], lambda tag: tag["name"].isNotNull()),
+            F.transform(p["value"], lambda tag: tag["name"]),
+        ),
+    )[0]
+    as_strings = F.transform(
+        F.array(read_json(raw, "array<string>")), lambda p: F.when(p["valid"], p["value"])
+    )[0]
     return F.coalesce(
-        F.when(
-            valid & F.rlike(raw, F.lit(r"\A\s*\[\s*\{")),
-            F.when(F.forall(names, lambda n: n.isNotNull()), names),
-        ).when(valid & F.rlike(raw, F.lit(r'\A\s*\[\s*"')), strings),
+        F.when(F.rlike(raw, F.lit(r"\A\s*\[\s*\{")), as_names).when(
+            F.rlike(raw, F.lit(r'\A\s*\[\s*"')), as_strings
+        ),
         no_strings(),
     )
 
@@ -57,8 +80,10 @@ def first_industry(industries: Column) -> Column:
 
 def salvage_json(raw: Column) -> Column:
     """From the first brace to the last one, if what lies there is JSON; else null."""
-    body = empty_to_null(F.regexp_extract(raw, r"\{[\s\S]*\}", 0))
-    return F.when(is_json(body), body)
+    return F.transform(
+        F.array(F.regexp_extract(raw, r"\{[\s\S]*\}", 0)),
+        lambda body: F.when((body != "") & is_json(body), body),
+    )[0]
 
 
 def tolerant_json(raw: Column) -> Column:
@@ -71,43 +96,61 @@ def error_document(message: Column) -> Column:
     return F.to_json(F.struct(F.lit("").alias("response"), message.alias("error")))
 
 
-def response_text(body: Column) -> Column:
-    """Text of a completion response; null when it has none of the known shapes."""
-    last = F.get_json_object(body, "$.outputs[0]")
+_RESPONSE = (
+    "struct<choices:array<struct<message:struct<content:string,text:string>>>,"
+    "outputs:array<struct<text:string>>>"
+)
+
+
+def _text_of(value: Column) -> Column:
+    said = F.get(value["choices"], F.lit(0))["message"]
+    last = F.get(value["outputs"], F.lit(0))
     return strip(
         F.coalesce(
-            F.get_json_object(body, "$.choices[0].message.content"),
-            F.get_json_object(body, "$.choices[0].message.text"),
-            F.when(
-                last.isNotNull(),
-                F.coalesce(F.get_json_object(body, "$.outputs[0].text"), F.lit("")),
-            ),
+            said["content"],
+            said["text"],
+            F.when(last.isNotNull(), F.coalesce(last["text"], F.lit(""))),
         )
     )
 
 
-def response_error(body: Column, status: Column | None = None) -> Column:
-    """Why a response has no text; null when it has one."""
-    shape = (
-        F.when(
-            ~F.coalesce(is_json(body), F.lit(False)),
-            F.concat(F.lit("Invalid JSON: "), F.substring(F.coalesce(body, F.lit("")), 1, 500)),
-        )
-        .when(
-            response_text(body).isNull(),
-            F.concat(F.lit("Unexpected response format: "), F.substring(body, 1, 1000)),
-        )
+def _from_response(body: Column, make) -> Column:  # noqa: ANN001
+    """What ``make`` gives for one parse of a completion response."""
+    return F.transform(F.array(read_json(F.coalesce(body, F.lit("")), _RESPONSE)), make)[0]
+
+
+def response_text(body: Column) -> Column:
+    """Text of a completion response; null when it has none of the known shapes."""
+    return _from_response(body, lambda p: _text_of(p["value"]))
+
+
+def _error(parsed: Column, body: Column, status: Column | None) -> Column:
+    known = F.coalesce(body, F.lit(""))
+    shape = F.when(
+        ~parsed["valid"], F.concat(F.lit("Invalid JSON: "), F.substring(known, 1, 500))
+    ).when(
+        _text_of(parsed["value"]).isNull(),
+        F.concat(F.lit("Unexpected response format: "), F.substring(known, 1, 1000)),
     )
     if status is None:
         return shape
-    failed = F.concat(F.lit("HTTP "), status.cast("string"), F.lit(": "), F.coalesce(body, F.lit("")))
+    failed = F.concat(F.lit("HTTP "), status.cast("string"), F.lit(": "), known)
     return F.when(status != 200, failed).otherwise(shape)
 
 
+def response_error(body: Column, status: Column | None = None) -> Column:
+    """Why a response has no text; null when it has one."""
+    return _from_response(body, lambda p: _error(p, body, status))
+
+
 def completion_text(body: Column, status: Column | None = None) -> Column:
     """Text of a response, or an error document; never null."""
-    error = response_error(body, status)
-    return F.when(error.isNotNull(), error_document(error)).otherwise(response_text(body))
+
+    def say(parsed: Column) -> Column:
+        error = _error(parsed, body, status)
+        return F.when(error.isNotNull(), error_document(error)).otherwise(_text_of(parsed["value"]))
+
+    return _from_response(body, say)
 
 
 def message_role(role: Column) -> Column:

@@ -24,6 +24,7 @@ from tagweave.functions.text import (
 )
 
 CHUNK_TURNS = 1024
+CHAIN_CHUNKS = 1024
 
 
 def normalise_messages(turns: DataFrame, content: str = "content", text: str = "text") -> DataFrame:
@@ -208,16 +209,48 @@ def dialogue_progress(
     chained = maps.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("chunk", "ends"))).alias("chunks")
     )
+    follow = lambda at, c: F.get(c["ends"], at)
+
+    def chunk_starts(chunks: Column) -> Column:
+        """The step each chunk starts at.
+
+        A list of all steps so far is copied with every step, so long chains are walked in groups: the
+        maps of a group are composed, the groups are chained, and each is walked from its start.
+        """
+        last = F.ceil(F.size(chunks) / CHAIN_CHUNKS).cast("int") - 1
+        groups = F.transform(
+            F.sequence(F.lit(0), last),
+            lambda g: F.slice(chunks, g * CHAIN_CHUNKS + 1, F.lit(CHAIN_CHUNKS)),
+        )
+        identity = F.sequence(F.lit(0), F.lit(end))
+        composed = F.transform(
+            groups,
+            lambda group: F.struct(
+                F.aggregate(
+                    group, identity, lambda m, c: F.transform(m, lambda at: follow(at, c))
+                ).alias("ends")
+            ),
+        )
+        # an array of one entry, so that the chain of groups is worked out once for all of them
+        firsts = F.array(walk(F.lit(0), composed, follow))
+        inside = F.transform(
+            firsts,
+            lambda first: F.flatten(
+                F.transform(
+                    groups,
+                    lambda group, g: F.slice(
+                        walk(F.get(first, g), group, follow), F.lit(1), F.size(group)
+                    ),
+                )
+            ),
+        )
+        return F.get(inside, F.lit(0))
+
     starts = chained.select(
         "conv_id",
         F.explode(
             F.arrays_zip(
-                F.col("chunks.chunk").alias("chunk"),
-                F.slice(
-                    walk(F.lit(0), F.col("chunks"), lambda at, c: F.get(c["ends"], at)),
-                    F.lit(1),
-                    F.size("chunks"),
-                ).alias("start"),
+                F.col("chunks.chunk").alias("chunk"), chunk_starts(F.col("chunks")).alias("start")
             )
         ).alias("c"),
     ).select("conv_id", "c.chunk", "c.start")

@@ -20,10 +20,15 @@ from tagweave.functions.documents import (
     request_document,
     tolerant_json,
 )
-from tagweave.functions.text import fill
+from tagweave.functions.text import fill, says_yes, too_short
+from tagweave.operators.dialogue import validation_prompt
 from tagweave.operators.search import ListAdvice
 
+# Fixed value: how freely a verdict is worded.
+VALIDATION_TEMPERATURE = 0.3
+
 Complete = Callable[[list], str]
+CompleteBatch = Callable[[list[list]], list]
 
 
 def found_positions(hits: DataFrame, max_hits: int = 5, max_tags: int = 5) -> DataFrame:
@@ -35,7 +40,7 @@ def found_positions(hits: DataFrame, max_hits: int = 5, max_tags: int = 5) -> Da
         "salary",
         F.slice(F.coalesce("skills", no_strings()), 1, max_tags).alias("key_skills"),
         "requirements",
-        F.round("similarity_score", 6).alias("relevance_score"),
+        F.col("similarity_score").alias("relevance_score"),
     )
     best = hits.filter(F.col("rank") <= max_hits).select("query_id", "rank", position.alias("p"))
     return best.groupBy("query_id").agg(
@@ -100,27 +105,61 @@ def echo(messages: list) -> str:
     return messages[-1]["content"]
 
 
-def complete(requests: DataFrame, ask: Complete = echo, request: str = "request") -> DataFrame:
+def one_by_one(ask: Complete) -> CompleteBatch:
+    """A batch of exchanges as one call after another; a failing call gives its exception."""
+
+    def ask_batch(batch: list[list]) -> list[str | Exception]:
+        answers = []
+        for messages in batch:
+            try:
+                answers.append(ask(messages))
+            except Exception as failure:  # noqa: BLE001
+                answers.append(failure)
+        return answers
+
+    return ask_batch
+
+
+def complete(
+    requests: DataFrame,
+    ask: Complete = echo,
+    request: str = "request",
+    ask_batch: CompleteBatch | None = None,
+) -> DataFrame:
     """Add ``completion``, the answer of ``ask`` to the messages of each request document.
 
-    A failing call becomes an error document in ``completion`` and a text in ``error``; it never
-    fails the job. Requests without a document get neither.
+    ``ask_batch`` takes the place of ``ask`` where calls can run side by side: it gets the messages
+    of many requests and gives a text or an exception for each. A failing call becomes an error
+    document in ``completion`` and a text in ``error``; it never fails the job, and neither does a
+    request that cannot be read. Requests without a document get neither.
     """
+    answer = ask_batch or one_by_one(ask)
+
+    def messages_of(document: str) -> list | Exception:
+        try:
+            return json.loads(document)["messages"]
+        except Exception as failure:  # noqa: BLE001
+            return failure
 
     @F.pandas_udf("struct<text:string,error:string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, errors = [], []
-            for document in batch:
-                text = error = None
-                if document is not None:
-                    try:
-                        text = ask(json.loads(document)["messages"])
-                    except Exception as failure:  # noqa: BLE001
-                        error = str(failure)
-                texts.append(text)
-                errors.append(error)
-            yield pd.DataFrame({"text": texts, "error": errors}, dtype=object)
+            found = [None if document is None else messages_of(document) for document in batch]
+            asked = [i for i, messages in enumerate(found) if isinstance(messages, list)]
+            try:
+                answers = answer([found[i] for i in asked])
+            except Exception as failure:  # noqa: BLE001
+                answers = [failure] * len(asked)
+            for i, text in zip(asked, answers, strict=True):
+                found[i] = text
+            failed = [isinstance(text, Exception) for text in found]
+            yield pd.DataFrame(
+                {
+                    "text": [None if bad else text for bad, text in zip(failed, found, strict=True)],
+                    "error": [str(text) if bad else None for bad, text in zip(failed, found, strict=True)],
+                },
+                dtype=object,
+            )
 
     # Marked so that the optimiser cannot move or repeat calls to the service.
     answered = requests.withColumn("_answer", run.asNondeterministic()(F.col(request)))
@@ -147,3 +186,37 @@ def final_replies(completed: DataFrame) -> DataFrame:
     advised = with_advice(tidy, "_document", "_text")
     replied = F.coalesce("reply", F.when(F.col("completion").isNotNull(), F.col("_text")))
     return advised.withColumn("reply", replied).drop("_document", "_text")
+
+
+def reply_to_goals(
+    profiles: DataFrame,
+    goals: DataFrame,
+    advice: ListAdvice,
+    model: str,
+    ask: Complete = echo,
+    ask_batch: CompleteBatch | None = None,
+) -> DataFrame:
+    """``(query_id, reply)``: request, completion, tolerant parse and readable advice in one."""
+    requests = final_requests(profiles, goals, advice, model)
+    return final_replies(complete(requests, ask, ask_batch=ask_batch)).select("query_id", "reply")
+
+
+def judge_answers(
+    answers: DataFrame,
+    model: str,
+    ask: Complete = echo,
+    ask_batch: CompleteBatch | None = None,
+    yes: str = w.YES_WORD,
+) -> DataFrame:
+    """``answers(question, answer, ...)`` with ``valid``: prompt, completion and yes-test in one.
+
+    Answers that are too short, null ones included, are not valid and nobody is asked about them.
+    """
+    short = F.coalesce(too_short(F.col("answer")), F.lit(True))
+    prompt = F.array(message("system", validation_prompt(F.col("question"), F.col("answer"))))
+    asked = answers.withColumn(
+        "_request", F.when(~short, request_document(prompt, model, VALIDATION_TEMPERATURE))
+    )
+    judged = complete(asked, ask, "_request", ask_batch)
+    said_yes = F.coalesce(says_yes(F.col("completion"), yes), F.lit(False))
+    return judged.withColumn("valid", said_yes & F.col("error").isNull()).drop("_request", "completion", "error")

@@ -98,6 +98,20 @@ def search_by_profile(
     return search(embed_profiles(profiles, embed), index, items, top_n, filters, mode)
 
 
+def search_by_text(
+    texts: DataFrame,
+    index: DataFrame | None,
+    items: DataFrame,
+    top_n: int = 5,
+    filters: dict[str, Any] | None = None,
+    mode: str = "post",
+    embed: Embed = encode,
+) -> DataFrame:
+    """``search`` for plain ``texts(query_id, text)``."""
+    queries = embed(texts.select("query_id", "text"), "text").select("query_id", "vector")
+    return search(queries, index, items, top_n, filters, mode)
+
+
 class ListAdvice(NamedTuple):
     """Hits per query, and per query the sorted distinct tags and the paths of its best hits."""
 

@@ -2,18 +2,20 @@
 
 Three physical forms share one numpy kernel:
 
-* ``knn`` with few queries: the query matrix goes to every task, the corpus streams past it once
-  without a shuffle, and each task hands on its own top k.
-* ``knn`` with many queries: corpus and queries are cut into cells around pivots, a query visits
-  only the cells that the triangle inequality cannot rule out, and cells meet in bounded tiles.
-* ``top_k_per_cell``: the tile join itself, for callers that bring their own cells (tags, buckets).
+* ``knn``: exact. Queries are written once and dealt into blocks of bounded size; the block goes to
+  every task, the corpus streams past it without a shuffle, and each task hands on its own top k.
+  Few queries are one block. Every query meets every vector, so the work grows with the product of
+  the two tables, and the corpus is read once for each block.
+* ``knn_lsh``: approximate, by choice of the caller and never by size. Vectors belong to the nearest
+  of some pivots, a query visits the cells of its ``probes`` nearest ones.
+* ``top_k_per_cell``: the tile join itself, for callers that bring their own cells (tags, pivots).
 
 Ranks are by (distance rounded to 9 digits, id), so ties and last-bit noise cannot reorder them.
+Every query row is answered on its own, also where a ``query_id`` is repeated.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tagweave.session import stage
-from tagweave.sources.small import broadcast_if_small
+from tagweave.session import scratch_path, stage
+from tagweave.sources.small import sized
 
-MAX_BROADCAST_QUERIES = 2048
-MAX_BROADCAST_VALUES = 4_000_000
+BLOCK_QUERIES = 2048
+BLOCK_VALUES = 4_000_000
 TILE_ROWS = 8192
-MAX_PIVOTS = 1024
 ROUTED_ROWS = 10_000
 _WORKING_VALUES = 2_000_000
 
@@ -111,25 +112,17 @@ def _ranked(hits: DataFrame, keys: list[str], k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
-def _small_matrix(queries: DataFrame, max_rows: int) -> list | None:
-    """The query rows if their number and size are within bounds, else None."""
-    head = queries.limit(max_rows + 1).collect()
-    if len(head) > max_rows:
-        return None
-    if sum(len(row["vector"]) for row in head) > MAX_BROADCAST_VALUES:
-        return None
-    return head
-
-
 def _scan(corpus: DataFrame, rows: list, k: int, query_type: T.DataType) -> DataFrame:
-    names = [row["query_id"] for row in rows]
+    """``(ask, query_id, id, distance)``: the k nearest of every task for a block of asked queries."""
+    asks = pa.array([row["ask"] for row in rows], pa.int64())
+    names = pa.array([row["query_id"] for row in rows])
     queries = np.array([row["vector"] for row in rows], dtype=np.float64)
     id_type = corpus.schema["id"].dataType
 
     def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_kept = ids_kept = gaps_kept = None
         for batch in batches:
-            if batch.num_rows == 0:
+            if batch.num_rows == 0 or not rows:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             q, c, gaps = _nearest(_rank_codes(ids), _matrix(batch.column(1)), queries, k, "l2")
@@ -143,10 +136,13 @@ def _scan(corpus: DataFrame, rows: list, k: int, query_type: T.DataType) -> Data
                 q, ids, gaps = q[order], ids[order], gaps[order]
             rows_kept, ids_kept, gaps_kept = q, ids, gaps
         if rows_kept is not None:
-            out = [pa.array(names).take(pa.array(rows_kept)), pa.array(ids_kept), pa.array(gaps_kept)]
-            yield pa.RecordBatch.from_arrays(out, names=["query_id", "id", "distance"])
+            at = pa.array(rows_kept)
+            out = [asks.take(at), names.take(at), pa.array(ids_kept), pa.array(gaps_kept)]
+            yield pa.RecordBatch.from_arrays(out, names=["ask", "query_id", "id", "distance"])
 
-    schema = _hits_schema(("query_id", query_type), ("id", id_type), ("distance", T.DoubleType()))
+    schema = _hits_schema(
+        ("ask", T.LongType()), ("query_id", query_type), ("id", id_type), ("distance", T.DoubleType())
+    )
     return corpus.select("id", "vector").mapInArrow(best_of_partition, schema)
 
 
@@ -172,7 +168,7 @@ def top_k_per_cell(
         askers = queries.groupBy("cell").agg(F.count("*").alias("askers"))
         sizes = members.join(askers, "cell")
     # Only cells larger than a tile need cutting: at most (all rows / tile_rows) of them.
-    large = broadcast_if_small(
+    large = sized(
         sizes.filter(F.greatest("members", "askers") > tile_rows).select(
             "cell",
             F.ceil(F.col("members") / tile_rows).cast("int").alias("c_parts"),
@@ -265,20 +261,14 @@ def top_k_per_cell(
     return _ranked(tiles.mapInArrow(best_of_tiles, schema), ["cell", "query_id"], k)
 
 
-def _pivots(corpus: DataFrame, count: int) -> np.ndarray:
-    rows = (
-        corpus.select("vector", F.xxhash64("id").alias("h")).orderBy("h").limit(count).collect()
-    )
-    return np.unique(np.array([row["vector"] for row in rows], dtype=np.float64), axis=0)
-
-
 def _gaps(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    squares = (
-        (vectors * vectors).sum(axis=1)[:, None]
-        + (pivots * pivots).sum(axis=1)[None, :]
-        - 2 * vectors @ pivots.T
-    )
-    return np.sqrt(np.maximum(squares, 0.0))
+    """Squared distances, term by term as everywhere, so ties fall as they do in the ranking."""
+    out = np.empty((len(vectors), len(pivots)))
+    step = max(1, _WORKING_VALUES // max(1, pivots.size))
+    for at in range(0, len(vectors), step):
+        part = vectors[at : at + step]
+        out[at : at + step] = ((part[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2)
+    return np.round(out, 9)
 
 
 def _keyed(df: DataFrame, key: str) -> DataFrame:
@@ -286,183 +276,99 @@ def _keyed(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, vector).filter(F.col("vector").isNotNull())
 
 
-def _without_copies(corpus: DataFrame, k: int) -> DataFrame:
-    """The corpus with at most k ids per vector: ties go to the smallest ids, so no other can win."""
-    same = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("id")
-    numbered = corpus.withColumn("copy", F.row_number().over(same))
-    return stage(numbered.filter(F.col("copy") <= k).drop("copy"), "members")
-
+def _asked(queries: DataFrame) -> DataFrame:
+    """The queries written once, numbered in that pass: ``(ask, query_id, vector)``.
 
-def _points(queries: DataFrame) -> DataFrame:
-    """One query per vector, named after the smallest of its queries."""
-    grouped = queries.groupBy(F.xxhash64("vector").alias("h"), "vector")
-    return stage(grouped.agg(F.min("query_id").alias("query_id")), "points")
+    Whatever follows reads these vectors, so an encoder runs once for a text and its last bits do
+    not matter.
+    """
+    numbered = _keyed(queries, "query_id").withColumn("ask", F.monotonically_increasing_id())
+    return stage(numbered, "queries")
 
 
-def _for_every_query(best: DataFrame, queries: DataFrame, points: DataFrame) -> DataFrame:
-    """The answers to ``points`` given to all queries with the same vector."""
-    asked = points.withColumnRenamed("query_id", "asked")
-    who = queries.select("query_id", F.xxhash64("vector").alias("h"), "vector")
-    same = who.join(asked, ["h", "vector"]).select("query_id", "asked")
-    answers = best.withColumnRenamed("query_id", "asked")
-    return same.join(answers, "asked").select("query_id", "id", "distance", "rank")
+def _blocks(asked: DataFrame, most: int) -> int:
+    size = asked.agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("values")
+    ).first()
+    if size["n"] <= most and size["values"] <= BLOCK_VALUES:
+        return 1
+    # rows are dealt by hash, so blocks are made half as large as they may be
+    return 2 * max(-(-size["n"] // most), -(-size["values"] // BLOCK_VALUES))
 
 
-def knn_join(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    pivots: int | None = None,
-    tile_rows: int = TILE_ROWS,
+def knn(
+    queries: DataFrame, corpus: DataFrame, k: int, max_queries: int = BLOCK_QUERIES
 ) -> DataFrame:
-    """Exact kNN for a query table of any size.
+    """``queries(query_id, vector)`` x ``corpus(id, vector)`` -> (query_id, id, distance, rank).
 
-    Equal vectors are looked up once, and of equal corpus vectors only the k smallest ids can
-    appear in a result, so copies do not multiply the work. What goes through the driver is
-    ``pivots`` vectors (one per tile of the corpus, at most ``MAX_PIVOTS``) and one (count, radius)
-    pair per pivot.
+    The same rows for any ``max_queries``, the number of queries in a block. The number and size of
+    the queries are counted on the executors before any reach the driver, and one block at a time is
+    there. Writes the queries and, with several blocks, their hits.
     """
-    queries, corpus = _keyed(queries, "query_id"), _keyed(corpus, "id")
-    id_type = corpus.schema["id"].dataType
-    query_type = queries.schema["query_id"].dataType
-    members, points = _without_copies(corpus, k), _points(queries)
-    if pivots is None:
-        pivots = min(MAX_PIVOTS, math.ceil(members.count() / tile_rows))
-    centres = _pivots(members, pivots)
-    if len(centres) == 0:
-        schema = _hits_schema(("query_id", query_type), ("id", id_type), ("distance", T.DoubleType()))
-        return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                gaps = _gaps(_matrix(batch.column(1)), centres)
-                cell = gaps.argmin(axis=1)
-                radius = gaps[np.arange(len(cell)), cell]
-                out = [pa.array(cell.astype(np.int32)), *batch.columns, pa.array(radius)]
-                yield pa.RecordBatch.from_arrays(out, names=["cell", "id", "vector", "radius"])
-
-    vector = T.ArrayType(T.FloatType())
-    celled = members.mapInArrow(
-        assign,
-        _hits_schema(
-            ("cell", T.IntegerType()), ("id", id_type), ("vector", vector), ("radius", T.DoubleType())
-        ),
-    )
-    cells = celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("r")).collect()
-    used = np.array([row["cell"] for row in cells], dtype=np.int64)
-    counts = np.array([row["n"] for row in cells], dtype=np.int64)
-    radii = np.array([row["r"] for row in cells], dtype=np.float64)
-    centres_used = centres[used]
-
-    def visited(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) pairs a search cannot skip: closer than cells known to hold k members."""
-        gaps = _gaps(_matrix(vectors), centres_used)
-        far = gaps + radii
-        order = far.argsort(axis=1)
-        reached = counts[order].cumsum(axis=1) >= min(k, counts.sum())
-        rows = np.arange(len(gaps))
-        reach = far[rows, order[rows, reached.argmax(axis=1)]]
-        # Room for rounding: distances equal to 9 digits are ties, and the smaller id wins.
-        margin = 4e-5 + 1e-6 * far.max()
-        return np.nonzero(gaps - radii <= reach[:, None] + margin)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                row, cell = visited(batch.column(1))
-                # Wide rows are multiplied here, so they leave in small batches.
-                for at in range(0, len(row), ROUTED_ROWS):
-                    picked = batch.take(pa.array(row[at : at + ROUTED_ROWS]))
-                    cells = pa.array(used[cell[at : at + ROUTED_ROWS]].astype(np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [cells, *picked.columns], names=["cell", "query_id", "vector"]
-                    )
+    corpus, asked = _keyed(corpus, "id"), _asked(queries)
+    kind = queries.schema["query_id"].dataType
+    columns = ["query_id", "id", "distance", "rank"]
 
-    def count_routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(used), dtype=np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                total += np.bincount(visited(batch.column(1))[1], minlength=len(used))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array(counts), pa.array(total)],
-            names=["cell", "members", "askers"],
-        )
+    def answers(block: DataFrame) -> DataFrame:
+        return _ranked(_scan(corpus, block.collect(), k, kind), ["ask"], k).select(columns)
 
-    asked = points.select("query_id", "vector")
-    routed = asked.mapInArrow(
-        route,
-        _hits_schema(("cell", T.IntegerType()), ("query_id", query_type), ("vector", vector)),
-    )
-    sizes = (
-        asked.mapInArrow(count_routes, "cell int, members bigint, askers bigint")
-        .groupBy("cell", "members")
-        .agg(F.sum("askers").alias("askers"))
-    )
-    hits = top_k_per_cell(
-        celled.select("cell", "id", "vector"), routed, k, tile_rows=tile_rows, sizes=sizes
-    )
-    best = _ranked(hits.select("query_id", "id", "distance"), ["query_id"], k)
-    return _for_every_query(best, queries, points)
+    blocks = _blocks(asked, max_queries)
+    if blocks == 1:
+        return answers(asked)
+    path = scratch_path(queries.sparkSession, "hits")
+    own = F.pmod(F.xxhash64("ask"), F.lit(blocks))
+    for block in range(blocks):
+        answers(asked.filter(own == block)).write.mode("append").parquet(path)
+    return queries.sparkSession.read.parquet(path)
 
 
-def knn(
-    queries: DataFrame, corpus: DataFrame, k: int, max_queries: int = MAX_BROADCAST_QUERIES
-) -> DataFrame:
-    """``queries(query_id, vector)`` x ``corpus(id, vector)`` -> (query_id, id, distance, rank).
+def knn_join(queries: DataFrame, corpus: DataFrame, k: int, block_queries: int = 512) -> DataFrame:
+    """``knn`` in small blocks, whatever the number of queries."""
+    return knn(queries, corpus, k, block_queries)
 
-    The number and size of the queries are checked before they are sent to every task; beyond the
-    bounds ``knn_join`` takes over. Both are exact.
-    """
-    queries, corpus = _keyed(queries, "query_id"), _keyed(corpus, "id")
-    rows = _small_matrix(queries, max_queries)
-    if rows is None:
-        return knn_join(queries, corpus, k)
-    if not rows:
-        rows_schema = _hits_schema(
-            ("query_id", queries.schema["query_id"].dataType),
-            ("id", corpus.schema["id"].dataType),
-            ("distance", T.DoubleType()),
-            ("rank", T.IntegerType()),
-        )
-        return queries.sparkSession.createDataFrame([], rows_schema)
-    hits = _scan(corpus, rows, k, queries.schema["query_id"].dataType)
-    return _ranked(hits, ["query_id"], k)
+
+def pivots(corpus: DataFrame, cells: int) -> DataFrame:
+    """The ``cells`` corpus rows whose ids have the smallest MD5, a sample that any engine repeats."""
+    digest = F.md5(F.col("id").cast("string").cast("binary"))
+    return corpus.orderBy(digest, "id").limit(cells).select("id", "vector")
 
 
 def knn_lsh(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    bucket_length: float = 0.5,
-    tables: int = 8,
-    seed: int = 7,
+    queries: DataFrame, corpus: DataFrame, k: int, cells: int = 64, probes: int = 28
 ) -> DataFrame:
-    """Approximate kNN: random-projection buckets as cells, exact distances inside them."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    queries = _keyed(queries, "query_id")
-    members, points = _without_copies(_keyed(corpus, "id"), k), _points(queries)
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features",
-        outputCol="hashes",
-        bucketLength=bucket_length,
-        numHashTables=tables,
-        seed=seed,
+    """Approximate kNN: exact distances to the members of the ``probes`` cells nearest to a query.
+
+    ``cells`` rows of the corpus are pivots and pass the driver; every vector belongs to the nearest
+    (ties: the smaller id first). About ``probes / cells`` of all pairs are compared; the more a corpus
+    clusters, the fewer probes are needed.
+    """
+    corpus, asked = _keyed(corpus, "id"), _asked(queries)
+    rows = sorted(pivots(corpus, cells).collect(), key=lambda row: row["id"])
+    centres = np.array([row["vector"] for row in rows], dtype=np.float64)
+    vector, id_type = T.ArrayType(T.FloatType()), corpus.schema["id"].dataType
+
+    def nearest(n: int):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and len(centres):
+                    order = _gaps(_matrix(batch.column(1)), centres).argsort(axis=1, kind="stable")
+                    cell = order[:, :n].astype(np.int32).ravel()
+                    row = np.repeat(np.arange(batch.num_rows), min(n, len(centres)))
+                    # Wide rows are multiplied here, so they leave in small batches.
+                    for at in range(0, len(row), ROUTED_ROWS):
+                        picked = batch.take(pa.array(row[at : at + ROUTED_ROWS]))
+                        out = [pa.array(cell[at : at + ROUTED_ROWS]), *picked.columns]
+                        yield pa.RecordBatch.from_arrays(out, names=["cell", *batch.schema.names])
+
+        return run
+
+    members = corpus.mapInArrow(
+        nearest(1), _hits_schema(("cell", T.IntegerType()), ("id", id_type), ("vector", vector))
     )
-    featured = lambda df: df.withColumn(
-        "features", array_to_vector(F.col("vector").cast("array<double>"))
+    askers = asked.select(F.col("ask").alias("query_id"), "vector").mapInArrow(
+        nearest(probes),
+        _hits_schema(("cell", T.IntegerType()), ("query_id", T.LongType()), ("vector", vector)),
     )
-    model = lsh.fit(featured(members))
-
-    def buckets(df: DataFrame, key: str) -> DataFrame:
-        hashed = model.transform(featured(df)).select(key, "vector", F.posexplode("hashes"))
-        bucket = F.get(vector_to_array("col"), F.lit(0)).cast("bigint").cast("string")
-        return hashed.select(
-            F.concat_ws(":", F.col("pos").cast("string"), bucket).alias("cell"), key, "vector"
-        )
-
-    hits = top_k_per_cell(buckets(members, "id"), buckets(points, "query_id"), k)
-    merged = hits.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
-    return _for_every_query(_ranked(merged, ["query_id"], k), queries, points)
+    hits = top_k_per_cell(members, askers, k).select(F.col("query_id").alias("ask"), "id", "distance")
+    found = _ranked(hits, ["ask"], k).join(asked.select("ask", "query_id"), "ask")
+    return found.select("query_id", "id", "distance", "rank")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +12,16 @@ from tagweave import wording as w
 from tagweave.functions import documents as d
 from tagweave.operators import exchange as ops
 from tagweave.operators import search
-from tagweave.operators.dialogue import question_for, user_turns, validation_prompt
-from tagweave.plans.dialogue_queries import GOALS_SQL, PROFILES_SQL, goals, profiles
+from tagweave.operators.dialogue import question_for, user_text, user_turns, validation_prompt
+from tagweave.plans.dialogue_queries import (
+    GOALS_SQL,
+    PROFILES_SQL,
+    USER_TEXT_SQL,
+    goals,
+    profiles,
+)
 from tagweave.plans.registry import query
-from tagweave.plans.sql_text import encode_sql, profile_sql, quoted
+from tagweave.plans.sql_text import encode_sql, profile_sql, quoted, strip_sql
 from tagweave.plans.vector_queries import INDEX_SQL, found, knn_sql
 from tagweave.plans.views import (
     CENTRES_SQL,
@@ -210,6 +219,32 @@ payload AS (
              GROUP BY query_id) q ON q.query_id = p.query_id)"""
 
 
+# Search of the text items by profile text: CTE hits over asked(query_id, q).
+_TEXT_HITS_SQL = """
+corpus AS (SELECT id, v FROM idx),
+near AS ({knn}),
+hits AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), n.id) AS rank,
+         vacancy_id, title, company, experience, salary_str AS salary, skills,
+         requirement AS requirements, 1 / (1 + d) AS similarity_score
+  FROM near n JOIN text_items ON vacancy_id = n.id QUALIFY rank <= {top})"""
+
+
+@query(
+    "search_by_text",
+    f"""WITH {INDEX_SQL}, {USER_TEXT_SQL}, {encode_sql('ask', 'user_texts', 'conv_id', 'full_text')},
+      asked AS (SELECT id AS query_id, v AS q FROM ask),
+      {_TEXT_HITS_SQL.format(knn=knn_sql('asked', 'corpus', 15), top=5)}
+      SELECT query_id, rank, vacancy_id, title, company,
+             round(similarity_score, 6) AS similarity_score FROM hits""",
+)
+def search_by_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation's user text, as it is, against every document."""
+    corpus = stage(text_items(spark, sf), "corpus")
+    asked = user_text(turns(spark, sf)).toDF("query_id", "text")
+    return found(search.search_by_text(asked, search.fit_index(corpus), corpus, 5))
+
+
 @query(
     "payload",
     f"""WITH {ITEMS_SQL}, {CENTRES_SQL},
@@ -226,22 +261,14 @@ payload AS (
 def payload(spark: SparkSession, sf: str) -> DataFrame:
     hits = search.search(label_centres(spark, sf), vectors(spark, sf), items(spark, sf), 10)
     hits = stage(
-        hits.withColumnsRenamed({"salary_str": "salary", "requirement": "requirements"}), "payload"
+        hits.withColumnsRenamed(
+            {"salary_str": "salary", "requirement": "requirements"}
+        ).withColumn("similarity_score", F.round("similarity_score", 6)),
+        "payload",
     )
     return ops.advice_payload(search.advise_from_hits(hits))
 
 
-# Search of the text items by profile text: CTE hits over asked(query_id, q).
-_TEXT_HITS_SQL = """
-corpus AS (SELECT id, v FROM idx),
-near AS ({knn}),
-hits AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), n.id) AS rank,
-         vacancy_id, title, company, experience, salary_str AS salary, skills,
-         requirement AS requirements, 1 / (1 + d) AS similarity_score
-  FROM near n JOIN text_items ON vacancy_id = n.id QUALIFY rank <= {top})"""
-
-
 def _asked_sql(source: str, work: str, tags: str, level: str) -> str:
     return f"""
 asks AS (SELECT conv_id, {profile_sql(work, tags, level)} AS profile FROM {source}),
@@ -276,7 +303,8 @@ def _goals_advice(spark: SparkSession, sf: str) -> tuple[DataFrame, search.ListA
     asked = goals(spark, sf).filter(F.col("goals").isNotNull())
     asked = asked.withColumnRenamed("conv_id", "query_id")
     advice = search.recommend_list(asked, search.fit_index(corpus), corpus, 10)
-    return asked, search.advise_from_hits(stage(advice.hits, "advice"))
+    hits = advice.hits.withColumn("similarity_score", F.round("similarity_score", 6))
+    return asked, search.advise_from_hits(stage(hits, "advice"))
 
 
 @query(
@@ -317,13 +345,16 @@ _FINAL_PROMPT_SQL = _filled(
 )
 
 
-@query(
-    "final_request",
-    f"""WITH {INDEX_SQL}, {PROFILES_SQL}, {_GOALS_ASKED_SQL},
+_TOLD_SQL = f"""{INDEX_SQL}, {PROFILES_SQL}, {_GOALS_ASKED_SQL},
       told AS (
         SELECT k.conv_id, goals, to_json({{'requirement_responsibility': requirement_responsibility,
                  'skills': skills, 'experience': experience}})::VARCHAR AS profile
-        FROM known k JOIN profiles p ON p.conv_id = k.conv_id)
+        FROM known k JOIN profiles p ON p.conv_id = k.conv_id)"""
+
+
+@query(
+    "final_request",
+    f"""WITH {_TOLD_SQL}
       SELECT conv_id AS query_id, CASE WHEN positions IS NOT NULL THEN {_request_sql(
           f"[{{'role': 'system', 'content': {quoted(w.FINAL_SYSTEM_PROMPT)}}}, "
           f"{{'role': 'user', 'content': {_FINAL_PROMPT_SQL}}}]", '0.7')}::VARCHAR END AS request,
@@ -334,3 +365,55 @@ def final_request(spark: SparkSession, sf: str) -> DataFrame:
     asked, advice = _goals_advice(spark, sf)
     told = profiles(spark, sf).withColumnRenamed("conv_id", "query_id")
     return ops.final_requests(told, asked, advice, MODEL)
+
+
+def advise(messages: list) -> str:
+    """Stand-in for an adviser: a JSON document, within other text, made of the prompt."""
+    prompt = messages[-1]["content"]
+    digest = hashlib.md5(prompt.encode()).hexdigest()
+    advice = {"nearest_position": digest[:8], "recommended_courses": [digest[8:16], digest[16:24]]}
+    return f"Here: {json.dumps({'response': str(len(prompt)), 'recommendation': advice})} Good luck"
+
+
+@query(
+    "final_reply",
+    f"""WITH {_TOLD_SQL},
+      asked_for AS (
+        SELECT conv_id AS query_id, CASE WHEN positions IS NOT NULL THEN {_FINAL_PROMPT_SQL} END AS prompt
+        FROM told LEFT JOIN payload ON payload.query_id = conv_id)
+      SELECT query_id, CASE WHEN prompt IS NULL THEN {quoted(w.NOTHING_FOUND)} ELSE concat_ws(chr(10),
+        {quoted(w.ADVICE_HEADER)}, length(prompt)::VARCHAR || chr(10),
+        {quoted(w.ADVICE_NEAREST)} || left(md5(prompt), 8),
+        {quoted(w.ADVICE_COURSES)} || {quoted(w.ADVICE_BULLET)} || substr(md5(prompt), 9, 8) || chr(10)
+          || {quoted(w.ADVICE_BULLET)} || substr(md5(prompt), 17, 8) || chr(10)) END AS reply
+      FROM asked_for""",
+)
+def final_reply(spark: SparkSession, sf: str) -> DataFrame:
+    """Goals to readable advice, with a stand-in for the completion service."""
+    asked, advice = _goals_advice(spark, sf)
+    told = profiles(spark, sf).withColumnRenamed("conv_id", "query_id")
+    return ops.reply_to_goals(told, asked, advice, MODEL, advise)
+
+
+def judge(messages: list) -> str:
+    """Stand-in for a judge: yes, in a sentence, if the prompt's length is even."""
+    return f"{w.YES_WORD.title()}, it is." if len(messages[-1]["content"]) % 2 == 0 else "No."
+
+
+@query(
+    "answer_verdict",
+    f"""WITH asked AS (
+        SELECT conv_id, turn, left(text, turn * 2 + 1) AS text FROM conversations WHERE role = 'user'),
+      prompts AS (SELECT *, {_PROMPT_SQL} AS prompt FROM asked)
+      SELECT conv_id, turn, length({strip_sql('text')}) >= 3 AND length(prompt) % 2 = 0 AS valid
+      FROM prompts""",
+)
+def answer_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """Openings of the user's turns as answers, many of them too short to ask about."""
+    answers = user_turns(turns(spark, sf)).select(
+        "conv_id",
+        "turn",
+        question_for(F.lit("context"), F.lit(0)).alias("question"),
+        F.left("text", F.col("turn") * 2 + 1).alias("answer"),
+    )
+    return ops.judge_answers(answers, MODEL, judge).drop("question", "answer")

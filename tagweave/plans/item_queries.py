@@ -201,7 +201,7 @@ def normalise_text(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_INDEX_TEXT = (
+INDEX_TEXT_SQL = (
     "coalesce(title, '') || ' ' || company || ' ' || coalesce(array_to_string(skills, ', '), '')"
     " || ' ' || experience || ' ' || source_vacancy"
 )
@@ -209,7 +209,7 @@ _INDEX_TEXT = (
 
 @query(
     "index_text",
-    f"WITH {ITEMS_SQL} SELECT vacancy_id, {normalise_sql(_INDEX_TEXT)} AS index_text FROM items",
+    f"WITH {ITEMS_SQL} SELECT vacancy_id, {normalise_sql(INDEX_TEXT_SQL)} AS index_text FROM items",
 )
 def index_text(spark: SparkSession, sf: str) -> DataFrame:
     names = ("title", "company", "skills", "experience", "source_vacancy")

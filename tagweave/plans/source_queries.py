@@ -19,6 +19,7 @@ from tagweave.plans.views import (
     _orders,
     items,
     landed,
+    landed_with_faults,
     text_items,
     vectors,
 )
@@ -41,6 +42,22 @@ def scan_json_items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "scan_refused",
+    f"""WITH {CRAWL_SQL}
+      SELECT 'page' AS kind, keyword, count(*) AS n FROM pages_found WHERE page % 7 = 3 GROUP BY keyword
+      UNION ALL SELECT 'detail', NULL, count(*) FROM orders WHERE o_orderkey % 11 = 5
+      UNION ALL SELECT 'employer', NULL, count(*) FROM customer WHERE c_custkey = 1""",
+)
+def scan_refused(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that are cut short or have no name, by what is known of them."""
+    place = landed_with_faults(spark, sf)
+    found = landing.refused(spark, place.pages, "page")
+    for kind, path in (("detail", place.details), ("employer", place.employers)):
+        found = found.unionByName(landing.refused(spark, path, kind))
+    return found.groupBy("kind", "keyword").agg(F.count("*").alias("n"))
+
+
 @query(
     "page_cut",
     """WITH listed AS (
@@ -89,15 +106,19 @@ def parse_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "parse_tags_text",
-    "SELECT event_id, '' AS tags, event_type AS listed FROM events",
+    f"""WITH {ITEMS_SQL} SELECT vacancy_id, '' AS none, CASE WHEN skills IS NOT NULL
+        THEN array_to_string(skills, '|') ELSE '' END AS objects,
+        work_format_names[1] AS listed FROM items""",
 )
 def parse_tags_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that are no lists have no tags; one-string lists have one."""
-    listed = F.to_json(F.array("event_type"))
-    return read_table(spark, sf, "events").select(
-        "event_id",
-        F.array_join(parse(F.col("props")), "|").alias("tags"),
-        F.array_join(parse(listed), "|").alias("listed"),
+    """Lists of objects and of strings have tags, a document that is no list has none."""
+    objects = F.to_json(F.transform("skills", lambda s: F.struct(s.alias("name"))))
+    tags = lambda raw: F.array_join(parse(raw), "|")
+    return items(spark, sf).select(
+        "vacancy_id",
+        tags(F.to_json(F.struct("title"))).alias("none"),
+        tags(objects).alias("objects"),
+        tags(F.to_json("work_format_names")).alias("listed"),
     )
 
 

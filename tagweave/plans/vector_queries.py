@@ -51,14 +51,14 @@ _ALL_PAIRS = f"""WITH asked AS (SELECT vec_id AS query_id, embedding AS q FROM e
 
 @query("knn_batch", _ALL_PAIRS)
 def knn_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Every vector's five nearest; the size of the query side picks the physical form."""
+    """Every vector's five nearest."""
     corpus = vectors(spark, sf)
     return as_pairs(knn(corpus.withColumnRenamed("id", "query_id"), corpus, 5))
 
 
 @query("knn_join", _ALL_PAIRS)
 def knn_join_tiled(spark: SparkSession, sf: str) -> DataFrame:
-    """The same through the form for query tables of any size."""
+    """The same in small blocks of queries."""
     corpus = vectors(spark, sf)
     return as_pairs(knn_join(corpus.withColumnRenamed("id", "query_id"), corpus, 5))
 
@@ -85,10 +85,28 @@ def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("knn_lsh")
-def knn_lsh_buckets(spark: SparkSession, sf: str) -> DataFrame:
+LSH_CELLS, LSH_PROBES = 64, 28
+
+
+@query(
+    "knn_lsh",
+    f"""WITH corpus AS (SELECT vec_id AS id, {UNIT_SQL.format(v='embedding')} AS v FROM embeddings),
+      pivots AS (SELECT id AS p, v AS c FROM corpus ORDER BY md5(id::VARCHAR), id LIMIT {LSH_CELLS}),
+      near AS (
+        SELECT id, v, p, row_number() OVER (PARTITION BY id ORDER BY
+          round({L2_SQL.format(a='v', b='c')}, 9), p) AS place FROM corpus, pivots),
+      pairs AS (
+        SELECT a.id AS query_id, b.id, {L2_SQL.format(a='a.v', b='b.v')} AS d
+        FROM near a JOIN near b ON a.p = b.p AND a.place <= {LSH_PROBES} AND b.place = 1)
+      SELECT query_id, id, rank, round(d, 6) AS distance FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) AS rank
+        FROM pairs) WHERE rank <= 5""",
+)
+def knn_lsh_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector's five nearest of the cells it visits."""
     corpus = unit_vectors(vectors(spark, sf), "id")
-    return as_pairs(knn_lsh(corpus.withColumnRenamed("id", "query_id"), corpus, 5))
+    queries = corpus.withColumnRenamed("id", "query_id")
+    return as_pairs(knn_lsh(queries, corpus, 5, LSH_CELLS, LSH_PROBES))
 
 
 def found(hits: DataFrame) -> DataFrame:

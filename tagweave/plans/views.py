@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.text import salary_text
-from tagweave.session import scratch_path
+from tagweave.session import is_scratch, scratch_path
 from tagweave.sources.tables import read_spread, read_table
 
 # Crawl keywords of the landed listings: every item is listed under its status and its priority.
@@ -174,16 +174,6 @@ centres AS (
 L2_SQL = "list_distance({a}::DOUBLE[], {b}::DOUBLE[]) ** 2"
 
 
-def graph_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Items that have a vector and a title."""
-    embedded = vectors(spark, sf).withColumnRenamed("id", "vacancy_id")
-    return (
-        items(spark, sf, embedded.select(F.col("vacancy_id").alias("o_orderkey")))
-        .join(embedded, "vacancy_id")
-        .filter(F.col("title").isNotNull())
-    )
-
-
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "conversations")
 
@@ -203,16 +193,35 @@ def landed(spark: SparkSession, sf: str) -> Landing:
     A page holds the orders of one range of ``PAGE_ITEMS`` keys, so its list is bounded.
     """
     place = (spark.sparkContext.applicationId, sf)
-    if place not in _landed:
-        landing = Landing(*[scratch_path(spark, n) for n in Landing._fields])
-        orders = _orders(spark, sf).join(_lines(spark, sf), "o_orderkey", "left")
-        _listing_pages(orders).write.json(landing.pages)
-        _details(orders).write.json(landing.details)
-        _employers(read_table(spark, sf, "customer"), read_table(spark, sf, "nation")).write.json(
-            landing.employers
-        )
-        _landed[place] = landing
-    return _landed[place]
+    if place in _landed and is_scratch(spark, _landed[place].pages):
+        return _landed[place]
+    landing = _landed[place] = Landing(*[scratch_path(spark, n) for n in Landing._fields])
+    orders = _orders(spark, sf).join(_lines(spark, sf), "o_orderkey", "left")
+    _listing_pages(orders).write.json(landing.pages)
+    _details(orders).write.text(landing.details)
+    _employers(read_table(spark, sf, "customer"), read_table(spark, sf, "nation")).write.json(
+        landing.employers
+    )
+    return landing
+
+
+def landed_with_faults(spark: SparkSession, sf: str) -> Landing:
+    """As ``landed``, with pages in folders by keyword and some documents cut short."""
+    landing = Landing(*[scratch_path(spark, n) for n in Landing._fields])
+    cut = lambda text, at: F.when(at, F.left(text, F.length(text) - 3)).otherwise(text)
+    orders = _orders(spark, sf).join(_lines(spark, sf), "o_orderkey", "left")
+    page = F.to_json(F.struct("page", "pages", "items"))
+    _listing_pages(orders).select(
+        "keyword", cut(page, F.col("page") % 7 == 3).alias("value")
+    ).write.partitionBy("keyword").text(landing.pages)
+    key = F.regexp_extract("value", r"^..id.: *.(\d+)", 1).cast("bigint")
+    _details(orders).select(cut(F.col("value"), key % 11 == 5).alias("value")).write.text(
+        landing.details
+    )
+    employer = F.to_json(F.struct(F.when(F.col("id") != "1", F.col("id")).alias("id"), "industries"))
+    employers = _employers(read_table(spark, sf, "customer"), read_table(spark, sf, "nation"))
+    employers.select(employer.alias("value")).write.text(landing.employers)
+    return landing
 
 
 def _listing_pages(orders: DataFrame) -> DataFrame:
@@ -263,14 +272,14 @@ def _listing_pages(orders: DataFrame) -> DataFrame:
 
 
 def _details(orders: DataFrame) -> DataFrame:
-    """Tags as objects, as strings, or not at all, by order status."""
+    """One document a line; tags as a list of objects, of strings, or not at all, by order status."""
     objects = F.transform("skills", lambda s: F.struct(s.alias("name")))
-    return orders.select(
-        F.col("o_orderkey").cast("string").alias("id"),
-        F.when(F.col("o_orderstatus") == "O", F.to_json(objects))
-        .when(F.col("o_orderstatus") == "F", F.to_json("skills"))
-        .alias("key_skills"),
+    tags = F.when(F.col("o_orderstatus") == "O", F.to_json(objects)).when(
+        F.col("o_orderstatus") == "F", F.to_json("skills")
     )
+    key = F.concat(F.lit('{"id":"'), F.col("o_orderkey").cast("string"), F.lit('"'))
+    listed = F.coalesce(F.concat(F.lit(',"key_skills":'), tags), F.lit(""))
+    return orders.select(F.concat(key, listed, F.lit("}")).alias("value"))
 
 
 def _employers(customers: DataFrame, nations: DataFrame) -> DataFrame:

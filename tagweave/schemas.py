@@ -1,14 +1,6 @@
-"""Fixed schemas of the landed documents and of the item table."""
+"""Fixed schemas of the landed documents."""
 
-# Field names and types of the landed JSON documents and the item table.
-LISTING_ITEM = (
-    "id string, name string, area struct<name:string>, "
-    "snippet struct<requirement:string,responsibility:string>, "
-    "work_format array<struct<id:string,name:string>>, "
-    "employer struct<id:string,name:string>, experience struct<name:string>, "
-    "salary struct<`from`:bigint,`to`:bigint,currency:string>, "
-    "alternate_url string, published_at string"
-)
+# Field names and types of the landed JSON documents.
 _LISTING_STRUCT = (
     "struct<id:string,name:string,area:struct<name:string>,"
     "snippet:struct<requirement:string,responsibility:string>,"
@@ -21,16 +13,6 @@ LISTING_PAGE = f"keyword string, page int, pages int, items array<{_LISTING_STRU
 ITEM_DETAIL = "id string, key_skills string"
 EMPLOYER = "id string, industries array<struct<name:string>>"
 
-ITEM = (
-    "vacancy_id bigint, title string, loc string, requirement string, responsibility string, "
-    "work_format_ids array<string>, work_format_names array<string>, skills array<string>, "
-    "company string, industry string, experience string, salary_from bigint, salary_to bigint, "
-    "salary_currency string, salary_str string, url string, published_at timestamp, "
-    "source_vacancy string"
-)
-PROFILE = "requirement_responsibility string, skills array<string>, experience string"
-EMBEDDING = "id bigint, embedding array<float>"
-
 RECOMMENDATION_TEXTS = (
     "nearest_position",
     "nearest_position_reason",

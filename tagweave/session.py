@@ -50,14 +50,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def is_scratch(spark: SparkSession, path: str) -> bool:
+    """Whether a scratch path has not been discarded yet."""
+    return path in _staged.get(spark.sparkContext.applicationId, [])
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete what was written at a scratch path, in whatever store it is."""
-    known = _staged.get(spark.sparkContext.applicationId, [])
-    if path not in known:
+    if not is_scratch(spark, path):
         raise ValueError(f"not a scratch path of this session: {path}")
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    known.remove(path)
+    _staged[spark.sparkContext.applicationId].remove(path)
 
 
 @contextmanager

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave.sources.tables import table_exists
+
 
 def save_index(vectors: DataFrame | None, path: str) -> None:
     """Write ``(id, vector)``; there must be an index to save."""
@@ -30,13 +31,10 @@ def build_or_load_index(
     ``embed`` maps items to ``(id, vector)``.
     """
     spark = items.sparkSession
-    try:
-        known = spark.read.parquet(path)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing.getCondition()):
-            raise
+    if not table_exists(spark, path):
         save_index(embed(items), path)
         return load_index(spark, path, items, key)
+    known = spark.read.parquet(path)
     new = items.join(known.select(F.col("id").alias(key)), key, "left_anti")
     embed(new).select("id", "vector").write.mode("append").parquet(path)
     return load_index(spark, path, items, key)

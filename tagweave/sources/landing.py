@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tagweave import schemas, wording
 from tagweave.functions.documents import first_industry, parse_tags
-from tagweave.sources.small import broadcast_if_small
+from tagweave.session import stage
+from tagweave.sources.small import sized
 
 
 def request_grid(keywords: DataFrame, cities: dict[str, int] = wording.CITIES) -> DataFrame:
@@ -22,14 +23,54 @@ def default_keywords(spark: SparkSession) -> DataFrame:
     )
 
 
-def scan_pages(spark: SparkSession, path: str) -> DataFrame:
+#: What could not be read of a document, and the schema and the required fields by kind.
+REFUSED = "_refused"
+KINDS = {
+    "page": (schemas.LISTING_PAGE, ("keyword", "page")),
+    "detail": (schemas.ITEM_DETAIL, ("id",)),
+    "employer": (schemas.EMPLOYER, ("id",)),
+}
+
+
+def _scan(
+    spark: SparkSession, path: str, schema: str, required: tuple[str, ...], multi_line: bool
+) -> tuple[DataFrame, DataFrame]:
+    """The documents at ``path``, and those that are not JSON or lack a required field.
+
+    Without ``multi_line`` every line is a document, with it every file is one.
+    """
+    found = (
+        spark.read.schema(f"{schema}, {REFUSED} string")
+        .option("columnNameOfCorruptRecord", REFUSED)
+        .option("multiLine", multi_line)
+        .json(path)
+    )
+    bad = F.col(REFUSED).isNotNull()
+    for name in required:
+        bad = bad | F.col(name).isNull()
+    return found.filter(~bad).drop(REFUSED), found.filter(bad)
+
+
+def scan_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Listing pages; keyword and page come from the document or from partition folders.
 
-    A document that is not JSON leaves no page number and is dropped: to the crawl it is a page
-    that was never fetched.
+    A document that cannot be read is a page that was never fetched to the crawl; :func:`refused` has
+    them.
     """
-    pages = spark.read.schema(schemas.LISTING_PAGE).json(path)
-    return pages.filter(F.col("page").isNotNull() & F.col("keyword").isNotNull())
+    return _scan(spark, path, *KINDS["page"], multi_line)[0]
+
+
+def refused(spark: SparkSession, path: str, kind: str, multi_line: bool = False) -> DataFrame:
+    """``(kind, keyword, refused)``: the documents that the scan of this kind leaves out.
+
+    ``kind`` is page, detail or employer. A page's keyword is known where folders name it. ``refused``
+    is the text, null where it is JSON without what names it.
+    """
+    schema, required = KINDS[kind]
+    keyword = F.col("keyword") if "keyword" in required else F.lit(None).cast("string")
+    return _scan(spark, path, schema, required, multi_line)[1].select(
+        F.lit(kind).alias("kind"), keyword.alias("keyword"), F.col(REFUSED).alias("refused")
+    )
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -76,26 +117,29 @@ def crawled_pages(pages: DataFrame) -> DataFrame:
         .agg(F.min("at").alias("last_page"))
     )
     return (
-        pages.join(broadcast_if_small(ends), "keyword")
+        pages.join(sized(ends, "ends"), "keyword")
         .filter(F.col("page") <= F.col("last_page"))
         .drop("last_page")
     )
 
 
+def land_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Listing pages parsed once, as a table; the end of a crawl is found in its columns."""
+    return stage(scan_pages(spark, path, multi_line), "pages")
+
+
 def page_items(pages: DataFrame) -> DataFrame:
     """One row per listed item, with its place in the listing."""
     return pages.select("keyword", "page", F.posexplode("items").alias("position", "item"))
 
 
-def scan_details(spark: SparkSession, path: str) -> DataFrame:
+def scan_details(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """(id, skills) of the item detail documents."""
-    raw = spark.read.schema(schemas.ITEM_DETAIL).json(path)
-    return raw.filter(F.col("id").isNotNull()).select("id", parse_tags(F.col("key_skills")).alias("skills"))
+    raw = _scan(spark, path, *KINDS["detail"], multi_line)[0]
+    return raw.select("id", parse_tags(F.col("key_skills")).alias("skills"))
 
 
-def scan_employers(spark: SparkSession, path: str) -> DataFrame:
+def scan_employers(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """(id, industry) of the employer documents."""
-    raw = spark.read.schema(schemas.EMPLOYER).json(path)
-    return raw.filter(F.col("id").isNotNull()).select(
-        "id", first_industry(F.col("industries")).alias("industry")
-    )
+    raw = _scan(spark, path, *KINDS["employer"], multi_line)[0]
+    return raw.select("id", first_industry(F.col("industries")).alias("industry"))

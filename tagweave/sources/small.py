@@ -1,22 +1,16 @@
-"""Broadcasting behind a check of the size."""
+"""Frames that are usually small, as tables whose size the planner knows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-MAX_ROWS = 20_000
-MAX_BYTES = 16_000_000
+from tagweave.session import stage
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``df`` as a broadcast side if it has few, short rows; else ``df`` as it was.
+def sized(df: DataFrame, label: str = "small") -> DataFrame:
+    """``df`` written and read back, so that a join broadcasts it if it is small.
 
-    For narrow frames that are costly to compute and usually tiny. At most ``max_rows + 1`` rows
-    reach the driver. Beyond the bound the join is left to Spark, which shuffles both sides and
-    splits skewed partitions.
+    Nothing reaches the driver before its size is known, and a frame that turns out large is neither
+    broadcast nor computed again: the join shuffles both sides and splits skewed partitions.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows or sum(len(str(v)) for row in rows for v in row) > MAX_BYTES:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return stage(df, label)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -20,18 +21,34 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def read_spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table for work that is heavy per row.
 
-    A file with fewer splits than the session has cores is dealt out to all of them; a table with
-    enough splits is read as it is, without a shuffle.
+    A table whose files would keep less than a quarter of the cores busy is dealt out to all of them;
+    any other is read as it is, without a shuffle.
     """
     table = read_table(spark, folder, name)
     cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    splits = max(len(table.inputFiles()), _splits(spark, table))
+    return table.repartition(cores) if 4 * splits < cores else table
+
+
+def _splits(spark: SparkSession, table: DataFrame) -> int:
+    """About how many tasks will read a table, from the size the planner knows."""
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    unit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    return size // unit
 
 
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def to_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """Driver-side records as a table; no rows still give the full schema."""
-    return spark.createDataFrame(rows, schema)
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a parquet table can be read at ``path``."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True

@@ -1,4 +1,4 @@
-"""Gradual growth of an item table from a stream of landed listings."""
+"""First arrivals of a stream of landed listings."""
 
 from __future__ import annotations
 
@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tagweave.session import scratch_path
 
 
-def dedupe_stream(
-    items: DataFrame, key: str, event_time: str | None = None, delay: str | None = None
-) -> DataFrame:
-    """The first arrival per key. With a watermark, keys older than ``delay`` are forgotten."""
-    if event_time and delay:
-        return items.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
-    return items.dropDuplicates([key])
+def dedupe_stream(items: DataFrame, key: str, event_time: str, delay: str) -> DataFrame:
+    """The first arrival per key.
+
+    Keys are forgotten once the latest ``event_time`` seen is ``delay`` past them, so the state is
+    bounded. A row that is older than that when it arrives is late and left out; an item that comes
+    back after its key was forgotten passes again.
+    """
+    return items.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def drain(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:

@@ -1,14 +1,16 @@
 from __future__ import annotations
 
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tagweave import wording as w
 from tagweave.operators import dialogue as ops
 from tagweave.streaming.dedupe import dedupe_stream, drain
-from tagweave.streaming.dialogue import stream_progress
+from tagweave.streaming.dialogue import steps_after, stream_progress
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
 ANSWERS = "conv_id bigint, turn bigint, valid boolean"
@@ -133,18 +135,49 @@ def test_stream_equals_batch_over_several_batches_and_a_restart(spark, tmp_path)
     assert rows(streamed.select(columns)) == rows(batch.select(columns))
 
 
-@pytest.mark.parametrize("watermark", [(None, None), ("at", "1 day")])
-def test_stream_keeps_one_row_per_key(spark, tmp_path, watermark):
+def test_stream_keeps_one_row_per_key(spark, tmp_path):
     source, sink = str(tmp_path / "items"), str(tmp_path / "out")
     schema = "vacancy_id bigint, at timestamp"
 
-    def arrive(ids):
+    def arrive(ids, at="2025-01-01 00:00:00"):
         part = spark.createDataFrame([(i,) for i in ids], "vacancy_id bigint")
-        part.withColumn("at", F.lit("2025-01-01 00:00:00").cast("timestamp")).write.mode(
-            "append"
-        ).parquet(source)
+        part.withColumn("at", F.lit(at).cast("timestamp")).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        return drain(dedupe_stream(stream, "vacancy_id", *watermark), "t", sink)
+        return drain(dedupe_stream(stream, "vacancy_id", "at", "1 day"), "t", sink)
 
     arrive([1, 2, 2])
     assert sorted(r.vacancy_id for r in arrive([2, 3, 3]).collect()) == [1, 2, 3]
+    arrive([4], "2025-02-01 00:00:00")
+    assert sorted(r.vacancy_id for r in arrive([5], "2025-01-01 00:00:00").collect()) == [1, 2, 3, 4]
+
+
+def test_steps_after_each_answer():
+    rng = random.Random(2)
+    for n in (1, 2, 3, 8, 100):
+        valid = [rng.random() < 0.7 for _ in range(n)]
+        for start in range(4):
+            step, seen = start, []
+            for ok in valid:
+                step = 0 if step == 3 else step + ok
+                seen.append(step)
+            assert steps_after(start, np.array(valid), 3).tolist() == seen
+
+
+def test_long_chains_are_walked_in_proportion(spark):
+    """Turns far apart make a chunk each; ten times the chunks take about ten times as long."""
+
+    def seconds(n):
+        answers = spark.range(n).selectExpr("1L AS conv_id", "id * 1024 AS turn", "id % 3 <> 0 AS valid")
+        found = ops.dialogue_progress(answers)
+        start = time.perf_counter()
+        last = found.orderBy(F.desc("turn")).select("turn", "step", "next").first()
+        return time.perf_counter() - start, last
+
+    seconds(2_000)
+    short, _ = seconds(10_000)
+    long, last = seconds(100_000)
+    assert long < 15 * max(short, 1.0)
+    step = 0
+    for i in range(100_000):
+        before, step = step, 0 if step == 8 else step + (i % 3 != 0)
+    assert tuple(last) == (99_999 * 1024, before, step)

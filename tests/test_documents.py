@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagweave.functions import documents as d
-from tagweave.operators.exchange import complete, final_replies, with_advice
+from tagweave.operators.exchange import complete, final_replies, judge_answers, with_advice
 
 
 def one(spark, column, text):
@@ -27,6 +27,10 @@ def one(spark, column, text):
         ("[1, 2]", []),
         ("null", []),
         (None, []),
+        ('[{"name":"a","name":"b"}]', ["b"]),
+        ('[{"name":"a","rate":NaN}]', ["a"]),
+        ("[{'name':'a'}]", []),
+        ('[["a"]]', []),
     ],
 )
 def test_parse_tags(spark, raw, tags):
@@ -44,6 +48,12 @@ def test_parse_tags(spark, raw, tags):
         ("open {", {"response": "open {"}),
         ("a } b {", {"response": "a } b {"}),
         ('1,"b":2', {"response": '1,"b":2'}),
+        ('1],"b":2}{"a":[3', {"response": '1],"b":2}{"a":[3'}),
+        ('{"response":"r","response":"s"}', {"response": "s"}),
+        ('so {"a": [1, {"b": null}]}!', {"a": [1, {"b": None}]}),
+        ("1 2", {"response": "1 2"}),
+        ("1, 2", {"response": "1, 2"}),
+        ("", {"response": ""}),
     ],
 )
 def test_tolerant_json(spark, raw, document):
@@ -57,6 +67,8 @@ def test_tolerant_json(spark, raw, document):
         ('{"choices":[{"message":{"text":"t"}}]}', "t"),
         ('{"choices":[{"finish":"x"}],"outputs":[{"text":"o"}]}', "o"),
         ('{"outputs":[{}]}', ""),
+        ('{"choices":[{"message":{"content":"a","content":"b"}}],"usage":NaN}', "b"),
+        ('{"choices":"none","outputs":[{"text":"o"}]}', "o"),
     ],
 )
 def test_response_text(spark, body, text):
@@ -142,3 +154,38 @@ def test_final_replies_keep_ready_replies(spark):
     )
     replies = {r.reply for r in final_replies(df).collect()}
     assert replies == {"🔎 Рекомендации по карьерным шагам:\n\nr\n", "nothing"}
+
+
+def test_not_a_number_and_long_documents_are_json(spark):
+    assert one(spark, d.is_json(F.col("s")), '{"a": NaN}') is True
+    assert one(spark, d.is_json(F.col("s")), "{'a': 1}") is False
+    assert one(spark, d.is_json(F.col("s")), None) is None
+    long = spark.range(1).select(F.concat(F.lit('{"a":"'), F.repeat(F.lit("x"), 140_000_000), F.lit('"}')).alias("s"))
+    assert long.select(d.is_json(F.col("s")).alias("x")).first().x is True
+
+
+def test_batches_of_calls(spark):
+    asked = F.array(d.message("user", F.col("s")))
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "s string").coalesce(1)
+    requests = df.withColumn("request", F.when(F.col("s").isNotNull(), d.request_document(asked, "m")))
+
+    def ask_batch(batch):
+        return [ValueError("no") if m[-1]["content"] == "b" else str(len(batch)) for m in batch]
+
+    rows = {r.s: (r.completion, r.error) for r in complete(requests, ask_batch=ask_batch).collect()}
+    assert rows == {"a": ("2", None), "b": ('{"response":"","error":"no"}', "no"), None: (None, None)}
+    broken = complete(requests, ask_batch=lambda batch: 1 / 0)
+    assert [r.error for r in broken.orderBy("s").collect()] == [None, "division by zero", "division by zero"]
+
+
+def test_judge_answers(spark):
+    rows = [(1, "q", "fine"), (2, "q", "no"), (3, "q", None), (4, "q", "boom"), (5, "q", "never")]
+    answers = spark.createDataFrame(rows, "id int, question string, answer string")
+
+    def ask(messages):
+        if "boom" in messages[-1]["content"]:
+            raise ValueError("да")
+        return "Да." if "fine" in messages[-1]["content"] else "Нет."
+
+    found = judge_answers(answers, "m", ask).collect()
+    assert {r.id: r.valid for r in found} == {1: True, 2: False, 3: False, 4: False, 5: False}

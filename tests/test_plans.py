@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tagweave import session
 from tagweave.operators import dialogue, graph, items, search
 from tagweave.operators.encoding import encode
 from tagweave.operators.similarity import knn
-from tagweave.sources.small import broadcast_if_small
+from tagweave.sources.small import sized
 
 
 def plan(df) -> str:
@@ -103,7 +105,36 @@ def test_progress_has_no_window_over_a_whole_conversation(spark):
     assert "Window" not in plan(dialogue.dialogue_progress(answers))
 
 
-def test_broadcast_only_within_the_bound(spark):
-    side = spark.range(50)
-    assert "broadcast" in broadcast_if_small(side, 50)._jdf.queryExecution().analyzed().toString().lower()
-    assert broadcast_if_small(side, 49) is side
+def test_a_small_side_is_broadcast_and_a_large_one_is_not(spark, table):
+    small, large = spark.range(50).toDF("vacancy_id"), spark.range(3_000_000).toDF("vacancy_id")
+    assert "BroadcastHashJoin" in plan(spark.range(10**7).toDF("vacancy_id").join(sized(small), "vacancy_id"))
+    text = plan(spark.range(10**7).toDF("vacancy_id").join(sized(large), "vacancy_id"))
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
+def test_label_edges_do_not_reach_the_shuffle(spark, tmp_path):
+    """One level on all items: its edges are dropped before anything is dealt out."""
+    rows = [(i, f"t{i}", "c", "one level", "d", "s", [f"tag {i % 5}"]) for i in range(200)]
+    items = spark.createDataFrame(
+        rows,
+        "vacancy_id bigint, title string, company string, experience string, industry string, "
+        "salary_str string, skills array<string>",
+    )
+    edges = graph.build_graph(items).edges
+    assert edges.filter(F.col("dst").isin("one level", "c", "d")).count() == 0
+    assert edges.count() == 400
+
+
+def test_staged_tables_go_when_the_caller_is_done(spark, table):
+    root = os.path.join(session.scratch_root(spark), "tagweave")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    queries = spark.createDataFrame([(1, [0.0, 0.0])], "query_id bigint, vector array<float>")
+    index = table.select(F.col("vacancy_id").alias("id"), "vector")
+    with session.scratch(spark):
+        assert search.search(queries, index, table, 3).count() == 3
+        advice = graph.recommend_by_graph(queries.selectExpr("query_id", "array(1f, 0f) AS vector"), index, table)
+        assert advice.hits.count() == 5
+        assert len(set(os.listdir(root)) - before) > 3
+    assert set(os.listdir(root)) <= before
+    with pytest.raises(ValueError, match="not a scratch path"):
+        session.discard(spark, "/somewhere/else")

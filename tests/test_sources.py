@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tagweave import session
-from tagweave.sources import embeddings
+from tagweave.sources import embeddings, landing
 from tagweave.sources.tables import write_table
+from tagweave.streaming.ingest import append_items, stream_ingest
 
 
 def items(spark, *ids):
@@ -51,6 +54,57 @@ def test_stage_keeps_rows_and_schema(spark):
     assert session.stage(df.limit(0), "t").columns == ["a", "b"]
 
 
+def page(number, *ids, **more):
+    items = [{"id": str(i), "name": f"t{i}"} for i in ids]
+    return {"keyword": "k", "page": number, "pages": 9, "items": items, **more}
+
+
+def test_documents_over_several_lines(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"p{i}.json").write_text(json.dumps(page(i, i), indent=1 if i == 1 else None))
+    found = landing.crawled_pages(landing.scan_pages(spark, str(tmp_path), multi_line=True))
+    assert sorted(r.page for r in found.collect()) == [0, 1, 2]
+    assert landing.refused(spark, str(tmp_path), "page", multi_line=True).count() == 0
+    lost = landing.refused(spark, str(tmp_path), "page").collect()
+    assert len(lost) > 1 and all(r.kind == "page" for r in lost)
+
+
+def test_refused_documents_are_told(spark, tmp_path):
+    lines = [json.dumps(page(0, 1)), json.dumps(page(1, 2))[:-4], json.dumps({"keyword": "k"}), json.dumps(page(2, 3))]
+    (tmp_path / "pages.json").write_text("\n".join(lines))
+    assert sorted(r.page for r in landing.scan_pages(spark, str(tmp_path)).collect()) == [0, 2]
+    assert sorted((r.refused or "") for r in landing.refused(spark, str(tmp_path), "page").collect()) == ["", lines[1]]
+
+
+def test_details_as_they_come(spark, tmp_path):
+    docs = [{"id": "1", "key_skills": [{"name": "a"}]}, {"id": "2", "key_skills": ["b"]}, {"id": "3"}, {"id": "4", "key_skills": []}]
+    (tmp_path / "d.json").write_text("\n".join(map(json.dumps, docs)))
+    found = {r.id: r.skills for r in landing.scan_details(spark, str(tmp_path)).collect()}
+    assert found == {"1": ["a"], "2": ["b"], "3": [], "4": []}
+
+
+def test_stream_ingest_grows_and_repeats_nothing(spark, tmp_path):
+    pages, details, employers = (tmp_path / n for n in ("pages", "details", "employers"))
+    for folder in (pages, details, employers):
+        folder.mkdir()
+    (details / "d.json").write_text('{"id":"1","key_skills":["go"]}')
+    (employers / "e.json").write_text('{"id":"9","industries":[{"name":"IT"}]}')
+    items_path, index_path = str(tmp_path / "items"), str(tmp_path / "index")
+
+    def arrive(name, *documents):
+        (pages / name).write_text("\n".join(map(json.dumps, documents)))
+        found = stream_ingest(spark, str(pages), str(details), str(employers), items_path, index_path, ["k"])
+        assert sorted(r.id for r in spark.read.parquet(index_path).collect()) == sorted(r.vacancy_id for r in found.collect())
+        return {r.vacancy_id: (r.title, r.skills) for r in found.collect()}
+
+    assert arrive("a.json", page(0, 1, 2), page(1, 2)) == {1: ("t1", ["go"]), 2: ("t2", [])}
+    assert set(arrive("b.json", page(2, 2, 3))) == {1, 2, 3}
+    # the same batch again, as after a failure between the two tables
+    listed = landing.page_items(landing.scan_pages(spark, str(pages)))
+    append_items(listed, str(details), str(employers), items_path, index_path, ["k"])
+    assert spark.read.parquet(items_path).count() == spark.read.parquet(index_path).count() == 3
+
+
 def test_scratch_is_the_named_folder(spark, tmp_path):
     class Conf:
         def get(self, key, default):
