@@ -32,7 +32,7 @@ def read_spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def _splits(spark: SparkSession, table: DataFrame) -> int:
     """About how many tasks will read a table, from the size the planner knows."""
-    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     unit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
         spark.conf.get("spark.sql.files.maxPartitionBytes")
     )

@@ -32,15 +32,19 @@ def steps_after(start: int, valid: np.ndarray, end: int) -> np.ndarray:
 
 
 def stream_progress(
-    answers: DataFrame, blocks: Blocks = w.QUESTION_BLOCKS, forget_after_ms: int = 30 * DAY_MS
+    answers: DataFrame, blocks: Blocks = w.QUESTION_BLOCKS, forget_after_ms: int | None = None
 ) -> DataFrame:
     """Streaming twin of ``dialogue_progress`` for ``answers(conv_id, turn, valid)``.
 
     The state of a conversation is its step. Turns of one micro-batch are put in order; a turn that
-    arrives after a later one was handled is taken as it comes, as in a live chat. A finished
-    questionnaire is forgotten ``forget_after_ms`` after its last turn; a message that comes later
-    still is the first answer of a new one.
+    arrives after a later one was handled is taken as it comes, as in a live chat.
+
+    A stream that never ends should say when a finished questionnaire may go, for instance
+    ``30 * DAY_MS`` after its last turn; a message that comes later still is the first answer of a new
+    one. Spark looks for such by the clock, in batches without data, so a stream that is to end when all
+    is read (``availableNow``) would run on for ever: it passes None and forgets nothing.
     """
+    timeout = GroupStateTimeout.NoTimeout if forget_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     end = len(_steps(blocks)) - 1
 
     def advance(
@@ -57,7 +61,7 @@ def stream_progress(
         after = steps_after(step, valid[order], end)
         before = np.concatenate([[step], after[:-1]])
         state.update((int(after[-1]),))
-        if after[-1] == end:
+        if after[-1] == end and forget_after_ms is not None:
             state.setTimeoutDuration(forget_after_ms)
         yield pd.DataFrame(
             {
@@ -78,7 +82,7 @@ def stream_progress(
             f"conv_id {key_type}, turn bigint, valid boolean, step int, next int",
             "step int",
             "append",
-            GroupStateTimeout.ProcessingTimeTimeout,
+            timeout,
         )
     )
     return describe_steps(moves, blocks)
