@@ -107,8 +107,8 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     joint = one_of([" = \"", ": ", "=", " = ", "=\"", ": \"", " "], 4)
     plain = ", ".join(one_of(PLAIN_WORDS, salt) for salt in range(10, 14))
     names = f"concat_ws('_', {plain}, pmod(id, 97))"
-    before, after = one_of(["the", "use", "see", "with", "thanor", "export", "set", "# our"], 5), one_of(["\"", "\";", "", " and", ".", "\"!!"], 6)
-    code, test = one_of(["src/main.py", "app/settings.env", "deploy/prod.yml", "src3", ""], 7), one_of(["tests/fixtures/a.json", "docs/example.md", "package-lock.json", "go.sum"], 8)
+    before, after = one_of(["the", "use", "see", "with", "our", "export", "set", "# our"], 5), one_of(["\"", "\";", "", " and", ".", "\"!!"], 6)
+    code, test = one_of(["src/main.py", "app/settings.env", "deploy/prod.yml", "lib/client.rb", ""], 7), one_of(["tests/fixtures/a.json", "docs/example.md", "package-lock.json", "go.sum"], 8)
     kinds = [
         # text, path, label
         (f"concat({before}, ' ', {secret}, {joint}, left({hexes}, 40), {after})", code, 1),
