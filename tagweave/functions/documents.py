@@ -31,24 +31,23 @@ def read_json(raw: Column, kind: str) -> Column:
     The parser stops after the first value, so text behind it would pass unseen. The text is parsed
     as the only entry of a list with its own hash behind the list; the hash is read back only if the
     text is one value and nothing else. After a wrong bracket the parser goes on as if nothing had been,
-    and it refuses values of another type as well, so what it refuses is read once more as plain text.
+    and it refuses values of another type or very long ones as well; so what it refuses is skimmed once
+    more without its values, where only the brackets count.
     Keep the result as a column of its own: fields taken straight from the parse would each repeat it.
     """
     mark = F.xxhash64(raw)
     listed = F.concat(F.lit('{"a":['), raw, F.lit('],"b":'), mark.cast("string"), F.lit("}"))
-
-    def parsed(kind: str) -> Column:
-        return F.from_json(listed, f"a array<{kind}>, b bigint, refused string", _READ)
-
-    def well_formed(f: Column) -> Column:
-        accepted = f["refused"].isNull()
-        return accepted if kind == "string" else accepted | parsed("string")["refused"].isNull()
-
+    found = F.from_json(listed, f"a array<{kind}>, b bigint, refused string", _READ)
+    skimmed = F.from_json(listed, "b bigint, refused string", _READ)
     return F.transform(
-        F.array(parsed(kind)),
+        F.array(found),
         lambda f: F.struct(
             F.coalesce(
-                (f["b"] == mark) & (F.coalesce(F.size(f["a"]), F.lit(1)) == 1) & well_formed(f), F.lit(False)
+                F.when(f["refused"].isNull(), f["b"] == mark).otherwise(
+                    skimmed["refused"].isNull() & (skimmed["b"] == mark)
+                )
+                & (F.coalesce(F.size(f["a"]), F.lit(1)) == 1),
+                F.lit(False),
             ).alias("valid"),
             F.get(f["a"], F.lit(0)).alias("value"),
         ),

@@ -159,6 +159,8 @@ def test_final_replies_keep_ready_replies(spark):
 def test_not_a_number_and_long_documents_are_json(spark):
     assert one(spark, d.is_json(F.col("s")), '{"a": NaN}') is True
     assert one(spark, d.is_json(F.col("s")), "{'a': 1}") is False
+    assert one(spark, d.is_json(F.col("s")), '{"choices":[{"message":{"content":"x"}}]') is False
+    assert one(spark, d.is_json(F.col("s")), '{"a":[1}') is False
     assert one(spark, d.is_json(F.col("s")), None) is None
     long = spark.range(1).select(F.concat(F.lit('{"a":"'), F.repeat(F.lit("x"), 140_000_000), F.lit('"}')).alias("s"))
     assert long.select(d.is_json(F.col("s")).alias("x")).first().x is True
