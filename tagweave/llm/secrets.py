@@ -1,7 +1,8 @@
 """Secret scans by a random forest over candidate strings, in DataFrame and SQL functions only.
 
-A candidate is a private key block or a run of at least twelve key characters with a digit in it. Its
-features are its length, its changes of character class, the share of it that plain words cover, the
+A candidate is a private key block, a value assigned to a word for secrets, of any length and with any
+punctuation, or a run of at least twelve key characters that has a digit, a known start or a capital
+behind a small letter. What is no secret among them is for the forest to say. Its features are its length, its changes of character class, the share of it that plain words cover, the
 path of its text, and the words beside it. A forest trained on labelled findings says which candidates
 are secrets. Its trees become one SQL expression, so documents are scored where they are, without
 exploding candidates and without a shuffle.
@@ -15,9 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What candidates and the words beside them look like.
-BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
-KEY = "[A-Za-z0-9_+/-]"
-CANDIDATE = rf"{BLOCK}|(?<!{KEY})(?=[A-Za-z_+/-]*+[0-9]){KEY}{{12,}}+={{0,2}}"
 SECRET_WORDS = (
     "token secret password passwd pwd apikey api_key api-key accesskey access_key secret_key auth authorization "
     "bearer credential credentials private_key client_secret signing_key webhook session_key"
@@ -38,7 +36,37 @@ PLAIN_WORDS = (
     "submit sum table tag target task temp test text time title token tool top total track tree type "
     "update upload url use user util value version view wait web width window word write your"
 ).split()
-KNOWN_STARTS = r"^(?:AKIA|ASIA|gh[opsu]_|glpat-|xox[abprs]-|sk[-_]|AIza|eyJ|-----BEGIN)"
+KNOWN = r"(?:AKIA|ASIA|gh[opsu]_|glpat-|xox[abprs]-|sk[-_]|AIza|eyJ)"
+KNOWN_STARTS = rf"^(?:{KNOWN}|-----BEGIN)"
+_MARK = "[A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+BLOCK = rf"-----BEGIN {_MARK}[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END {_MARK}"
+KEY = "[A-Za-z0-9_+/-]"
+_DIGIT, _CAPITAL = "[A-Za-z_+/-]*+[0-9]", "[A-Z_+/-]*+[a-z][a-z_+/-]*+[A-Z]"
+_RUN = rf"(?={KNOWN}|{_DIGIT}|{_CAPITAL}){KEY}{{12,}}+={{0,2}}"
+# What a value stands behind. The long look back comes last, as the short ones fail at most places.
+_SIGN = r"(?:=>|:=|[:=])[ \t]{0,3}"
+_WORD = rf"(?i:{'|'.join(SECRET_WORDS)})\\?[\"'`]?[ \t]{{0,3}}{_SIGN}"
+# A value ends where a run of its own begins: behind white space, or with a known start behind a mark.
+_INNER = rf"(?!{KNOWN}{KEY}{{8}})(?!(?<=\s){_RUN})"
+
+
+def _quoted(mark: str) -> str:
+    inside = rf"(?:[A-Za-z0-9]++|\\[^\n]|[^A-Za-z0-9\\\n{mark}]{_INNER})++"
+    escaped = rf"(?:[A-Za-z0-9]++|[^A-Za-z0-9\\\n{mark}]{_INNER})++"
+    plain_at, escaped_at = rf"(?<=[^\\]{mark})(?<={_SIGN}{mark})", rf"(?<=\\{mark})(?<={_SIGN}\\{mark})"
+    return (
+        rf"{plain_at}(?<={_WORD}{mark}){inside}(?={mark})|"
+        rf"{escaped_at}(?<={_WORD}\\{mark}){escaped}(?=\\{mark})"
+    )
+
+
+# Without quotes a value is one word; a mark belongs to it unless a space, the end or another name follows.
+_BARE = (
+    rf"(?<=[=:> \t])(?=[^\s\"'`=:>])(?<={_SIGN})(?<={_WORD})"
+    rf"(?:[A-Za-z0-9]++|[^A-Za-z0-9\s\"'`\\&;,.()\[\]{{}}]{_INNER}|"
+    rf"[\\&;,.()\[\]{{}}](?![&;,.()\[\]{{}}]{{0,8}}(?:[\s\"'`]|\z)|[\w.-]{{1,40}}[=:]){_INNER})++={{0,2}}"
+)
+CANDIDATE = "|".join([BLOCK, *map(_quoted, "\"'`"), _BARE, rf"(?<!{KEY}){_RUN}"])
 OTHER_PATHS = r"(?i)(?:^|[/_.-])(?:tests?|specs?|examples?|fixtures?|mocks?|docs?|samples?|vendor|lock|sum)(?:[/_.-]|$)"
 REDACTED = "[SECRET]"
 
@@ -93,8 +121,9 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
 def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     """``text, path, label``: findings by a stated rule, the same in every run.
 
-    Keys, tokens and key blocks beside words for secrets are labelled 1. Digests, ids, numbers, paths and
-    names beside words for those, and secrets in tests that plain words make up, are labelled 0.
+    Keys, tokens, passwords and key blocks beside words for secrets are labelled 1. Digests, ids, numbers,
+    paths and names beside words for those, secrets in tests that plain words make up, and what programs
+    and sentences put behind a word for secrets, are labelled 0.
     """
     some = "element_at(array({}), int(1 + pmod(xxhash64(id, {}), {})))"
 
@@ -109,6 +138,15 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     names = f"concat_ws('_', {plain}, pmod(id, 97))"
     before, after = one_of(["the", "use", "see", "with", "our", "export", "set", "# our"], 5), one_of(["\"", "\";", "", " and", ".", "\"!!"], 6)
     code, test = one_of(["src/main.py", "app/settings.env", "deploy/prod.yml", "lib/client.rb", ""], 7), one_of(["tests/fixtures/a.json", "docs/example.md", "package-lock.json", "go.sum"], 8)
+    letters = f"translate({base}, '0123456789', 'qRsTuVwXyZ')"
+    assign = one_of([" = ", ": ", "=", ":", " := "], 9)
+    quote = one_of(["\"", "\\'"], 15)
+    word, second = one_of(PLAIN_WORDS, 16), one_of(PLAIN_WORDS, 17)
+    short = f"concat(translate(left({hexes}, int(4 + pmod(id, 5))), '0123456789', 'mnoprstuvw'), pmod(abs(xxhash64(id, 18)), 1000))"
+    marked = f"concat(left({base}, int(2 + pmod(id, 5))), {one_of(list('!@$%*'), 19)}, substr({base}, 9, 3), {one_of(list('#^&?~'), 20)}, substr({base}, 13, 2))"
+    camel = f"concat({word}, initcap({second}), initcap({one_of(PLAIN_WORDS, 21)}), initcap({one_of(PLAIN_WORDS, 22)}))"
+    hyphened = f"concat(initcap(translate(left({hexes}, 7), '0123456789', 'aeioulnrst')), '-', initcap({word}), initcap({second}))"
+    code_value = one_of(["None", "null", "true", "false", "str", "string", "${TOKEN}", "<your-token>", "os.environ", "get_token()", "user.password", "self.secret", "config.get(key)", "required", "***"], 23)
     kinds = [
         # text, path, label
         (f"concat({before}, ' ', {secret}, {joint}, left({hexes}, 40), {after})", code, 1),
@@ -118,6 +156,14 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (f"concat({before}, ' AKIA', upper(left({hexes}, 16)), {after})", code, 1),
         (f"concat({before}, ' ghp_', left({base}, 36), {after})", code, 1),
         (f"concat('-----BEGIN RSA PRIVATE KEY-----\\n', {base}, '\\n-----END RSA PRIVATE KEY-----')", code, 1),
+        (f"concat({before}, ' AKIA', upper(translate(left({hexes}, 16), '0123456789', 'QRSTUVWXYZ')), {after})", code, 1),
+        (f"concat({before}, ' ', {secret}, {joint}, left({letters}, int(20 + pmod(id, 20))), {after})", code, 1),
+        (f"concat({before}, ' ', {secret}, {assign}, {short})", code, 1),
+        (f"concat({before}, ' ', {secret}, {assign}, {quote}, {short}, {quote})", code, 1),
+        (f"concat({before}, ' ', {secret}, {assign}, {quote}, {marked}, {quote})", code, 1),
+        (f"concat({before}, ' ', {secret}, {assign}, {marked})", code, 1),
+        (f"concat('-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\n\n', {base}, '\n-----END PGP PRIVATE KEY BLOCK-----')", code, 1),
+        (f"concat('-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,', upper(left({hexes}, 32)), '\n\n', {base}, '\n-----END RSA PRIVATE KEY-----')", code, 1),
         (f"concat({before}, ' ', {other}, {joint}, left({hexes}, 40), {after})", code, 0),
         (f"concat({before}, ' ', {other}, {joint}, {hexes}, {after})", test, 0),
         (f"concat({before}, ' ', {other}, {joint}, concat_ws('-', left({hexes}, 8), substr({hexes}, 9, 4), substr({hexes}, 13, 4), substr({hexes}, 17, 4), substr({hexes}, 21, 12)))", code, 0),
@@ -127,6 +173,13 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (f"concat({before}, ' ', replace({names}, '_', '/'), {after})", code, 0),
         (f"concat({before}, ' ', {secret}, {joint}, {names}, {after})", test, 0),
         (f"concat({before}, ' ', left({hexes}, 40), ' ', {after})", test, 0),
+        (f"concat({before}, ' ', {camel}, ' ', {after})", code, 0),
+        (f"concat({before}, ' ', {hyphened}, ' ', {after})", code, 0),
+        (f"concat({before}, ' ', {secret}, {assign}, {word}, ' ', {second})", code, 0),
+        (f"concat({before}, ' ', {secret}, {assign}, {quote}, {word}, ' ', {second}, ' ', {names}, {quote})", code, 0),
+        (f"concat({before}, ' ', {secret}, {assign}, {code_value})", code, 0),
+        (f"concat({before}, ' ', {secret}, {assign}, {quote}, {word}, {quote})", code, 0),
+        (f"concat({before}, ' ', {secret}, {assign}, {camel})", code, 0),
     ]
     text = " ".join(f"WHEN {i} THEN {t}" for i, (t, _, _) in enumerate(kinds))
     path = " ".join(f"WHEN {i} THEN {p}" for i, (_, p, _) in enumerate(kinds))
