@@ -8,7 +8,9 @@ scripts, forms and so on). Pages with the same article count once, so copies do
 like a part of the site, and what makes up an article goes only if it is a box with a name of its own.
 
 A host is never gathered in one place: the tree is a table of branches, made of counts that are
-combined before they are dealt out. Only the low branches of a host travel back to its pages.
+combined before they are dealt out. Only the low branches of a host travel back to its pages, as one
+list where they are few. Where they are many, each page gets those it has itself, so its own markup
+bounds them: what its branches are is listed and meets the low ones by host and branch.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.batches import slices
+from tagweave.llm.batches import is_empty, slices
 from tagweave.llm.dom import Page
 from tagweave.session import stage
 
-#: A branch goes if its importance is below this, and it is on at least this many different pages of
-#: its host and this share of them. The share bounds the low branches of a host.
-IMPORTANCE, LEAST_PAGES, LEAST_SHARE = 0.3, 8, 0.01
+#: A branch goes if its importance is below this, and it is on at least this many different pages of its host.
+IMPORTANCE, LEAST_PAGES = 0.3, 8
+#: Low branches of a host up to which its pages get all of them; both ways leave the same texts.
+FEW = 1_000
 
 
 def host_of(url: Column) -> Column:
@@ -87,16 +90,38 @@ def importance(pages: DataFrame) -> DataFrame:
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
-    """``(host, low)``: the branches of a host that belong to the site, as a list."""
-    tree = stage(importance(pages), "style-tree")
-    # every page has its root, so the most pages of a branch are the pages of the host
-    size = tree.groupBy("host").agg(F.max("n_pages").alias("host_pages"))
-    low = (
-        tree.where((F.col("importance") < IMPORTANCE) & (F.col("n_pages") >= LEAST_PAGES))
-        .join(size, "host")
-        .where(F.col("n_pages") >= LEAST_SHARE * F.col("host_pages"))
-    )
-    return stage(low.groupBy("host").agg(F.collect_set("branch").alias("low")), "low-branches")
+    """``(host, branch, n_low)``: the branches of a host that belong to the site, and how many it has."""
+    tree = importance(pages).where((F.col("importance") < IMPORTANCE) & (F.col("n_pages") >= LEAST_PAGES))
+    low = stage(tree.select("host", "branch"), "style-tree")
+    return stage(low.join(low.groupBy("host").agg(F.count("*").alias("n_low")), "host"), "low-branches")
+
+
+def own_low_branches(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """``(host, page, low)``: of every different page, named by its digest, the branches among ``low``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [list(map(_signed, Page(html).branches)) for html in batch.column("html").to_pylist()]
+            columns = [batch.column("host"), batch.column("page"), pa.array(own, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "branches"])
+
+    listed = pages.join(low.select("host").distinct(), "host", "left_semi").select("host", "page", "html")
+    listed = listed.mapInArrow(run, "host string, page string, branches array<long>")
+    each = listed.select("host", "page", F.explode("branches").alias("branch")).join(low, ["host", "branch"])
+    return stage(each.groupBy("host", "page").agg(F.collect_set("branch").alias("low")), "own-low-branches")
+
+
+def _with_low(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``low``, the branches to leave out; null where there are none."""
+    low = low_branches(pages)
+    few, many = low.where(F.col("n_low") <= FEW), low.where(F.col("n_low") > FEW).select("host", "branch")
+    lists = stage(few.groupBy("host").agg(F.collect_set("branch").alias("low")), "few-low-branches")
+    if is_empty(many):
+        return pages.join(lists, "host", "left")
+    pages = pages.withColumn("page", F.md5(F.encode("html", "utf-8")))
+    own = own_low_branches(pages, many).withColumnRenamed("low", "own")
+    found = pages.join(lists, "host", "left").join(own, ["host", "page"], "left")
+    return found.withColumn("low", F.coalesce("low", "own"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -113,7 +138,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
         host_of(F.col("url").cast("string")).alias("host"),
     )
-    marked = narrow.join(low_branches(narrow), "host", "left").select("page_id", "url", "html", "low")
+    marked = _with_low(narrow).select("page_id", "url", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

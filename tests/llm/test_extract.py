@@ -7,6 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tagweave.llm import extract
 from tagweave.llm.dom import Page
 from tagweave.llm.extract import host_of, importance, main_text
 
@@ -86,3 +87,16 @@ def test_an_article_that_a_site_repeats_stays(spark):
 
 def test_empty(spark):
     assert main_text(frame(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("few", [extract.FEW, 0])
+def test_a_box_on_few_pages_of_a_large_host_goes(spark, monkeypatch, few):
+    monkeypatch.setattr(extract, "FEW", few)
+    box = '<div class="teaser">Read this</div>'
+    rows = [(i, "http://h.example/", f"<body><div class='text'><p>text {i}</p></div>{box if i < 8 else ''}</body>") for i in range(1_000)]
+    rows += [(2_000 + i, "http://h.example/c", rows[0][2]) for i in range(3)] + [(3_000, None, rows[0][2])]
+    rows += [(4_000 + i, "http://other.example/", site(i, f"text number {i}")) for i in range(10)]
+    got = {r.page_id: r.text for r in main_text(frame(spark, rows)).collect()}
+    assert len(got) == len(rows) and all(got[i] == f"text {i}" for i in range(1_000))
+    assert got[2_000] == got[2_002] == "text 0" and got[3_000] == "text 0\nRead this"
+    assert all(got[4_000 + i].startswith(f"text number {i}") and "Follow" not in got[4_000 + i] for i in range(10))
