@@ -9,6 +9,7 @@ from tagweave import schemas, wording
 from tagweave.functions.documents import first_industry, parse_tags
 from tagweave.session import stage
 from tagweave.sources.small import sized
+from tagweave.sources.tables import to_table
 
 
 def request_grid(keywords: DataFrame, cities: dict[str, int] = wording.CITIES) -> DataFrame:
@@ -18,9 +19,7 @@ def request_grid(keywords: DataFrame, cities: dict[str, int] = wording.CITIES) -
 
 
 def default_keywords(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(enumerate(wording.KEYWORDS)), "ordinal int, keyword string"
-    )
+    return to_table(spark, list(enumerate(wording.KEYWORDS)), "ordinal int, keyword string")
 
 
 #: What could not be read of a document, and the schema and the required fields by kind.
