@@ -417,3 +417,16 @@ def answer_verdict(spark: SparkSession, sf: str) -> DataFrame:
         F.left("text", F.col("turn") * 2 + 1).alias("answer"),
     )
     return ops.judge_answers(answers, MODEL, judge).drop("question", "answer")
+
+
+@query(
+    "answer_verdict_whole",
+    f"""WITH prompts AS (SELECT conv_id, turn, text, {_PROMPT_SQL} AS prompt FROM conversations WHERE role = 'user')
+      SELECT conv_id, turn, length({strip_sql('text')}) >= 3 AND length(prompt) % 2 = 0 AS valid
+      FROM prompts""",
+)
+def answer_verdict_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The user's whole turns as answers."""
+    question = question_for(F.lit("context"), F.lit(0)).alias("question")
+    answers = user_turns(turns(spark, sf)).select("conv_id", "turn", question, F.col("text").alias("answer"))
+    return ops.judge_answers(answers, MODEL, judge).drop("question", "answer")
