@@ -14,12 +14,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.batches import byte_map, replaced, slices, utf8
+from tagweave.llm.batches import byte_map, is_empty, replaced, slices, utf8
+from tagweave.session import stage
 
 #: Bytes of item text in one automaton; an automaton takes some 100 bytes for each.
 BLOCK_BYTES = 1_000_000
@@ -245,28 +247,31 @@ def report(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, kinds)
 
 
+def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """``text`` without merged spans of words, each from its first to its last word with what stands between."""
+    places = [m.span() for m in _WORD.finditer(text.translate(_TABLE))]
+    keep, at = [], 0
+    for start, end in spans:
+        keep.append(text[at : places[start][0]])
+        at = places[end - 1][1]
+    return b" ".join([*keep, text[at:]])
+
+
 def cut(text: bytes, automaton: ItemAutomaton, max_coverage: float) -> bytes | None:
     """``text`` without its matched spans, or None if they are more than ``max_coverage`` of its words.
 
-    A span goes from its first to its last word, with what stands between. The rest is searched
-    again until nothing matches, as words on both sides of a cut may meet.
+    The rest is searched again until nothing matches, as words on both sides of a cut may meet.
     """
     n_words = len(words_of(text))
     hit = 0
     while True:
-        plain = text.translate(_TABLE)
-        spans = merged(automaton.scan(plain.split())[0])
+        spans = merged(automaton.scan(words_of(text))[0])
         if not spans:
             return text
         hit += sum(end - start for start, end in spans)
         if hit > max_coverage * n_words:
             return None
-        places = [m.span() for m in _WORD.finditer(plain)]
-        keep, at = [], 0
-        for start, end in spans:
-            keep.append(text[at : places[start][0]])
-            at = places[end - 1][1]
-        text = b" ".join([*keep, text[at:]])
+        text = _without(text, spans)
 
 
 def decontaminate(
@@ -281,9 +286,15 @@ def decontaminate(
     Matched spans of at least ``min_words`` words (or a whole shorter item) are cut out of ``text``;
     a document with more than ``max_coverage`` of its words in such spans goes. ``n_chars``, if there
     is such a column, is set to the new length. Other rows and all other columns stay as they are,
-    null texts, null ids and repeated rows included. With several blocks of items, a text is cut by one
-    block after the other and the coverage is that of what the block before has left.
+    null texts, null ids and repeated rows included.
+
+    Several blocks of items give the rows of one: the spans of all blocks are found before a text is cut,
+    and texts that were cut pass all blocks again until none matches. For that each pass is written to
+    the folder of ``spark.checkpoint.dir``; with one block a task does it all and nothing is written.
     """
+    shared = [_share(docs.sparkSession, automaton) for automaton in automata(items, min_words, block_bytes)]
+    if len(shared) > 1:
+        return _in_passes(docs, shared, max_coverage)
     has_length = "n_chars" in docs.columns
 
     def search(shared):  # noqa: ANN001, ANN202
@@ -313,7 +324,68 @@ def decontaminate(
 
         return run
 
-    clean = docs
-    for automaton in automata(items, min_words, block_bytes):
-        clean = clean.mapInArrow(search(_share(docs.sparkSession, automaton)), docs.schema)
-    return clean
+    return docs.mapInArrow(search(shared[0]), docs.schema)
+
+
+def _in_passes(docs: DataFrame, shared: list, max_coverage: float) -> DataFrame:
+    """:func:`decontaminate` with several automata: all search a text, then it is cut, until none matches."""
+    others = [c for c in docs.columns if c != "text"]
+    state = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"),
+        F.col("text").cast("string"),
+        F.lit(0).cast("long").alias("n_words"),
+        F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("spans"),
+        F.expr("cast(array() as array<string>)").alias("item_ids"),
+        F.expr("cast(null as long)").alias("n_first"),
+        F.lit(0).cast("long").alias("n_hit"),
+        F.lit(False).alias("changed"),
+    )
+    done = []
+    while True:
+        for automaton in shared:
+            state = state.mapInArrow(_search(automaton), state.schema)
+        state = stage(state.mapInArrow(_cut_found(max_coverage), state.schema), "decontaminated")
+        done.append(state.where("NOT changed"))
+        state = state.where("changed")
+        if is_empty(state):
+            break
+    found = reduce(DataFrame.union, done)
+    columns = {c: F.col(f"row.`{c}`") for c in others} | {"text": F.col("text").cast(docs.schema["text"].dataType)}
+    if "n_chars" in columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("n_hit") > 0, length).otherwise(columns["n_chars"])
+    return found.select(*[columns[c].alias(c) for c in docs.columns])
+
+
+def _cut_found(max_coverage: float):  # noqa: ANN202
+    """Cuts the spans that a pass has found; texts with more than ``max_coverage`` of them go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            kinds = {f.name: f.type for f in batch.schema}
+            names = ("n_words", "n_first", "n_hit", "spans", "text")
+            texts, firsts, hits, changed, keep = [], [], [], [], []
+            for n_words, n_first, n_hit, spans, text in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                n_first = n_words if n_first is None else n_first
+                n_hit += sum(s["end"] - s["start"] for s in spans)
+                keep.append(not spans or n_hit <= max_coverage * n_first)
+                if spans and keep[-1]:
+                    text = _without(text.encode(), [(s["start"], s["end"]) for s in spans]).decode()
+                texts.append(text)
+                firsts.append(n_first)
+                hits.append(n_hit)
+                changed.append(bool(spans))
+            batch = replaced(
+                batch,
+                {
+                    "text": pa.array(texts, kinds["text"]),
+                    "spans": pa.array([[]] * len(texts), kinds["spans"]),
+                    "item_ids": pa.array([[]] * len(texts), kinds["item_ids"]),
+                    "n_first": pa.array(firsts, pa.int64()),
+                    "n_hit": pa.array(hits, pa.int64()),
+                    "changed": pa.array(changed, pa.bool_()),
+                },
+            )
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run

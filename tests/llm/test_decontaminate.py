@@ -108,3 +108,30 @@ def test_decontaminate_keeps_the_rest(spark):
         4: rows[3][1:],
         None: rows[4][1:],
     }
+
+
+def test_several_blocks_decontaminate_as_one(spark):
+    items = [(str(k), " ".join(f"k{k}w{i}" for i in range(15))) for k in range(12)]
+    words = {k: text.split() for k, (_, text) in enumerate(items)}
+    docs = []
+    for a in range(12):
+        for b in range(12):
+            filler = " ".join(f"é{a}x{b}y{i}" for i in range(20))
+            # each item is 30 % of the words
+            docs.append((len(docs), f"{filler}. {items[a][1]}, {items[b][1]}"))
+            # the inner item has to go before the outer one is whole
+            docs.append((len(docs), " ".join([filler, filler, *words[a][:7], *words[b], *words[a][7:]])))
+    for seed, vocabulary in ((4, 2), (5, 30)):
+        more, others = made(seed, 60, 20, vocabulary)
+        docs += [(1_000 * seed + i, text) for i, text in more]
+        items += [(f"{seed}-{name}", text) for name, text in others]
+    docs += [(9_000, None), (9_001, ""), (None, f"{items[0][1]} {'c ' * 40}"), (9_001, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("spans", F.lit("x"))
+    frame = frame.withColumn("n_chars", F.length("text").cast("int"))
+    item_frame = spark.createDataFrame(items, "item_id string, text string")
+    one, several = (decontaminate(frame, item_frame, block_bytes=n) for n in (1_000_000, 400))
+    assert several.columns == one.columns == frame.columns and several.dtypes == one.dtypes
+    rows = [sorted(map(tuple, got.collect()), key=str) for got in (one, several)]
+    assert rows[0] == rows[1] and 100 < len(rows[0]) < len(docs)
+    left = contamination(several, item_frame, block_bytes=400).where(F.size("spans") > 0)
+    assert left.count() == 0
