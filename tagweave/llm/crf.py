@@ -21,9 +21,18 @@ class Chain:
     stay: float = 0.0  # 1 -> 1
 
 
-def marginals(emission: np.ndarray, mask: np.ndarray, chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(
+    emission: np.ndarray,
+    mask: np.ndarray,
+    chain: Chain,
+    first: np.ndarray | None = None,
+    last: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over ``(steps, sequences)``; masked steps must come last in a sequence.
 
+    ``first`` and ``last`` are the ratios that reach the sequences from what stands before and behind
+    them; without them a sequence stands alone.
+
     Returns the probability of state 1 at every step, and the expected counts of going 0 -> 1 and
     1 -> 1 into it (the other two follow from these).
     """
@@ -32,9 +41,11 @@ def marginals(emission: np.ndarray, mask: np.ndarray, chain: Chain) -> tuple[np.
     enter, leave, stay = np.exp([chain.enter, chain.leave, chain.stay])
     forward = np.empty_like(odds)
     backward = np.ones_like(odds)
+    if last is not None:
+        backward[-1] = last
     for t in range(steps):
         if t == 0:
-            forward[t] = odds[t] * np.exp(chain.start)
+            forward[t] = odds[t] * (np.exp(chain.start) if first is None else first)
         else:
             before = forward[t - 1]
             forward[t] = odds[t] * (enter + before * stay) / (1 + before * leave)
@@ -53,6 +64,52 @@ def marginals(emission: np.ndarray, mask: np.ndarray, chain: Chain) -> tuple[np.
     return one, up, on
 
 
+def neighbours(
+    emission: np.ndarray, mask: np.ndarray, chain: Chain, n_parts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """``first`` and ``last`` for :func:`marginals` of sequences that are the parts of longer ones.
+
+    The parts of a sequence stand side by side, ``n_parts`` of them, and all but its last are full. A part
+    is a matrix of what it makes of the weights of both states; the matrices are chained part by part.
+    """
+    steps, n = emission.shape
+    begin, own = np.array([1.0, np.exp(chain.start)]), np.ones(n)
+    first = own * begin[1]
+    longer = n_parts > 1
+    if not longer.any():
+        return first, own
+    enter, leave, stay = np.exp([chain.enter, chain.leave, chain.stay])
+    at = np.flatnonzero(np.repeat(longer, n_parts))
+    odds = np.exp(np.clip(emission[:, at], -30, 30))
+    live = mask[:, at]
+    # weights of states 0 and 1, from state 0 and from state 1 before the first step
+    zero = np.stack([np.ones(len(at)), np.zeros(len(at))])
+    one = np.stack([np.zeros(len(at)), odds[0]])
+    for t in range(1, steps):
+        to_zero, to_one = zero + one * leave, odds[t] * (zero * enter + one * stay)
+        whole = (to_zero + to_one).sum(axis=0)
+        zero, one = np.where(live[t], to_zero / whole, zero), np.where(live[t], to_one / whole, one)
+    ends = zero + one  # what a last part adds up to, from either state
+    next_zero, next_one = zero + one * leave, zero * enter + one * stay
+    sizes = n_parts[longer]
+    heads = np.cumsum(sizes) - sizes
+    before = np.repeat(begin[:, None], len(at), axis=1)
+    behind = ends.copy()
+    for k in range(1, int(sizes.max())):
+        here = heads[sizes > k] + k
+        a, b = before[:, here - 1]
+        came = np.stack([next_zero[0, here - 1] * a + next_zero[1, here - 1] * b, next_one[0, here - 1] * a + next_one[1, here - 1] * b])
+        before[:, here] = came / came.sum(axis=0)
+        here = (heads + sizes - 1)[sizes > k] - k
+        comes = next_zero[:, here] * behind[0, here + 1] + next_one[:, here] * behind[1, here + 1]
+        behind[:, here] = comes / comes.sum(axis=0)
+    first[at] = before[1] / before[0]
+    inner = np.setdiff1d(np.arange(len(at)), heads + sizes - 1)
+    c, d = behind[:, inner + 1]
+    own[at[inner]] = (leave * c + stay * d) / (c + enter * d)
+    return first, own
+
+
 def fit(
     tokens: np.ndarray,
     mask: np.ndarray,

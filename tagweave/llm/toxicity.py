@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm.batches import byte_map, slices, utf8
-from tagweave.llm.crf import Chain, fit, marginals
+from tagweave.llm.crf import Chain, fit, marginals, neighbours
 from tagweave.llm.sampling import held_out, labelled_sample
 from tagweave.session import stage
 
@@ -50,7 +50,8 @@ class Tagger:
     def marked(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """The probability that a word is toxic, for every word of every text.
 
-        A text is cut into segments of ``SEGMENT`` words, each a chain of its own.
+        A text is worked on in segments of ``SEGMENT`` words that hand each other what they weigh, so it
+        is one chain.
         """
         get = self.numbers.get
         sizes = [len(words) for words in texts]
@@ -62,7 +63,9 @@ class Tagger:
         mask = np.zeros(grid.shape, bool)
         grid[place[:, 1], place[:, 0]] = flat
         mask[place[:, 1], place[:, 0]] = True
-        one = marginals(self.emissions[grid], mask, self.chain)[0][place[:, 1], place[:, 0]]
+        emission = self.emissions[grid]
+        ends = neighbours(emission, mask, self.chain, -(-np.array(sizes) // SEGMENT))
+        one = marginals(emission, mask, self.chain, *ends)[0][place[:, 1], place[:, 0]]
         return np.split(one, np.cumsum(sizes)[:-1])
 
 

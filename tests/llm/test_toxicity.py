@@ -127,3 +127,18 @@ def test_nothing_to_learn_from(spark):
         got = toxicity(docs, known).collect()
         assert len(got) == 2 and all(r.score < 0.01 and r.predicted == 0 for r in got)
     assert toxicity(docs.limit(0), labels).collect() == []
+
+
+def test_a_long_text_is_one_chain():
+    rng = np.random.default_rng(5)
+    numbers = {b"w%d" % i: i for i in range(1, 40)}
+    for scale, chain in ((2.0, Chain(-3.0, -2.5, -1.0, 2.0)), (25.0, Chain(-9.0, -6.0, 3.0, -4.0))):
+        tagger = Tagger(numbers, rng.normal(0, scale, 40), chain)
+        texts = [[b"w%d" % i for i in rng.integers(1, 40, n)] for n in (0, 1, 63, 64, 65, 0, 128, 129, 200, 5_000, 64)]
+        # a span of marked words over the first boundary
+        best = b"w%d" % (1 + int(tagger.emissions[1:].argmax()))
+        texts[8][60:70] = [best] * 10
+        for words, got in zip(texts, tagger.marked(texts), strict=True):
+            emission = tagger.emissions[[numbers[w] for w in words]][:, None]
+            want = marginals(emission, np.ones(emission.shape, bool), chain)[0][:, 0] if words else np.zeros(0)
+            assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
