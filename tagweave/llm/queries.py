@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tagweave.llm import (
     chat,
     decontaminate,
+    divergence,
     extract,
     language,
     packing,
@@ -20,7 +21,7 @@ from tagweave.llm import (
     tokens,
     toxicity,
 )
-from tagweave.llm.sql import SQL_CHAT, SQL_DECONTAMINATE
+from tagweave.llm.sql import SQL_CHAT, SQL_DECONTAMINATE, SQL_DIVERGENCE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,3 +113,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return tokens.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op13_divergence", SQL_DIVERGENCE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents", "text", "lang", "source"))

@@ -51,3 +51,40 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
        CAST(sum(length(body) + marks) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id
 """
+
+SQL_DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+found AS (
+  SELECT lang, source, rid, term, count(*) AS n
+  FROM (SELECT lang, source, rid, unnest(words) AS term FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM found GROUP BY lang, term HAVING count(*) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+grid AS (
+  SELECT groups.lang, groups.source, kept.term, CAST(coalesce(c.n, 0) AS HUGEINT) AS n
+  FROM groups JOIN kept USING (lang)
+  LEFT JOIN (SELECT lang, source, term, sum(n) AS n FROM found GROUP BY ALL) c
+    ON c.lang = groups.lang AND c.source = groups.source AND c.term = kept.term),
+shares AS (
+  SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER g + count(*) OVER g)::HUGEINT AS p
+  FROM grid WINDOW g AS (PARTITION BY lang, source)),
+whole AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER l + count(*) OVER l)::HUGEINT AS q
+  FROM kept WINDOW l AS (PARTITION BY lang)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT)
+  FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM every QUALIFY part = 'pair' OR rank <= 200
+"""
