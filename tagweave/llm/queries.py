@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm import (
+    audit,
     chat,
     decontaminate,
     divergence,
@@ -21,7 +22,7 @@ from tagweave.llm import (
     tokens,
     toxicity,
 )
-from tagweave.llm.sql import SQL_CHAT, SQL_DECONTAMINATE, SQL_DIVERGENCE
+from tagweave.llm.sql import SQL_CHAT, SQL_DECONTAMINATE, SQL_DIVERGENCE, SQL_FILTERS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,6 +116,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op12_filter_audit", SQL_FILTERS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    return audit.filter_interactions(docs, labels)
+
+
 @query("op13_divergence", SQL_DIVERGENCE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents", "text", "lang", "source"))

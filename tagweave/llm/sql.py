@@ -88,3 +88,49 @@ SELECT lang, source, part, item, value,
        CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
 FROM every QUALIFY part = 'pair' OR rank <= 200
 """
+
+SQL_FILTERS = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+firsts AS (SELECT text, min(doc_id) AS doc_id FROM docs GROUP BY text),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+verdicts AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(words) < 100 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(docs.text, '[^A-Z]', '', 'g')) > 10 * length(docs.text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(docs.text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN docs.doc_id > firsts.doc_id THEN 'E' ELSE '' END AS fails
+  FROM docs JOIN firsts USING (text) LEFT JOIN marks ON marks.doc_id = docs.doc_id),
+counts AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM verdicts GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+met AS (
+  SELECT part, filter_order, step, n, good, toxic, contains(fails, filter_order[step]) AS failed,
+         length(translate(fails, filter_order[1:step - 1], '')) < length(fails) AS gone,
+         fails = filter_order[step] AS lone
+  FROM counts, steps),
+rows AS (
+  SELECT part, filter_order, step,
+         coalesce(sum(n) FILTER (WHERE NOT gone AND NOT failed), 0) AS kept,
+         coalesce(sum(n) FILTER (WHERE NOT gone AND failed), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE gone AND failed), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE lone), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE NOT gone AND failed), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE NOT gone AND failed), 0) AS toxic_lost
+  FROM met GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+       CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley
+FROM rows
+"""
