@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tagweave.llm import (
     audit,
+    bpe,
     chat,
     decontaminate,
     divergence,
@@ -116,6 +117,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    found = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "decoded")]
+    return found.select("doc_id", "n_tokens", *digests)
+
+
 @query("op12_filter_audit", SQL_FILTERS)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
