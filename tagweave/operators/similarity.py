@@ -2,10 +2,12 @@
 
 Three physical forms share one numpy kernel:
 
-* ``knn``: exact. Queries are written once and dealt into blocks of bounded size; the block goes to
-  every task, the corpus streams past it without a shuffle, and each task hands on its own top k.
-  Few queries are one block. Every query meets every vector, so the work grows with the product of
-  the two tables, and the corpus is read once for each block.
+* ``knn``: exact. Queries are written once and counted. Few of them go to every task, the corpus streams
+  past them without a shuffle, and each task hands on its own top k.
+* ``knn_join``: exact, for any number of queries, which stay on the executors. Vectors belong to the
+  cell of the nearest pivot. A query first meets its nearest cells, which bounds the distance of its
+  k-th neighbour, and then only cells that the triangle inequality cannot rule out. ``knn`` does this
+  beyond a size it has counted.
 * ``knn_lsh``: approximate, by choice of the caller and never by size. Vectors belong to the nearest
   of some pivots, a query visits the cells of its ``probes`` nearest ones.
 * ``top_k_per_cell``: the tile join itself, for callers that bring their own cells (tags, pivots).
@@ -16,7 +18,7 @@ Every query row is answered on its own, also where a ``query_id`` is repeated.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tagweave.session import scratch_path, stage
+from tagweave.session import stage
 from tagweave.sources.small import sized
 
 BLOCK_QUERIES = 2048
+EXACT_CELLS = 32
 BLOCK_VALUES = 4_000_000
 TILE_ROWS = 8192
 ROUTED_ROWS = 10_000
@@ -286,14 +289,11 @@ def _asked(queries: DataFrame) -> DataFrame:
     return stage(numbered, "queries")
 
 
-def _blocks(asked: DataFrame, most: int) -> int:
+def _few(asked: DataFrame, most: int) -> bool:
     size = asked.agg(
         F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("values")
     ).first()
-    if size["n"] <= most and size["values"] <= BLOCK_VALUES:
-        return 1
-    # rows are dealt by hash, so blocks are made half as large as they may be
-    return 2 * max(-(-size["n"] // most), -(-size["values"] // BLOCK_VALUES))
+    return size["n"] <= most and size["values"] <= BLOCK_VALUES
 
 
 def knn(
@@ -301,30 +301,93 @@ def knn(
 ) -> DataFrame:
     """``queries(query_id, vector)`` x ``corpus(id, vector)`` -> (query_id, id, distance, rank).
 
-    The same rows for any ``max_queries``, the number of queries in a block. The number and size of
-    the queries are counted on the executors before any reach the driver, and one block at a time is
-    there. Writes the queries and, with several blocks, their hits.
+    The same rows for any ``max_queries``, the number of queries that may be sent to every task. They
+    are counted on the executors; more of them never leave those. Writes the queries.
     """
     corpus, asked = _keyed(corpus, "id"), _asked(queries)
+    if not _few(asked, max_queries):
+        return _knn_by_cell(asked, corpus, k)
     kind = queries.schema["query_id"].dataType
-    columns = ["query_id", "id", "distance", "rank"]
+    found = _ranked(_scan(corpus, asked.collect(), k, kind), ["ask"], k)
+    return found.select("query_id", "id", "distance", "rank")
+
+
+def knn_join(
+    queries: DataFrame, corpus: DataFrame, k: int, tile_rows: int = TILE_ROWS, cells: int = EXACT_CELLS
+) -> DataFrame:
+    """``knn`` with all queries on the executors, whatever their number.
+
+    Writes the queries, the corpus by cell and the first round's hits.
+    """
+    return _knn_by_cell(_asked(queries), _keyed(corpus, "id"), k, tile_rows, cells)
 
-    def answers(block: DataFrame) -> DataFrame:
-        return _ranked(_scan(corpus, block.collect(), k, kind), ["ask"], k).select(columns)
 
-    blocks = _blocks(asked, max_queries)
-    if blocks == 1:
-        return answers(asked)
-    path = scratch_path(queries.sparkSession, "hits")
-    own = F.pmod(F.xxhash64("ask"), F.lit(blocks))
-    for block in range(blocks):
-        answers(asked.filter(own == block)).write.mode("append").parquet(path)
-    return queries.sparkSession.read.parquet(path)
+def _routed(asks: DataFrame, choose: Callable[[pa.RecordBatch, np.ndarray], np.ndarray], centres: np.ndarray) -> DataFrame:
+    """``(cell, query_id, vector)``: every query at the cells that ``choose`` marks for its batch.
 
+    ``choose`` gets the batch and the distances to the centres and returns a mask of the same shape.
+    """
 
-def knn_join(queries: DataFrame, corpus: DataFrame, k: int, block_queries: int = 512) -> DataFrame:
-    """``knn`` in small blocks, whatever the number of queries."""
-    return knn(queries, corpus, k, block_queries)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not len(centres):
+                continue
+            chosen = choose(batch, np.sqrt(_gaps(_matrix(batch.column(1)), centres)))
+            row, cell = np.nonzero(chosen)
+            # Wide rows are multiplied here, so they leave in small batches.
+            for at in range(0, len(row), ROUTED_ROWS):
+                picked = batch.take(pa.array(row[at : at + ROUTED_ROWS]))
+                out = [pa.array(cell[at : at + ROUTED_ROWS].astype(np.int32)), picked.column(0), picked.column(1)]
+                yield pa.RecordBatch.from_arrays(out, names=["cell", "query_id", "vector"])
+
+    fields = [("cell", T.IntegerType()), ("query_id", T.LongType()), ("vector", T.ArrayType(T.FloatType()))]
+    return asks.mapInArrow(run, _hits_schema(*fields))
+
+
+def _knn_by_cell(
+    asked: DataFrame, corpus: DataFrame, k: int, tile_rows: int = TILE_ROWS, cells: int = EXACT_CELLS
+) -> DataFrame:
+    """Exact: a first round in the nearest cells, a second in those that may hold something nearer.
+
+    A vector at distance r or less from its centre is no nearer to a query than the distance of the
+    query from that centre less r. Only centres and the cells' sizes and radii pass the driver.
+    """
+    centres = _centres(corpus, cells)
+    id_type = corpus.schema["id"].dataType
+    members = stage(_in_cells(corpus, centres, id_type), "cells")
+    known = members.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("gap")).collect()
+    size, radius = np.zeros(len(centres), dtype=np.int64), np.zeros(len(centres))
+    for row in known:
+        size[row["cell"]], radius[row["cell"]] = row["n"], np.sqrt(row["gap"])
+    members = members.select("cell", "id", "vector")
+
+    def nearest_cells(distance: np.ndarray) -> np.ndarray:
+        """The nearest cells that together have k members."""
+        order = distance.argsort(axis=1, kind="stable")
+        sizes = size[order]
+        needed = np.cumsum(sizes, axis=1) - sizes < k
+        chosen = np.zeros(distance.shape, dtype=bool)
+        np.put_along_axis(chosen, order, needed & (sizes > 0), axis=1)
+        return chosen
+
+    def still_possible(batch: pa.RecordBatch, distance: np.ndarray) -> np.ndarray:
+        bound = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+        # distances are compared after rounding, so what ties in the last digits stays
+        reach = np.sqrt(np.maximum(bound, 0) + 1e-8) + 1e-8
+        near = distance - radius[None, :] <= reach[:, None] * (1 + 1e-12)
+        return near & (size > 0) & ~nearest_cells(distance)
+
+    def hits(askers: DataFrame) -> DataFrame:
+        found = top_k_per_cell(members, askers, k, tile_rows=tile_rows)
+        return found.select(F.col("query_id").alias("ask"), "id", "distance")
+
+    first = _routed(asked.select("ask", "vector"), lambda _, distance: nearest_cells(distance), centres)
+    first = stage(_ranked(hits(first), ["ask"], k).drop("rank"), "hits")
+    bounds = first.groupBy("ask").agg(F.max("distance").alias("bound"))
+    bounded = asked.join(bounds, "ask").select("ask", "vector", "bound")
+    second = hits(_routed(bounded, still_possible, centres))
+    found = _ranked(first.unionByName(second), ["ask"], k).join(asked.select("ask", "query_id"), "ask")
+    return found.select("query_id", "id", "distance", "rank")
 
 
 def pivots(corpus: DataFrame, cells: int) -> DataFrame:
@@ -333,6 +396,27 @@ def pivots(corpus: DataFrame, cells: int) -> DataFrame:
     return corpus.orderBy(digest, "id").limit(cells).select("id", "vector")
 
 
+def _centres(corpus: DataFrame, cells: int) -> np.ndarray:
+    """The pivots as a matrix, in the order of their ids."""
+    rows = sorted(pivots(corpus, cells).collect(), key=lambda row: row["id"])
+    return np.array([row["vector"] for row in rows], dtype=np.float64)
+
+
+def _in_cells(corpus: DataFrame, centres: np.ndarray, id_type: T.DataType) -> DataFrame:
+    """``(cell, id, vector, gap)``: every vector at its nearest centre and its squared distance from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and len(centres):
+                gaps = _gaps(_matrix(batch.column(1)), centres)
+                cell = gaps.argmin(axis=1).astype(np.int32)
+                out = [pa.array(cell), *batch.columns, pa.array(gaps[np.arange(len(cell)), cell])]
+                yield pa.RecordBatch.from_arrays(out, names=["cell", "id", "vector", "gap"])
+
+    fields = [("cell", T.IntegerType()), ("id", id_type), ("vector", T.ArrayType(T.FloatType()))]
+    return corpus.select("id", "vector").mapInArrow(run, _hits_schema(*fields, ("gap", T.DoubleType())))
+
+
 def knn_lsh(
     queries: DataFrame, corpus: DataFrame, k: int, cells: int = 64, probes: int = 28
 ) -> DataFrame:
@@ -343,32 +427,15 @@ def knn_lsh(
     clusters, the fewer probes are needed.
     """
     corpus, asked = _keyed(corpus, "id"), _asked(queries)
-    rows = sorted(pivots(corpus, cells).collect(), key=lambda row: row["id"])
-    centres = np.array([row["vector"] for row in rows], dtype=np.float64)
-    vector, id_type = T.ArrayType(T.FloatType()), corpus.schema["id"].dataType
-
-    def nearest(n: int):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows and len(centres):
-                    order = _gaps(_matrix(batch.column(1)), centres).argsort(axis=1, kind="stable")
-                    cell = order[:, :n].astype(np.int32).ravel()
-                    row = np.repeat(np.arange(batch.num_rows), min(n, len(centres)))
-                    # Wide rows are multiplied here, so they leave in small batches.
-                    for at in range(0, len(row), ROUTED_ROWS):
-                        picked = batch.take(pa.array(row[at : at + ROUTED_ROWS]))
-                        out = [pa.array(cell[at : at + ROUTED_ROWS]), *picked.columns]
-                        yield pa.RecordBatch.from_arrays(out, names=["cell", *batch.schema.names])
-
-        return run
-
-    members = corpus.mapInArrow(
-        nearest(1), _hits_schema(("cell", T.IntegerType()), ("id", id_type), ("vector", vector))
-    )
-    askers = asked.select(F.col("ask").alias("query_id"), "vector").mapInArrow(
-        nearest(probes),
-        _hits_schema(("cell", T.IntegerType()), ("query_id", T.LongType()), ("vector", vector)),
-    )
+    centres = _centres(corpus, cells)
+    members = _in_cells(corpus, centres, corpus.schema["id"].dataType).select("cell", "id", "vector")
+
+    def nearest(_: pa.RecordBatch, distance: np.ndarray) -> np.ndarray:
+        chosen = np.zeros(distance.shape, dtype=bool)
+        np.put_along_axis(chosen, distance.argsort(axis=1, kind="stable")[:, :probes], True, axis=1)
+        return chosen
+
+    askers = _routed(asked.select("ask", "vector"), nearest, centres)
     hits = top_k_per_cell(members, askers, k).select(F.col("query_id").alias("ask"), "id", "distance")
     found = _ranked(hits, ["ask"], k).join(asked.select("ask", "query_id"), "ask")
     return found.select("query_id", "id", "distance", "rank")

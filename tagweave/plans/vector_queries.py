@@ -58,7 +58,7 @@ def knn_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("knn_join", _ALL_PAIRS)
 def knn_join_tiled(spark: SparkSession, sf: str) -> DataFrame:
-    """The same in small blocks of queries."""
+    """The same with both sides dealt out by cell."""
     corpus = vectors(spark, sf)
     return as_pairs(knn_join(corpus.withColumnRenamed("id", "query_id"), corpus, 5))
 

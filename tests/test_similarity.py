@@ -58,10 +58,10 @@ def test_string_ids(spark):
     assert hits(knn_join(*both, 5, 2)) == brute(queries, corpus, 5, ids=ids)
 
 
-@pytest.mark.parametrize("block_queries", [1, 7, 50, 1000])
-def test_blocks_are_exact_with_a_third_of_copies(spark, block_queries):
+@pytest.mark.parametrize("tile_rows", [1, 7, 50, 1000])
+def test_blocks_are_exact_with_a_third_of_copies(spark, tile_rows):
     queries, corpus = random_vectors(3, 90, copies=30), random_vectors(3, 150, copies=50)
-    found = knn_join(table(spark, "query_id", queries), table(spark, "id", corpus), 4, block_queries)
+    found = knn_join(table(spark, "query_id", queries), table(spark, "id", corpus), 4, tile_rows)
     assert hits(found) == brute(queries, corpus, 4)
 
 
