@@ -32,7 +32,9 @@ from tagweave.session import stage
 from tagweave.sources.small import sized
 
 BLOCK_QUERIES = 2048
-EXACT_CELLS = 32
+EXACT_CELLS = 16
+#: A corpus of so many vectors is compared whole, in tiles of at most so many rows.
+DIRECT_ROWS, DIRECT_TILE = 65_536, 1024
 BLOCK_VALUES = 4_000_000
 TILE_ROWS = 8192
 ROUTED_ROWS = 10_000
@@ -156,9 +158,12 @@ def top_k_per_cell(
     metric: str = "l2",
     tile_rows: int = TILE_ROWS,
     sizes: DataFrame | None = None,
+    merged: bool = True,
 ) -> DataFrame:
     """Per (cell, query_id) the ``k`` nearest members of that cell.
 
+    Not ``merged``, per tile of the cell, without a rank, for callers that rank over several cells.
+
     ``corpus(cell, id, vector)`` and ``queries(cell, query_id, vector)``. Both sides of a cell are
     split into parts of about ``tile_rows`` rows; every pair of parts is one tile. A hot cell
     becomes many tiles, and a tile emits at most k rows per query, never its pairs.
@@ -261,7 +266,8 @@ def top_k_per_cell(
     schema = _hits_schema(
         ("cell", cell_type), ("query_id", query_type), ("id", id_type), ("distance", T.DoubleType())
     )
-    return _ranked(tiles.mapInArrow(best_of_tiles, schema), ["cell", "query_id"], k)
+    found = tiles.mapInArrow(best_of_tiles, schema)
+    return _ranked(found, ["cell", "query_id"], k) if merged else found
 
 
 def _gaps(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -313,13 +319,19 @@ def knn(
 
 
 def knn_join(
-    queries: DataFrame, corpus: DataFrame, k: int, tile_rows: int = TILE_ROWS, cells: int = EXACT_CELLS
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    tile_rows: int = TILE_ROWS,
+    cells: int = EXACT_CELLS,
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """``knn`` with all queries on the executors, whatever their number.
 
-    Writes the queries, the corpus by cell and the first round's hits.
+    The same rows for any of the last three numbers; a corpus of no more than ``direct_rows`` is not
+    worth a first round. Writes the queries, and with two rounds the corpus by cell and the first hits.
     """
-    return _knn_by_cell(_asked(queries), _keyed(corpus, "id"), k, tile_rows, cells)
+    return _knn_by_cell(_asked(queries), _keyed(corpus, "id"), k, tile_rows, cells, direct_rows)
 
 
 def _routed(asks: DataFrame, choose: Callable[[pa.RecordBatch, np.ndarray], np.ndarray], centres: np.ndarray) -> DataFrame:
@@ -345,13 +357,29 @@ def _routed(asks: DataFrame, choose: Callable[[pa.RecordBatch, np.ndarray], np.n
 
 
 def _knn_by_cell(
-    asked: DataFrame, corpus: DataFrame, k: int, tile_rows: int = TILE_ROWS, cells: int = EXACT_CELLS
+    asked: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    tile_rows: int = TILE_ROWS,
+    cells: int = EXACT_CELLS,
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Exact: a first round in the nearest cells, a second in those that may hold something nearer.
 
     A vector at distance r or less from its centre is no nearer to a query than the distance of the
     query from that centre less r. Only centres and the cells' sizes and radii pass the driver.
     """
+    n = corpus.count()
+    if n <= direct_rows:
+        whole = corpus.select(F.lit(0).alias("cell"), "id", "vector")
+        asks = asked.select(F.lit(0).alias("cell"), F.col("ask").alias("query_id"), "vector")
+        sizes = corpus.sparkSession.range(1).select(
+            F.lit(0).alias("cell"), F.lit(n).alias("members"), F.lit(asked.count()).alias("askers")
+        )
+        hits = top_k_per_cell(whole, asks, k, tile_rows=min(tile_rows, DIRECT_TILE), sizes=sizes, merged=False)
+        hits = hits.select(F.col("query_id").alias("ask"), "id", "distance")
+        found = _ranked(hits, ["ask"], k).join(asked.select("ask", "query_id"), "ask")
+        return found.select("query_id", "id", "distance", "rank")
     centres = _centres(corpus, cells)
     id_type = corpus.schema["id"].dataType
     members = stage(_in_cells(corpus, centres, id_type), "cells")
@@ -378,7 +406,7 @@ def _knn_by_cell(
         return near & (size > 0) & ~nearest_cells(distance)
 
     def hits(askers: DataFrame) -> DataFrame:
-        found = top_k_per_cell(members, askers, k, tile_rows=tile_rows)
+        found = top_k_per_cell(members, askers, k, tile_rows=tile_rows, merged=False)
         return found.select(F.col("query_id").alias("ask"), "id", "distance")
 
     first = _routed(asked.select("ask", "vector"), lambda _, distance: nearest_cells(distance), centres)
@@ -436,6 +464,7 @@ def knn_lsh(
         return chosen
 
     askers = _routed(asked.select("ask", "vector"), nearest, centres)
-    hits = top_k_per_cell(members, askers, k).select(F.col("query_id").alias("ask"), "id", "distance")
+    hits = top_k_per_cell(members, askers, k, merged=False)
+    hits = hits.select(F.col("query_id").alias("ask"), "id", "distance")
     found = _ranked(hits, ["ask"], k).join(asked.select("ask", "query_id"), "ask")
     return found.select("query_id", "id", "distance", "rank")

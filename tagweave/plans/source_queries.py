@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tagweave import wording as w
 from tagweave.functions.documents import parse_tags as parse
+from tagweave.operators import cells, search
 from tagweave.operators import items as item_ops
-from tagweave.operators import search
+from tagweave.operators.encoding import encode
 from tagweave.operators.ingest import ingest as run_ingest
 from tagweave.plans.registry import query
 from tagweave.plans.vector_queries import INDEX_SQL, entries, entries_sql
@@ -207,6 +208,35 @@ def index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return entries(embeddings.load_index(spark, path, orders, "o_orderkey"), "id")
 
 
+@query(
+    "cells_roundtrip",
+    """SELECT id, pos, round(x::DOUBLE, 6) AS value FROM (
+        SELECT vec_id AS id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS x
+        FROM embeddings) WHERE x <> 0""",
+)
+def cells_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The index saved by cell, over an earlier version of it, and read back."""
+    path = scratch_path(spark, "cells")
+    corpus = vectors(spark, sf)
+    for some in (corpus.where("id % 2 = 0"), corpus):
+        cells.save_cells(cells.train_cells(some, cells=16, rounds=3), path)
+    return entries(cells.load_cells(spark, path).members, "id")
+
+
+@query("index_refresh", f"WITH {INDEX_SQL} {entries_sql('idx', 'id')}")
+def index_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """First other texts for every third item and none for every fifth, then the items as they are."""
+    path = scratch_path(spark, "index")
+    corpus = text_items(spark, sf)
+    other = F.when(F.col("vacancy_id") % 3 == 0, F.lit("another text")).otherwise(F.col("requirement"))
+    first = corpus.where("vacancy_id % 5 <> 0").withColumn("requirement", other)
+    for arrived in (first, corpus):
+        arrived = item_ops.profiled(arrived)
+        embed = lambda items: encode(items.withColumnRenamed("vacancy_id", "id"), "profile")
+        index = embeddings.refresh_index(arrived, "vacancy_id", F.col("profile"), embed, path)
+    return entries(index, "id")
+
+
 @query("index_incremental", f"WITH {INDEX_SQL} {entries_sql('idx', 'id')}")
 def index_incremental(spark: SparkSession, sf: str) -> DataFrame:
     """The index is first built of the items of one industry, then grown to all of them."""

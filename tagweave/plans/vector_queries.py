@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.vectors import squared_l2
 from tagweave.operators import search as ops
+from tagweave.operators.cells import load_cells, save_cells, search_cells, train_cells
 from tagweave.operators.encoding import encode
 from tagweave.operators.graph import unit_vectors
 from tagweave.operators.similarity import knn, knn_join, knn_lsh
@@ -23,6 +24,7 @@ from tagweave.plans.views import (
     text_items,
     vectors,
 )
+from tagweave.session import scratch_path
 from tagweave.sources.tables import read_spread, read_table
 
 
@@ -109,6 +111,15 @@ def knn_lsh_cells(spark: SparkSession, sf: str) -> DataFrame:
     return as_pairs(knn_lsh(queries, corpus, 5, LSH_CELLS, LSH_PROBES))
 
 
+@query("knn_cells")
+def knn_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector's five nearest by trained cells and codes, from a saved index."""
+    corpus = unit_vectors(vectors(spark, sf), "id")
+    path = scratch_path(spark, "cells")
+    save_cells(train_cells(corpus), path)
+    return as_pairs(search_cells(corpus.withColumnRenamed("id", "query_id"), load_cells(spark, path), 5))
+
+
 def found(hits: DataFrame) -> DataFrame:
     """The columns a caller prints."""
     return hits.select(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -40,7 +43,71 @@ def _splits(spark: SparkSession, table: DataFrame) -> int:
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """Write ``df`` at ``path`` in place of what is there.
+
+    The rows are written beside it first, so a job that fails leaves the old table as it was, and a
+    table may be made from itself. The exchange is two renames; where those are no single steps, as in
+    object stores, use ``publish``.
+    """
+    spark = df.sparkSession
+    fresh, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    df.write.parquet(fresh)
+    fs, target = _files(spark, path)
+    if fs.exists(target):
+        fs.rename(target, _path(spark, old))
+    fs.rename(_path(spark, fresh), target)
+    fs.delete(_path(spark, old), True)
+
+
+def _path(spark: SparkSession, path: str):  # noqa: ANN202
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
+    """The file system of a path and the path, in whatever store it is."""
+    target = _path(spark, path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The folders of the whole versions at ``path``, oldest first."""
+    fs, marks = _files(spark, f"{path}/_versions")
+    if not fs.exists(marks):
+        return []
+    return [f"{path}/{name}" for name in sorted(s.getPath().getName() for s in fs.listStatus(marks))]
+
+
+def add_version(spark: SparkSession, path: str, write: Callable[[str], None]) -> str:
+    """A new version: ``write`` fills its folder, and only then a mark makes it one.
+
+    The mark is an empty file that is created in one step, so readers see all of a version or none.
+    What a failed writer has left behind has no mark and is never read.
+    """
+    number = len(versions(spark, path)) + 1
+    name = f"{number:08d}-{uuid.uuid4().hex}"
+    write(f"{path}/{name}")
+    fs, mark = _files(spark, f"{path}/_versions/{name}")
+    fs.create(mark, False).close()
+    return f"{path}/{name}"
+
+
+def publish(tables: dict[str, DataFrame], path: str, partition_by: dict[str, list[str]] | None = None) -> None:
+    """Several tables as one version; the latest counts."""
+    spark = next(iter(tables.values())).sparkSession
+
+    def write(folder: str) -> None:
+        for name, df in tables.items():
+            df.write.partitionBy(*(partition_by or {}).get(name, [])).parquet(f"{folder}/{name}")
+
+    add_version(spark, path, write)
+
+
+def published(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the latest version."""
+    known = versions(spark, path)
+    if not known:
+        raise ValueError(f"nothing has been published at {path}")
+    return spark.read.parquet(f"{known[-1]}/{name}")
 
 
 def to_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:

@@ -58,11 +58,25 @@ def test_string_ids(spark):
     assert hits(knn_join(*both, 5, 2)) == brute(queries, corpus, 5, ids=ids)
 
 
-@pytest.mark.parametrize("tile_rows", [1, 7, 50, 1000])
+@pytest.mark.parametrize("tile_rows", [7, 1000])
 def test_blocks_are_exact_with_a_third_of_copies(spark, tile_rows):
     queries, corpus = random_vectors(3, 90, copies=30), random_vectors(3, 150, copies=50)
-    found = knn_join(table(spark, "query_id", queries), table(spark, "id", corpus), 4, tile_rows)
-    assert hits(found) == brute(queries, corpus, 4)
+    both = table(spark, "query_id", queries), table(spark, "id", corpus)
+    assert hits(knn_join(*both, 4, tile_rows)) == brute(queries, corpus, 4)
+    assert hits(knn_join(*both, 4, tile_rows, 6, 0)) == brute(queries, corpus, 4)
+
+
+def test_cells_that_cannot_hold_a_neighbour_are_skipped(spark, monkeypatch):
+    from tagweave.operators import similarity
+
+    rng = np.random.default_rng(3)
+    corpus = np.repeat(rng.normal(size=(12, 5)) * 50, 30, axis=0) + rng.normal(size=(360, 5))
+    routed = []
+    plain = similarity._routed
+    monkeypatch.setattr(similarity, "_routed", lambda *a: routed.append(plain(*a)) or routed[-1])
+    both = table(spark, "query_id", corpus[::9]), table(spark, "id", corpus)
+    assert hits(knn_join(*both, 4, 100, 24, 0)) == brute(corpus[::9], corpus, 4)
+    assert sum(r.count() for r in routed) < 0.5 * 40 * 24
 
 
 def test_repeated_query_ids_are_answered_row_by_row(spark):
