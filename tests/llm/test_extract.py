@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagweave.llm import extract
-from tagweave.llm.dom import Page
-from tagweave.llm.extract import host_of, importance, main_text
+from tagweave.llm.dom import Page, text_of
+from tagweave.llm.extract import host_of, importance, main_text, parsed
 
 PAGES = {
     "<p>a<p>b</p>c": "a\nb\nc",
@@ -31,13 +31,13 @@ PAGES = {
 
 @pytest.mark.parametrize("html", PAGES)
 def test_pages(html):
-    assert Page(html).text() == PAGES[html]
+    assert text_of(Page(html).pieces) == PAGES[html]
 
 
 def test_deep_and_long_pages():
-    assert Page("<div>" * 20_000 + "x" + "</div>" * 20_000).text() == "x"
-    assert Page("<p>w</p>" * 30_000).text().count("\n") == 29_999
-    assert Page("<p>" + "word " * 400_000).text().count(" ") == 399_999
+    assert text_of(Page("<div>" * 20_000 + "x" + "</div>" * 20_000).pieces) == "x"
+    assert text_of(Page("<p>w</p>" * 30_000).pieces).count("\n") == 29_999
+    assert text_of(Page("<p>" + "word " * 400_000).pieces).count(" ") == 399_999
 
 
 def test_host(spark):
@@ -55,13 +55,33 @@ def frame(spark, rows):
 
 
 def test_importance_by_hand(spark):
-    rows = [(i, "http://h.example/", site(i, f"t{i % 5}")) for i in range(10)] + [(99, "http://h.example/2", site(0, "t0"))]
-    pages = frame(spark, rows).withColumn("host", host_of(F.col("url")))
-    got = sorted((r.n_pages, round(r.importance, 6)) for r in importance(pages).collect())
-    same, halves, fifths, all_differ = 0.0, round(math.log(2) / math.log(10), 6), round(math.log(5) / math.log(10), 6), 1.0
-    # root-level body; the top box; the text box and its paragraph; by-lines on five pages each
-    assert got == [(5, same), (5, same), (10, same), (10, fifths), (10, fifths), (10, all_differ)]
-    assert halves < fifths
+    """Ten pages: a box with one text and one link, texts that five pages share by twos, lists of two layouts."""
+    link = '<div class="top">Follow <a href="/us">us</a> here <img src="i"></div>'
+    rows = []
+    for i in range(10):
+        items = "<b class=x>y</b>" if i < 5 else "<b class=x>y</b><i class=z>y</i>"
+        rows.append((i, "http://h.example/", f'{link}<div class="text">t{i % 5} is it now</div><ul>{items}</ul>'))
+    rows.append((99, "http://h.example/2", rows[0][2]))
+    got = sorted((r.n_pages, round(r.importance, 6)) for r in importance(parsed(frame(spark, rows))).collect())
+    half = math.log(2) / math.log(10)
+    # windows "t0 is it" on two pages each, "is it now" on all; the list has two layouts on five pages each
+    text = ((1 - half) * 10 + 0 * 10) / 20
+    assert got == sorted([(10, 0.0), (10, round(text, 6)), (10, round(half, 6)), (10, 0.0), (5, 0.0)])
+
+
+def test_menus_notices_and_adverts_of_any_name_go_by_the_tree(spark):
+    """One link of the menu, the date of the notice and the offer of the advert change; the bio does not."""
+    rows = []
+    for i in range(60):
+        links = [f'<li class="q{j % 2}"><a href="/s{j}">Section {j}</a></li>' for j in range(9)]
+        menu = f'<ul class="k1">{"".join(links)}<li class="q1"><a href="/p{i}">Latest {i}</a></li></ul>'
+        notice = f'<div class="zz7">We have changed our terms of use as of last week {i % 3}, please read them with care</div>'
+        advert = f'<section id="m{i % 2}"><p>Buy one of {("red", "blue", "green")[i % 3]} lamps today and get another one free</p></section>'
+        body = f'<div class="w"><h1>Title {i}</h1><p>{" ".join(f"word{i * 31 + j * j}" for j in range(40))}</p></div>'
+        rows.append((i, "http://h.example/", f"<body>{menu}{advert}{body}{notice}</body>"))
+    got = {r.page_id: r.text for r in main_text(frame(spark, rows)).collect()}
+    for i in range(60):
+        assert got[i].startswith(f"Title {i}\nword{i * 31} ") and got[i].count("\n") == 1 and "Section" not in got[i]
 
 
 def test_site_boxes_go(spark):
@@ -89,9 +109,7 @@ def test_empty(spark):
     assert main_text(frame(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("few", [extract.FEW, 0])
-def test_a_box_on_few_pages_of_a_large_host_goes(spark, monkeypatch, few):
-    monkeypatch.setattr(extract, "FEW", few)
+def test_a_box_on_few_pages_of_a_large_host_goes(spark):
     box = '<div class="teaser">Read this</div>'
     rows = [(i, "http://h.example/", f"<body><div class='text'><p>text {i}</p></div>{box if i < 8 else ''}</body>") for i in range(1_000)]
     rows += [(2_000 + i, "http://h.example/c", rows[0][2]) for i in range(3)] + [(3_000, None, rows[0][2])]
