@@ -9,12 +9,12 @@ from tagweave import wording as w
 from tagweave.operators.items import PUBLISHED_FORMAT, flatten_items
 from tagweave.plans.dialogue_queries import BLOCKS, PROGRESS_SQL, answers
 from tagweave.plans.registry import query
-from tagweave.plans.views import ITEMS_SQL, KEYWORDS, landed, turns
+from tagweave.plans.views import CRAWL_SQL, ITEMS_SQL, KEYWORDS, landed, landed_with_faults, turns
 from tagweave.session import scratch_path
 from tagweave.sources.landing import page_items, stream_pages
 from tagweave.streaming.dedupe import dedupe_stream, drain
 from tagweave.streaming.dialogue import stream_progress
-from tagweave.streaming.ingest import stream_ingest
+from tagweave.streaming.ingest import stream_ingest, stream_refused
 
 
 @query(
@@ -67,6 +67,24 @@ def grown_items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "stream_refused",
+    f"""WITH {CRAWL_SQL}
+      SELECT keyword, count(*) AS n, min(page) % 7 AS page_rest FROM pages_found WHERE page % 7 = 3 GROUP BY keyword""",
+)
+def refused_by_the_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stream could not read of pages some of which are cut short."""
+    place = landed_with_faults(spark, sf)
+    items_path, index_path = scratch_path(spark, "grown-items"), scratch_path(spark, "grown-index")
+    files = len(spark.read.text(place.pages).inputFiles())
+    stream_ingest(
+        spark, place.pages, place.details, place.employers, items_path, index_path, KEYWORDS, max(1, -(-files // 3))
+    )
+    page = F.regexp_extract("refused", r'"page":(\d+)', 1).cast("bigint")
+    found = stream_refused(spark, items_path).groupBy("keyword")
+    return found.agg(F.count("*").alias("n"), (F.min(page) % 7).alias("page_rest"))
+
+
 @query("stream_dialogue", PROGRESS_SQL)
 def stream_dialogue(spark: SparkSession, sf: str) -> DataFrame:
     schema = turns(spark, sf).schema

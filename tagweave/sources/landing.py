@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +46,8 @@ def _scan(
         .option("multiLine", multi_line)
         .json(path)
     )
-    bad = F.col(REFUSED).isNotNull()
-    for name in required:
-        bad = bad | F.col(name).isNull()
-    return found.filter(~bad).drop(REFUSED), found.filter(bad)
+    good = reduce(Column.__and__, [F.col(name).isNotNull() for name in required], F.col(REFUSED).isNull())
+    return found.filter(good).drop(REFUSED), found.filter(~good)
 
 
 def scan_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -72,15 +72,31 @@ def refused(spark: SparkSession, path: str, kind: str, multi_line: bool = False)
     )
 
 
-def stream_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+def readable(kind: str) -> Column:
+    """Whether a document that was read with the column of refused text has all that its kind needs."""
+    return reduce(Column.__and__, [F.col(name).isNotNull() for name in KINDS[kind][1]], F.col(REFUSED).isNull())
+
+
+def stream_landed(
+    spark: SparkSession, path: str, files_per_batch: int = 1000, multi_line: bool = False
+) -> DataFrame:
+    """Listing pages as they land, the unreadable ones too, with the text of these."""
     return (
-        spark.readStream.schema(schemas.LISTING_PAGE)
+        spark.readStream.schema(f"{schemas.LISTING_PAGE}, {REFUSED} string")
+        .option("columnNameOfCorruptRecord", REFUSED)
+        .option("multiLine", multi_line)
         .option("maxFilesPerTrigger", files_per_batch)
         .json(path)
-        .filter(F.col("page").isNotNull() & F.col("keyword").isNotNull())
     )
 
 
+def stream_pages(
+    spark: SparkSession, path: str, files_per_batch: int = 1000, multi_line: bool = False
+) -> DataFrame:
+    """The readable pages of :func:`stream_landed`, whose other documents are for a sink of their own."""
+    return stream_landed(spark, path, files_per_batch, multi_line).filter(readable("page")).drop(REFUSED)
+
+
 def crawled_pages(pages: DataFrame) -> DataFrame:
     """The pages a page-by-page crawl would have kept.
 

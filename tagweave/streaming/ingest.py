@@ -19,7 +19,14 @@ from tagweave.operators.items import (
 )
 from tagweave.operators.search import Embed, fit_index
 from tagweave.sources.embeddings import build_or_load_index
-from tagweave.sources.landing import page_items, scan_details, scan_employers, stream_pages
+from tagweave.sources.landing import (
+    REFUSED,
+    page_items,
+    readable,
+    scan_details,
+    scan_employers,
+    stream_landed,
+)
 from tagweave.sources.tables import table_exists
 
 
@@ -53,6 +60,15 @@ def append_items(
     build_or_load_index(items, "vacancy_id", lambda new: fit_index(new, embed=embed), index_path)
 
 
+def keep_refused(batch: DataFrame, number: int, path: str) -> None:
+    """Write what could not be read of a batch, ``(keyword, refused)``, in a folder named by the batch.
+
+    The folders are the ledger: a batch that is run again replaces its own and adds nothing twice.
+    """
+    rows = batch.filter(~readable("page")).select("keyword", F.col(REFUSED).alias("refused"))
+    rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
 def stream_ingest(
     spark: SparkSession,
     pages: str,
@@ -63,18 +79,22 @@ def stream_ingest(
     keywords: Sequence[str] = wording.KEYWORDS,
     files_per_batch: int = 1000,
     embed: Embed = encode,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Run the growth over all pages that have landed since the last run; the item table so far.
 
     The item table is the memory of what was seen, so the stream itself keeps no state, and a listing
-    may come as late as it likes. The progress of the stream is kept beside the item table.
+    may come as late as it likes. The progress of the stream is kept beside the item table, and so are,
+    by batch, the documents that could not be read; :func:`stream_refused` has them.
     """
 
-    def grow(batch: DataFrame, _: int) -> None:
-        append_items(page_items(batch), details, employers, items_path, index_path, keywords, embed)
+    def grow(batch: DataFrame, number: int) -> None:
+        keep_refused(batch, number, f"{items_path}-refused")
+        listed = page_items(batch.filter(readable("page")).drop(REFUSED))
+        append_items(listed, details, employers, items_path, index_path, keywords, embed)
 
     query = (
-        stream_pages(spark, pages, files_per_batch)
+        stream_landed(spark, pages, files_per_batch, multi_line)
         .writeStream.foreachBatch(grow)
         .option("checkpointLocation", f"{items_path}-progress")
         .trigger(availableNow=True)
@@ -82,3 +102,9 @@ def stream_ingest(
     )
     query.awaitTermination()
     return spark.read.parquet(items_path)
+
+
+def stream_refused(spark: SparkSession, items_path: str) -> DataFrame:
+    """``(batch, keyword, refused)``: the documents that the stream into ``items_path`` could not read."""
+    schema = "keyword string, refused string, batch long"
+    return spark.read.schema(schema).parquet(f"{items_path}-refused").select("batch", "keyword", "refused")

@@ -5,10 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave import session
+from tagweave import schemas, session
 from tagweave.sources import embeddings, landing
 from tagweave.sources.tables import write_table
-from tagweave.streaming.ingest import append_items, stream_ingest
+from tagweave.streaming.ingest import append_items, keep_refused, stream_ingest, stream_refused
 
 
 def items(spark, *ids):
@@ -126,3 +126,28 @@ def test_no_machine_local_scratch_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.scratch_root(Session())
+
+
+def test_the_stream_keeps_what_it_cannot_read(spark, tmp_path):
+    pages, details, employers = (tmp_path / n for n in ("pages", "details", "employers"))
+    for folder in (pages, details, employers):
+        folder.mkdir()
+    (details / "d.json").write_text('{"id":"1","key_skills":["go"]}')
+    (employers / "e.json").write_text('{"id":"9","industries":[{"name":"IT"}]}')
+    items_path, index_path = str(tmp_path / "items"), str(tmp_path / "index")
+    cut = json.dumps(page(7, 7))[:-4]
+
+    def arrive(name, text, **options):
+        (pages / name).write_text(text)
+        stream_ingest(spark, str(pages), str(details), str(employers), items_path, index_path, ["k"], **options)
+        return sorted((r.batch, r.refused or "") for r in stream_refused(spark, items_path).collect())
+
+    assert arrive("a.json", "\n".join([json.dumps(page(0, 1)), cut, json.dumps({"keyword": "k"})])) == [(0, ""), (0, cut)]
+    landed = spark.read.schema(f"{schemas.LISTING_PAGE}, {landing.REFUSED} string")
+    again = landed.option("columnNameOfCorruptRecord", landing.REFUSED).json(str(pages))
+    keep_refused(again, 0, f"{items_path}-refused")
+    assert arrive("b.json", json.dumps(page(1, 2))) == [(0, ""), (0, cut)]
+    assert arrive("c.json", json.dumps(page(2, 3), indent=1), multi_line=True) == [(0, ""), (0, cut)]
+    assert sorted(r.vacancy_id for r in spark.read.parquet(items_path).collect()) == [1, 2, 3]
+    by_scan = landing.refused(spark, str(pages / "a.json"), "page")
+    assert sorted((r.refused or "") for r in by_scan.collect()) == ["", cut]
