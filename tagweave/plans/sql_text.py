@@ -67,16 +67,28 @@ def years_level_sql(digits: str) -> str:
       ELSE '{w.MORE_THAN_SIX}' END"""
 
 
-def encode_sql(name: str, source: str, key: str, text: str) -> str:
-    """CTE ``name(id, v)``: the hashing vector of every text of ``source``."""
+def encode_sql(name: str, source: str, key: str, text: str, buckets: int | None = None) -> str:
+    """CTE ``name(id, v)``: the hashing vector of every text of ``source``.
+
+    With ``buckets`` words are weighted by the texts that have a word of the same bucket.
+    """
+    weights = ""
+    weight, joined = "1.0", ""
+    if buckets:
+        weight, joined = "weight", f"JOIN {name}_weights USING (w)"
+        weights = f"""
+{name}_weights AS (
+  SELECT w, ln((1 + (SELECT count(*) FROM {source}))::DOUBLE / (1 + count(DISTINCT id))) + 1 AS weight
+  FROM {name}_hashed GROUP BY w),"""
     return f"""
 {name}_words AS (
   SELECT {key} AS id, unnest(string_split({normalise_sql(text)}, ' ')) AS word FROM {source}),
 {name}_hashed AS (
-  SELECT id, ('0x' || substr(md5(word), 1, 8))::BIGINT AS h FROM {name}_words WHERE word <> ''),
+  SELECT id, ('0x' || substr(md5(word), 1, 8))::BIGINT AS h,
+         ('0x' || substr(md5(word), 9, 8))::BIGINT % {buckets or 1} AS w FROM {name}_words WHERE word <> ''),{weights}
 {name}_counts AS (
-  SELECT id, h % 64 AS b, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS c
-  FROM {name}_hashed GROUP BY ALL),
+  SELECT id, h % 64 AS b, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END * {weight})::DOUBLE AS c
+  FROM {name}_hashed {joined} GROUP BY ALL),
 {name}_sizes AS (SELECT id, sqrt(sum(c * c)) AS size FROM {name}_counts GROUP BY id),
 {name} AS (
   SELECT s.id, list((CASE WHEN size > 0 THEN coalesce(c, 0) / size ELSE 0 END)::FLOAT

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tagweave.functions.vectors import squared_l2
 from tagweave.operators import search as ops
 from tagweave.operators.cells import load_cells, save_cells, search_cells, train_cells
-from tagweave.operators.encoding import encode
+from tagweave.operators.encoding import IDF_BUCKETS, encode, fit_idf, merge_idf
 from tagweave.operators.graph import unit_vectors
 from tagweave.operators.similarity import knn, knn_join, knn_lsh
 from tagweave.plans.item_queries import PROFILE_TEXT_SQL
@@ -25,7 +25,7 @@ from tagweave.plans.views import (
     vectors,
 )
 from tagweave.session import scratch_path
-from tagweave.sources.tables import read_spread, read_table
+from tagweave.sources.tables import read_spread, read_table, write_table
 
 
 def as_pairs(hits: DataFrame) -> DataFrame:
@@ -216,6 +216,19 @@ def encode_hashing(spark: SparkSession, sf: str) -> DataFrame:
     return entries(encode(documents, "text"), "doc_id")
 
 
+@query(
+    "encode_idf",
+    f"WITH {encode_sql('enc', 'documents', 'doc_id', 'text', IDF_BUCKETS)} {entries_sql('enc', 'doc_id')}",
+)
+def encode_idf(spark: SparkSession, sf: str) -> DataFrame:
+    """Rare words weigh more, by document frequencies that were fitted on two halves and saved."""
+    documents = read_spread(spark, sf, "documents").select("doc_id", "text")
+    halves = [documents.where(F.col("doc_id") % 2 == rest) for rest in (0, 1)]
+    path = scratch_path(spark, "idf")
+    write_table(merge_idf(*[fit_idf(half, "text") for half in halves]), path)
+    return entries(encode(documents, "text", idf=spark.read.parquet(path)), "doc_id")
+
+
 INDEX_SQL = (
     f"{TEXT_ITEMS_SQL}, texts AS (SELECT vacancy_id, {PROFILE_TEXT_SQL} AS profile FROM text_items),"
     + encode_sql("idx", "texts", "vacancy_id", "profile")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import vectors as v
 from tagweave.operators import search as s
-from tagweave.operators.encoding import encode
+from tagweave.operators.encoding import encode, fit_idf, merge_idf
 from tagweave.operators.similarity import knn, knn_join, knn_lsh, pivots, top_k_per_cell
 
 
@@ -255,3 +255,21 @@ def test_hashing_encoder(spark):
     assert not any(blank)
     assert not any(missing)
     assert len(blank) == 64
+
+
+def test_rare_words_weigh_more(spark):
+    texts = ["common rare", "common", "common common", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").repartition(3)
+    fit = fit_idf(df, "s")
+    counts = {r.bucket: r.docs for r in fit.collect()}
+    assert sorted(counts.values()) == [1, 3, 5] and counts[-1] == 5
+    halves = [fit_idf(df.where(F.col("i") % 2 == rest), "s") for rest in (0, 1)]
+    assert {r.bucket: r.docs for r in merge_idf(*halves).collect()} == counts
+    vectors = {r.i: np.array(r.vector) for r in encode(df, "s", idf=fit).collect()}
+    weight = {n: np.log(6 / (1 + n)) + 1 for n in (1, 3)}
+    sizes = sorted(abs(x) for x in vectors[0] if x)
+    norm = np.hypot(weight[1], weight[3])
+    assert sizes == pytest.approx([weight[3] / norm, weight[1] / norm], abs=1e-6)
+    assert np.allclose(vectors[1], vectors[2]) and not vectors[3].any() and not vectors[4].any()
+    nothing = encode(df, "s", idf=fit_idf(df.limit(0), "s")).collect()
+    assert len(nothing) == 5
