@@ -14,7 +14,8 @@ Sums are over vectors in fixed point, so the same rows give the same index at an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
+from functools import reduce
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.functions.vectors import squared_l2
+from tagweave.operators.items import filter_equal
 from tagweave.operators.similarity import _asked, _gaps, _keyed, _matrix, _ranked, _routed, pivots
 from tagweave.session import stage
 from tagweave.sources.tables import publish, published
@@ -253,11 +255,21 @@ def search_cells(
     Writes the queries, their routes and the shortlist.
     """
     asked = _asked(queries)
+    allowed = np.ones(len(index.centres), dtype=bool)
+    found = _nearest_in_cells(asked, index, k, probes, shortlist, allowed)
+    return found.join(asked.select("ask", "query_id"), "ask").select("query_id", "id", "distance", "rank")
+
+
+def _nearest_in_cells(
+    asked: DataFrame, index: CellIndex, k: int, probes: int, shortlist: int, allowed: np.ndarray
+) -> DataFrame:
+    """``(ask, id, distance, rank)`` from the ``probes`` nearest of the allowed cells."""
 
     def nearest(_: pa.RecordBatch, distance: np.ndarray) -> np.ndarray:
+        distance = np.where(allowed, distance, np.inf)
         chosen = np.zeros(distance.shape, dtype=bool)
         np.put_along_axis(chosen, distance.argsort(axis=1, kind="stable")[:, :probes], True, axis=1)
-        return chosen
+        return chosen & allowed
 
     routes = stage(_routed(asked.select("ask", "vector"), nearest, index.centres), "routes")
     visited = visited_members(index.members, routes)
@@ -265,9 +277,70 @@ def search_cells(
     listed = _ranked(listed, ["ask"], shortlist).select("ask", "cell", "id")
     listed = stage(listed, "shortlist")
     pairs = listed.join(visited.select("cell", "id", F.col("vector").alias("v")), ["cell", "id"])
-    pairs = pairs.join(asked.select("ask", "query_id", F.col("vector").alias("q")), "ask")
-    exact = pairs.select("ask", "query_id", "id", squared_l2(F.col("q"), F.col("v")).alias("distance"))
-    return _ranked(exact, ["ask"], k).select("query_id", "id", "distance", "rank")
+    pairs = pairs.join(asked.select("ask", F.col("vector").alias("q")), "ask")
+    exact = pairs.select("ask", "id", squared_l2(F.col("q"), F.col("v")).alias("distance"))
+    return _ranked(exact, ["ask"], k).select("ask", "id", "distance", "rank")
+
+
+def summarise(members: DataFrame, items: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``(cell, field, value, n)``: how many members of a cell have a value of each of these columns.
+
+    Values are kept as text; a null value is one of its own.
+    """
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])
+    known = items.select(F.col(key).alias("id"), F.explode(fields).alias("f"))
+    met = members.select("cell", "id").join(known, "id").select("cell", "f.*")
+    return met.groupBy("cell", "field", "value").agg(F.count("*").alias("n"))
+
+
+def possible_members(summary: DataFrame, filters: dict[str, Any], cells: int) -> np.ndarray:
+    """At most how many members of each cell pass all filters; fields nobody summarised are ignored."""
+    fields = {row["field"] for row in summary.select("field").distinct().collect()}
+    out = np.full(cells, np.iinfo(np.int64).max)
+    for name, value in filters.items():
+        if name in fields:
+            wanted = F.lit(value).cast("string")
+            rows = summary.where((F.col("field") == name) & F.col("value").eqNullSafe(wanted)).collect()
+            have = np.zeros(cells, dtype=np.int64)
+            for row in rows:
+                have[row["cell"]] = row["n"]
+            out = np.minimum(out, have)
+    return out
+
+
+def search_cells_filtered(
+    queries: DataFrame,
+    index: CellIndex,
+    items: DataFrame,
+    summary: DataFrame,
+    filters: dict[str, Any],
+    k: int,
+    key: str = "vacancy_id",
+    probes: int = PROBES,
+    shortlist: int = SHORTLIST,
+) -> DataFrame:
+    """``search_cells`` among the items that pass ``filters``: ``k`` rows wherever so many items pass.
+
+    Cells that by the summary hold nothing that passes are neither probed nor read. A query that has found
+    fewer than ``k`` probes twice as many cells in the next round, until it has them or has seen
+    all that can hold one; there are at most as many rounds as the cells can be doubled. Writes
+    the queries and each round's hits. ``items`` has one row for each key.
+    """
+    asked = _asked(queries)
+    allowed = possible_members(summary, filters, len(index.centres)) > 0
+    passing = filter_equal(items, filters).select(F.col(key).alias("id"))
+    index = index._replace(members=index.members.join(passing, "id", "left_semi"))
+    rounds, pending, few = [], asked, True
+    while few:
+        hits = stage(_nearest_in_cells(pending, index, k, probes, shortlist, allowed), "round")
+        counts = hits.groupBy("ask").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("ask")
+        last = probes >= allowed.sum()
+        rounds.append(hits if last else hits.join(counts, "ask", "left_semi"))
+        pending = stage(pending.join(counts, "ask", "left_anti"), "pending")
+        probes *= 2
+        few = not last and bool(pending.take(1))
+    found = reduce(DataFrame.unionByName, rounds).join(asked.select("ask", "query_id"), "ask")
+    return found.select("query_id", "id", "distance", "rank")
 
 
 def visited_members(members: DataFrame, routes: DataFrame) -> DataFrame:

@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.vectors import squared_l2
 from tagweave.operators import search as ops
-from tagweave.operators.cells import load_cells, save_cells, search_cells, train_cells
+from tagweave.operators.cells import (
+    load_cells,
+    save_cells,
+    search_cells,
+    search_cells_filtered,
+    summarise,
+    train_cells,
+)
 from tagweave.operators.encoding import IDF_BUCKETS, encode, fit_idf, merge_idf
 from tagweave.operators.graph import unit_vectors
 from tagweave.operators.similarity import knn, knn_join, knn_lsh
@@ -24,7 +31,7 @@ from tagweave.plans.views import (
     text_items,
     vectors,
 )
-from tagweave.session import scratch_path
+from tagweave.session import scratch_path, stage
 from tagweave.sources.tables import read_spread, read_table, write_table
 
 
@@ -120,6 +127,17 @@ def knn_cells(spark: SparkSession, sf: str) -> DataFrame:
     return as_pairs(search_cells(corpus.withColumnRenamed("id", "query_id"), load_cells(spark, path), 5))
 
 
+@query("search_cells_filtered")
+def filtered_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest items of one industry, with cells that have none left out."""
+    corpus, asked, listed = vectors(spark, sf), label_centres(spark, sf), items(spark, sf)
+    path = scratch_path(spark, "cells")
+    save_cells(train_cells(corpus), path)
+    index = load_cells(spark, path)
+    summary = stage(summarise(index.members, listed, "vacancy_id", ["industry", "company"]), "summary")
+    return as_pairs(search_cells_filtered(asked, index, listed, summary, SEARCH_FILTERS, 5))
+
+
 def found(hits: DataFrame) -> DataFrame:
     """The columns a caller prints."""
     return hits.select(

@@ -152,3 +152,33 @@ def test_items_whose_text_changed_are_embedded_again(spark, tmp_path):
     assert refresh((1, "aaaaa"), (2, "e")) == [(1, 5.0), (2, 1.0)]
     assert asked == [[1, 2], [2, 3], [1, 2]] and len(versions(spark, path)) == 3
     assert sorted((r.id, r.vector[0]) for r in embeddings.read_layers(spark, path).collect()) == [(1, 5.0), (2, 1.0), (3, 3.0)]
+
+
+def test_filters_inside_the_search(spark):
+    """One value is rare and far from most queries, one is in no cell, one is null."""
+    vectors = clustered(600)
+    kinds = [None if i % 7 == 0 else "rare" if 590 <= i < 594 else "common" for i in range(600)]
+    items = spark.createDataFrame([(i, kind, i % 2) for i, kind in enumerate(kinds)], "k long, kind string, half int")
+    index = c.train_cells(table(spark, vectors), cells=12, parts=5, rounds=3)
+    index = index._replace(members=stage(index.members, "members"))
+    summary = stage(c.summarise(index.members, items, "k", ["kind", "half"]), "summary")
+    queries = table(spark, vectors[:25], "query_id")
+
+    def compare(filters, probes, shortlist=600):
+        kept = [i for i in range(600) if all({"kind": kinds[i], "half": i % 2}.get(f, v) == v for f, v in filters.items())]
+        found = c.search_cells_filtered(queries, index, items, summary, filters, 5, "k", probes, shortlist)
+        rows = {(r.query_id, r.id) for r in found.collect()}
+        exact = set()
+        for q, v in enumerate(vectors[:25].astype(float)):
+            gaps = ((vectors[kept].astype(float) - v) ** 2).sum(axis=1)
+            exact |= {(q, kept[j]) for j in sorted(range(len(kept)), key=lambda j: (round(gaps[j], 9), kept[j]))[:5]}
+        return rows, exact
+
+    for filters in ({"kind": "common"}, {"kind": None, "half": 1}, {"kind": "rare"}, {"kind": "absent"}, {"nope": 1}):
+        rows, exact = compare(filters, 12)
+        assert rows == exact
+        few, _ = compare(filters, 2, 60)
+        assert len(few) == len(exact) and len(few & exact) >= 0.7 * len(exact)
+    assert len(compare({"kind": "rare"}, 1)[0]) == 4 * 25
+    possible = c.possible_members(summary, {"kind": "rare", "half": 0}, 12)
+    assert possible.sum() <= 4 and (possible > 0).sum() <= 2
