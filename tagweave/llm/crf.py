@@ -114,23 +114,32 @@ def fit(
     tokens: np.ndarray,
     mask: np.ndarray,
     tags: np.ndarray,
-    vocabulary: int,
+    features: np.ndarray,
+    n_features: int,
     rounds: int = 80,
     rate: float = 0.25,
     ridge: float = 0.02,
 ) -> tuple[np.ndarray, Chain]:
-    """Emissions by token number and a chain, by Adam on the conditional likelihood of ``tags``.
+    """Weights of features and a chain, by Adam on the conditional likelihood of ``tags``.
 
-    ``tokens``, ``mask`` and ``tags`` are ``(steps, sequences)``.
+    ``tokens``, ``mask`` and ``tags`` are ``(steps, sequences)``; a token is a number of a row of
+    ``features``, whose entries are the numbers of its features, ``n_features`` standing for none. The
+    emission of a token is the sum of its features' weights.
     """
-    theta = np.zeros(vocabulary + 4)
-    theta[vocabulary:] = [-2.0, -2.0, 0.0, 0.0]
+    at = n_features + 1
+    theta = np.zeros(at + 4)
+    theta[at:] = [-2.0, -2.0, 0.0, 0.0]
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     tags = np.where(mask, tags, 0).astype(float)
-    seen = np.zeros_like(theta)
-    seen[:vocabulary] = np.bincount(tokens[mask], tags[mask], minlength=vocabulary)
     pairs = mask[1:]
-    seen[vocabulary:] = [
+
+    def by_feature(weights: np.ndarray) -> np.ndarray:
+        by_token = np.bincount(tokens[mask], weights[mask], minlength=len(features))
+        return np.bincount(features.ravel(), np.repeat(by_token, features.shape[1]), minlength=at)
+
+    seen = np.zeros_like(theta)
+    seen[:at] = by_feature(tags)
+    seen[at:] = [
         tags[0].sum(),
         ((1 - tags[:-1]) * tags[1:])[pairs].sum(),
         (tags[:-1] * (1 - tags[1:]))[pairs].sum(),
@@ -138,15 +147,37 @@ def fit(
     ]
     scale = max(tags.sum(), 1.0)
     for turn in range(1, rounds + 1):
-        chain = Chain(*theta[vocabulary:])
-        one, up, on = marginals(theta[tokens], mask, chain)
+        chain = Chain(*theta[at:])
+        one, up, on = marginals(theta[features].sum(axis=1)[tokens], mask, chain)
         hoped = np.zeros_like(theta)
-        hoped[:vocabulary] = np.bincount(tokens[mask], one[mask], minlength=vocabulary)
+        hoped[:at] = by_feature(one)
         left = one[:-1][pairs].sum() - on.sum()
-        hoped[vocabulary:] = [one[0].sum(), up.sum(), left, on.sum()]
+        hoped[at:] = [one[0].sum(), up.sum(), left, on.sum()]
         gradient = (seen - hoped) / scale - ridge * theta / scale
+        gradient[n_features] = 0.0
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         step = (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.999**turn)) + 1e-8)
         theta += rate * step
-    return theta[:vocabulary], Chain(*theta[vocabulary:])
+    return theta[:n_features], Chain(*theta[at:])
+
+
+def logistic(
+    x: np.ndarray, y: np.ndarray, counts: np.ndarray | float = 1.0, ridge: float = 0.1, rounds: int = 50
+) -> np.ndarray:
+    """Weights of the columns of ``x`` and a constant, which comes first, by Newton's method.
+
+    A row counts as often as ``counts`` says.
+    """
+    x = np.column_stack([np.ones(len(x)), x])
+    weights = np.zeros(x.shape[1])
+    penalty = ridge * np.eye(x.shape[1])
+    penalty[0, 0] = 1e-6
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        slope = x.T @ (counts * (y - p)) - penalty @ weights
+        step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + penalty, slope)
+        weights = weights + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return weights

@@ -23,8 +23,9 @@ def labelled_sample(
 
     The ids are those of the smallest hashes; with ``balanced``, half of them at most for labels
     above zero and half for the others. Only ids and labels are sorted, and at most ``rows`` of them
-    are sent to the documents. Rows of ``docs`` that repeat an id are all in the sample. A
-    document labelled twice counts with its lowest label; null ids and labels are left out.
+    are sent to the documents. Of rows of ``docs`` that repeat an id the one with the least text, by
+    order of its bytes, is taken. A document labelled twice counts with its lowest label; null ids and
+    labels are left out.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
     if learn_from is not None:
@@ -39,4 +40,5 @@ def labelled_sample(
     else:
         ids = known.orderBy(*order).limit(rows)
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return text.join(F.broadcast(ids), "doc_id")
+    chosen = text.join(F.broadcast(ids), "doc_id")
+    return chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

@@ -9,8 +9,16 @@ from itertools import product
 import numpy as np
 from pyspark.sql import functions as F
 
-from tagweave.llm.crf import Chain, fit, marginals
-from tagweave.llm.toxicity import SEGMENT, Tagger, cover, reject_toxic, score_of, segment_places, toxicity, words_of
+from tagweave.llm.crf import Chain, fit, logistic, marginals
+from tagweave.llm.toxicity import (
+    SEGMENT,
+    Tagger,
+    features_of,
+    reject_toxic,
+    segment_places,
+    toxicity,
+    words_of,
+)
 
 
 def by_hand(emission, chain):
@@ -45,16 +53,31 @@ def test_fit_finds_marked_tokens_and_runs():
     tags[1:] |= tags[:-1] & (tokens[1:] < 3)
     mask = np.ones(tokens.shape, bool)
     mask[15:, :50] = False
-    emissions, chain = fit(tokens, mask, tags, 30)
+    emissions, chain = fit(tokens, mask, tags, np.arange(30)[:, None], 30)
     one = marginals(emissions[tokens], mask, chain)[0]
     assert ((one > 0.5) == (tags & mask)).mean() > 0.99
     assert emissions[28:].min() > emissions[3:28].max() and chain.stay > chain.enter
 
 
-def test_cover():
-    docs = {b"a": {1, 2, 3, 4}, b"b": {3, 4, 5, 6, 7}, b"copy": {3, 4, 5, 6}, b"c": {1, 8}}
-    assert cover(docs, 2) == [b"b", b"c"] or cover(docs, 2) == [b"b", b"a"]
-    assert cover(docs, 9) == [] and cover({}, 1) == []
+def test_fit_learns_a_family_from_its_members():
+    rng = np.random.default_rng(6)
+    tokens = rng.integers(0, 200, (20, 300))
+    tags = tokens >= 160
+    features = np.column_stack([np.zeros(200, int), 1 + np.arange(200), np.where(np.arange(200) >= 160, 201, 202)])
+    tags[:, 150:] &= tokens[:, 150:] < 190  # the last of the family are never marked there
+    emissions, _ = fit(tokens, np.ones(tokens.shape, bool), tags, features, 202)
+    assert len(emissions) == 202 and emissions[201] > 2 and emissions[201] > np.abs(emissions[1:161]).max()
+
+
+def test_logistic():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(20_000, 2))
+    y = rng.random(20_000) < 1 / (1 + np.exp(-(0.5 + 2 * x[:, 0] - x[:, 1])))
+    assert np.allclose(logistic(x, y.astype(float)), [0.5, 2, -1], atol=0.1)
+
+
+def test_features():
+    assert features_of(b"abcd") == [b"abcd", b"abc*"] and features_of(b"ab") == [b"ab"] and features_of(b"x" * 65) == []
 
 
 def test_segments():
@@ -62,7 +85,7 @@ def test_segments():
     assert segment_places(sizes)[[0, 1, SEGMENT, SEGMENT + 1, 2 * SEGMENT + 1, 2 * SEGMENT + 2]].tolist() == [
         [0, 0], [1, 0], [1, SEGMENT - 1], [2, 0], [3, 0], [4, 0]
     ]
-    tagger = Tagger({b"bad": 1}, np.array([-6.0, 8.0]), Chain())
+    tagger = Tagger({b"bad": 1}, np.array([-6.0, 14.0]), Chain())
     texts = [words_of(t) for t in (b"", b"bad", b"ok " * 100 + b"BAD! " + b"ok " * 300, b"fine")]
     found = tagger.marked(texts)
     assert list(map(len, found)) == list(map(len, texts))
@@ -73,9 +96,12 @@ def test_segments():
 
 
 def test_long_clean_texts_score_no_higher():
+    tagger = Tagger(outcome=np.array([-3.0, 4.0, -0.5, 1.0, 6.0]))
     one = np.full(100_000, 1e-4)
-    assert score_of(one) == score_of(one[:10]) and score_of(np.zeros(0)) == 0.0
-    assert score_of(np.array([0.9, 0.9, 1e-4])) > 0.98
+    assert tagger.score(one) <= tagger.score(one[:10]) and tagger.score(np.zeros(0)) == 0.0
+    assert tagger.score(np.array([0.985, 0.985, 1e-4])) > 0.99
+    doubtful = np.r_[np.full(5, 0.6), np.zeros(50)]
+    assert tagger.score(doubtful) > tagger.score(doubtful[4:]) > tagger.score(np.r_[doubtful[4:], np.zeros(5_000)])
 
 
 INSULTS = ["grub", "toad", "lout"]
@@ -139,6 +165,24 @@ def test_a_long_text_is_one_chain():
         best = b"w%d" % (1 + int(tagger.emissions[1:].argmax()))
         texts[8][60:70] = [best] * 10
         for words, got in zip(texts, tagger.marked(texts), strict=True):
-            emission = tagger.emissions[[numbers[w] for w in words]][:, None]
+            emission = (tagger.emissions[0] + tagger.emissions[[numbers[w] for w in words]])[:, None]
             want = marginals(emission, np.ones(emission.shape, bool), chain)[0][:, 0] if words else np.zeros(0)
             assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
+
+
+def test_words_that_share_a_beginning(spark):
+    """No toxic word of a held-out document is known; one beginning alone, in a long clean text, is no insult."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(900):
+        words = ["".join(rng.choice(("ka", "lo", "mi", "re", "tu", "sha")) for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(60, 300))]
+        toxic = i % 4 == 0
+        for _ in range(len(words) // 40 + 2 if toxic else rng.random() < 0.1):
+            words.insert(rng.randrange(len(words)), "grobel" + "".join(rng.choice("aeioust") for _ in range(6)))
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    got = [(r.predicted, rows[r.doc_id][2]) for r in toxicity(docs, labels).collect() if r.held_out]
+    caught = [p for p, t in got if t]
+    assert sum(caught) >= 0.9 * len(caught)
+    assert sum(p for p, t in got if not t) <= 0.02 * len(got)
