@@ -16,6 +16,7 @@ they share such a point, and a point is shared by at most 65, so the work stays
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 from itertools import repeat
 
 import numpy as np
@@ -59,17 +60,20 @@ def _majority(hashes: list[int]) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` of every row, repeated rows included."""
+    """``(doc_id, fp, digest)`` of every row, repeated rows included; null is as an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [fingerprint(text, shingle_words) for text in utf8(batch.column(1))]
+            texts = utf8(batch.column(1))
+            found = [fingerprint(text, shingle_words) for text in texts]
+            digests = [md5(text or b"").digest() for text in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"]
+                [batch.column(0), pa.array(found, pa.int64()), pa.array(digests, pa.binary())],
+                names=["doc_id", "fp", "digest"],
             )
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    return narrow.mapInArrow(run, "doc_id long, fp long, digest binary")
 
 
 def _anchor(half: Column) -> Column:
@@ -168,39 +172,54 @@ def near_duplicates(
 
     Writes its fingerprints, classes and links to the folder of ``spark.checkpoint.dir``.
     """
+    return _grouped(docs, shingle_words, max_bits, most_at_home).select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
+def _grouped(
+    docs: DataFrame, shingle_words: int, max_bits: int, most_at_home: int = MOST_AT_HOME
+) -> DataFrame:
+    """``(doc_id, digest, fp, component_id, group)`` of every row; the group is named by a fingerprint."""
     rows = stage(fingerprints(docs, shingle_words), "fingerprints")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     edges = stage(links(classes.select("fp"), max_bits, most_at_home), "links")
     if is_empty(edges):
-        named = classes.select("fp", F.col("least").alias("component_id"))
+        named = classes.select("fp", F.col("least").alias("component_id"), F.col("fp").alias("group"))
     else:
         linked = classes.join(components(edges), F.col("fp") == F.col("node"), "left").drop("node")
         least = (
             linked.where("root is not null").groupBy("root").agg(F.min("least").alias("of_group"))
         )
         named = linked.join(least, "root", "left").select(
-            "fp", F.coalesce("of_group", "least").alias("component_id")
+            "fp",
+            F.coalesce("of_group", "least").alias("component_id"),
+            F.coalesce("root", "fp").alias("group"),
         )
-    return rows.join(named, "fp").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
-    )
+    return rows.join(named, "fp").select("doc_id", "digest", "fp", "component_id", "group")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest id.
 
-    Rows without a ``doc_id`` cannot be told apart and stay. Rows that repeat a ``doc_id`` are one
-    document: if there are any, the first of them in the order of all columns stays.
+    Rows without a ``doc_id`` cannot be told apart and stay. A row is judged by its own text: where an
+    id is on unlike texts, each of them stays or goes with the group it is in. Rows that repeat an id
+    in one group are one document, and the first of them in the order of all columns stays.
     """
-    found = near_duplicates(docs, shingle_words, max_bits)
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    who = [F.col("doc_id").cast("long").alias("id"), digest.alias("digest")]
+    every = docs.select(F.struct(*columns).alias("row"), *who)
+    found = _grouped(docs, shingle_words, max_bits).withColumnRenamed("doc_id", "id")
+    copies = found.where("id <> component_id").select("id", "digest").distinct()
+    kept = every.join(copies, ["id", "digest"], "left_anti")
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).count().where("count > 1")
+    again = stage(again.select("id"), "repeated")
     if is_empty(again):
-        return kept
-    repeated = kept.join(again.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    first = repeated.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    once = kept.join(again.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(first.select("_row.*"))
+        return kept.select("row.*")
+    group = found.join(again, "id", "left_semi").select("id", "digest", "group").distinct()
+    repeated = kept.join(again, "id", "left_semi").join(group, ["id", "digest"])
+    first = repeated.groupBy("id", "group").agg(F.min("row").alias("row"))
+    return kept.join(again, "id", "left_anti").select("row.*").unionByName(first.select("row.*"))

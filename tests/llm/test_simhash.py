@@ -139,3 +139,14 @@ def test_keep_one(spark):
     got = keep_one(frame)
     assert got.columns == frame.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[1], rows[2], rows[3]], key=str)
+
+
+def test_one_id_on_unlike_texts(spark):
+    """One text of id 5 is a copy of id 1, one is alone, one is there twice; columns have a dot in their name."""
+    rows = [(1, "a b c d", "x"), (5, "a b c d", "x"), (5, "p q r s", "x"), (5, "k l m n", "z"), (5, "k l m n", "y"), (None, None, "x"), (None, "", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `n.chars` string")
+    got = keep_one(frame)
+    assert got.columns == frame.columns
+    kept = [rows[0], rows[2], rows[4], rows[5], rows[6]]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(kept, key=str)
+    assert keep_one(frame.limit(0)).collect() == []
