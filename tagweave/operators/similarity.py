@@ -159,6 +159,7 @@ def top_k_per_cell(
     tile_rows: int = TILE_ROWS,
     sizes: DataFrame | None = None,
     merged: bool = True,
+    parts: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Per (cell, query_id) the ``k`` nearest members of that cell.
 
@@ -168,26 +169,30 @@ def top_k_per_cell(
     split into parts of about ``tile_rows`` rows; every pair of parts is one tile. A hot cell
     becomes many tiles, and a tile emits at most k rows per query, never its pairs.
 
+    ``parts`` are the numbers of parts of both sides, for callers that have one cell of known size.
     ``sizes(cell, members, askers)`` saves counting where the caller knows the sizes; they only
     decide how finely a cell is cut, so they need not be exact.
     """
-    if sizes is None:
-        members = corpus.groupBy("cell").agg(F.count("*").alias("members"))
-        askers = queries.groupBy("cell").agg(F.count("*").alias("askers"))
-        sizes = members.join(askers, "cell")
-    # Only cells larger than a tile need cutting: at most (all rows / tile_rows) of them.
-    large = sized(
-        sizes.filter(F.greatest("members", "askers") > tile_rows).select(
-            "cell",
-            F.ceil(F.col("members") / tile_rows).cast("int").alias("c_parts"),
-            F.ceil(F.col("askers") / tile_rows).cast("int").alias("q_parts"),
-        )
-    )
-
     def cut(side: DataFrame) -> DataFrame:
+        if parts is not None:
+            return side.withColumns({"c_parts": F.lit(parts[0]), "q_parts": F.lit(parts[1])})
         known = side.join(large, "cell", "left")
         return known.withColumns({n: F.coalesce(n, F.lit(1)) for n in ("c_parts", "q_parts")})
 
+    if parts is None:
+        if sizes is None:
+            members = corpus.groupBy("cell").agg(F.count("*").alias("members"))
+            askers = queries.groupBy("cell").agg(F.count("*").alias("askers"))
+            sizes = members.join(askers, "cell")
+        # Only cells larger than a tile need cutting: at most (all rows / tile_rows) of them.
+        large = sized(
+            sizes.filter(F.greatest("members", "askers") > tile_rows).select(
+                "cell",
+                F.ceil(F.col("members") / tile_rows).cast("int").alias("c_parts"),
+                F.ceil(F.col("askers") / tile_rows).cast("int").alias("q_parts"),
+            )
+        )
+
     all_parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own_part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
 
@@ -373,10 +378,9 @@ def _knn_by_cell(
     if n <= direct_rows:
         whole = corpus.select(F.lit(0).alias("cell"), "id", "vector")
         asks = asked.select(F.lit(0).alias("cell"), F.col("ask").alias("query_id"), "vector")
-        sizes = corpus.sparkSession.range(1).select(
-            F.lit(0).alias("cell"), F.lit(n).alias("members"), F.lit(asked.count()).alias("askers")
-        )
-        hits = top_k_per_cell(whole, asks, k, tile_rows=min(tile_rows, DIRECT_TILE), sizes=sizes, merged=False)
+        tile = min(tile_rows, DIRECT_TILE)
+        parts = max(1, -(-n // tile)), max(1, -(-asked.count() // tile))
+        hits = top_k_per_cell(whole, asks, k, merged=False, parts=parts)
         hits = hits.select(F.col("query_id").alias("ask"), "id", "distance")
         found = _ranked(hits, ["ask"], k).join(asked.select("ask", "query_id"), "ask")
         return found.select("query_id", "id", "distance", "rank")
