@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tagweave.llm.batches import SPACES, byte_map, is_empty, slices, utf8
-from tagweave.llm.components import components
+from tagweave.llm.components import components, with_least
 from tagweave.session import stage
 
 SEED = 42
@@ -190,13 +190,13 @@ def _grouped(
         named = classes.select("fp", F.col("least").alias("component_id"), F.col("fp").alias("group"))
     else:
         linked = classes.join(components(edges), F.col("fp") == F.col("node"), "left").drop("node")
-        least = (
-            linked.where("root is not null").groupBy("root").agg(F.min("least").alias("of_group"))
-        )
-        named = linked.join(least, "root", "left").select(
-            "fp",
-            F.coalesce("of_group", "least").alias("component_id"),
-            F.coalesce("root", "fp").alias("group"),
+        grouped = with_least(linked, "root", "least", classes.count())
+        named = grouped.select(
+            "fp", F.coalesce("low", "least").alias("component_id"), F.col("root").alias("group")
+        ).unionByName(
+            linked.where("root IS NULL").select(
+                "fp", F.col("least").alias("component_id"), F.col("fp").alias("group")
+            )
         )
     return rows.join(named, "fp").select("doc_id", "digest", "fp", "component_id", "group")
 
