@@ -69,6 +69,12 @@ def _files(spark: SparkSession, path: str):  # noqa: ANN202
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Make a folder, if there is none."""
+    fs, target = _files(spark, path)
+    fs.mkdirs(target)
+
+
 def versions(spark: SparkSession, path: str) -> list[str]:
     """The folders of the whole versions at ``path``, oldest first."""
     fs, marks = _files(spark, f"{path}/_versions")
@@ -77,14 +83,16 @@ def versions(spark: SparkSession, path: str) -> list[str]:
     return [f"{path}/{name}" for name in sorted(s.getPath().getName() for s in fs.listStatus(marks))]
 
 
-def add_version(spark: SparkSession, path: str, write: Callable[[str], None]) -> str:
+def add_version(spark: SparkSession, path: str, write: Callable[[str], None], kind: str = "") -> str:
     """A new version: ``write`` fills its folder, and only then a mark makes it one.
 
+    The name of the folder ends with ``kind``.
+
     The mark is an empty file that is created in one step, so readers see all of a version or none.
     What a failed writer has left behind has no mark and is never read.
     """
     number = len(versions(spark, path)) + 1
-    name = f"{number:08d}-{uuid.uuid4().hex}"
+    name = f"{number:08d}-{uuid.uuid4().hex}{kind}"
     write(f"{path}/{name}")
     fs, mark = _files(spark, f"{path}/_versions/{name}")
     fs.create(mark, False).close()
