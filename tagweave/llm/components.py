@@ -19,9 +19,12 @@ def with_least(rows: DataFrame, key: str, value: str, total: int) -> DataFrame:
     gets all rows of a hub. Rows without a ``value`` count in the size of a key.
     """
     share = total // MOST_HUBS
+    rows = rows.where(F.col(key).isNotNull())
     sums = rows.groupBy(key).agg(F.min(value).alias("low"), F.count("*").alias("n"))
+    if share == 0:  # every key has more than that, and there are fewer than 10,000 rows
+        return rows.join(F.broadcast(sums.drop("n")), key)
     hubs = F.broadcast(sums.where(F.col("n") > share).select(key, "low", F.lit(True).alias("hub")))
-    marked = rows.where(F.col(key).isNotNull()).join(hubs, key, "left")
+    marked = rows.join(hubs, key, "left")
     at_hubs = marked.where("hub").drop("hub")
     small = sums.where(F.col("n") <= share).select(key, "low")
     others = marked.where("hub IS NULL").drop("hub", "low").join(small, key)
@@ -46,14 +49,16 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``; the root is the smallest node it reaches.
 
-    Each round is one table in the shared folder, so a lost executor costs at most a round. ``edges``
-    is read twice, so it should be a written table. No edges give no rows.
+    Each star is a table in the shared folder, so a lost executor costs at most one, and the plan of
+    the next, which reads it several times, stays small. ``edges`` is read several times, too, so it
+    should be a written table. No edges give no rows.
     """
     mark = None
     current = edges.where("a <> b")
     n = current.count()
     while True:
-        current = stage(_small_star(_large_star(current, n), n), "stars")
+        large = stage(_large_star(current, n), "large-stars")
+        current = stage(_small_star(large, n), "stars")
         seen = current.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
         ).first()
