@@ -34,7 +34,7 @@ from tagweave.sources.tables import read_table, write_table
     f"WITH {CRAWL_SQL} SELECT keyword, page, position, o_orderkey::VARCHAR AS id FROM listed",
 )
 def scan_json_items(spark: SparkSession, sf: str) -> DataFrame:
-    listed = landing.page_items(landing.scan_pages(spark, landed(spark, sf).pages))
+    listed = landing.page_items(landing.scan_pages(spark, landed(spark, sf, "pages").pages))
     return listed.select(
         "keyword",
         F.col("page").cast("bigint").alias("page"),
@@ -101,7 +101,7 @@ def page_cut(spark: SparkSession, sf: str) -> DataFrame:
            THEN array_to_string(skills, '|') ELSE '' END AS tags FROM items""",
 )
 def parse_tags(spark: SparkSession, sf: str) -> DataFrame:
-    details = landing.scan_details(spark, landed(spark, sf).details)
+    details = landing.scan_details(spark, landed(spark, sf, "details").details)
     return details.select("id", F.array_join("skills", "|").alias("tags"))
 
 
@@ -137,7 +137,7 @@ def parse_tags_text(spark: SparkSession, sf: str) -> DataFrame:
       FROM items i JOIN listed ON o_orderkey = vacancy_id""",
 )
 def flatten_item(spark: SparkSession, sf: str) -> DataFrame:
-    listed = landing.page_items(landing.scan_pages(spark, landed(spark, sf).pages))
+    listed = landing.page_items(landing.scan_pages(spark, landed(spark, sf, "pages").pages))
     flat = item_ops.flatten_items(listed).drop("employer_id", "published_at")
     return flat.withColumns(
         {

@@ -23,7 +23,7 @@ from tagweave.streaming.ingest import stream_ingest, stream_refused
 )
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """Every item is landed under two keywords and kept once."""
-    listed = page_items(stream_pages(spark, landed(spark, sf).pages))
+    listed = page_items(stream_pages(spark, landed(spark, sf, "pages").pages))
     flat = flatten_items(listed).select(
         "vacancy_id", "title", "salary_str", F.to_timestamp("published_at", PUBLISHED_FORMAT).alias("published_at")
     )
