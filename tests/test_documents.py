@@ -191,3 +191,12 @@ def test_judge_answers(spark):
 
     found = judge_answers(answers, "m", ask).collect()
     assert {r.id: r.valid for r in found} == {1: True, 2: False, 3: False, 4: False, 5: False}
+
+
+def test_large_requests_are_parsed_a_few_at_a_time(spark):
+    df = spark.range(30, numPartitions=1).withColumn("text", F.repeat(F.lit("x "), 200_000))
+    said = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    requests = df.select("id", d.request_document(said, "m").alias("request"))
+    rows = complete(requests, ask_batch=lambda batch: [str(len(batch)) for _ in batch]).collect()
+    assert len(rows) == 30
+    assert all(1 <= int(r.completion) <= 12 for r in rows)
