@@ -273,3 +273,58 @@ def test_rare_words_weigh_more(spark):
     assert np.allclose(vectors[1], vectors[2]) and not vectors[3].any() and not vectors[4].any()
     nothing = encode(df, "s", idf=fit_idf(df.limit(0), "s")).collect()
     assert len(nothing) == 5
+
+
+def test_pieces_of_a_block_bound_each_other(monkeypatch):
+    from tagweave.operators import similarity
+
+    queries, block = random_vectors(4, 30).astype(np.float32), random_vectors(5, 700).astype(np.float32)
+    codes = np.arange(700)[::-1]
+    whole = similarity._nearest(codes, block.astype(float), queries.astype(float), 3, "l2")
+    monkeypatch.setattr(similarity, "TILE_ROWS", 64)
+    monkeypatch.setattr(similarity, "_WORKING_VALUES", 1000)
+    compared = []
+    plain = similarity._exact
+    monkeypatch.setattr(similarity, "_exact", lambda *a: compared.append(len(a[1])) or plain(*a))
+    cut = similarity._nearest(codes, block.astype(float), queries.astype(float), 3, "l2")
+    assert all((a == b).all() for a, b in zip(whole, cut))
+    # 11 pieces that each gave their own three best would be 990 exact distances at least
+    assert sum(compared) < 700
+
+
+def test_members_beyond_the_bound_of_a_query_are_not_handed_on(spark):
+    corpus = table(spark, "id", [[x, 0] for x in range(20)]).withColumn("cell", F.lit(0))
+    asked = spark.createDataFrame([(0, 0, [0.0, 0.0], 4.0), (0, 1, [0.0, 0.0], None)], "cell int, query_id int, vector array<float>, bound double")
+    found = top_k_per_cell(corpus, asked, 6, tile_rows=5, merged=False).collect()
+    assert sorted(r.id for r in found if r.query_id == 0) == [0, 1, 2]
+    assert len(found) > 3 + 6
+
+
+def test_tiles_of_exact_search_are_as_large_as_a_task_can_hold(spark, monkeypatch):
+    """The queries are shuffled once for every tile of the corpus."""
+    from tagweave.operators import similarity
+
+    asked = []
+    plain = similarity.top_k_per_cell
+    monkeypatch.setattr(similarity, "top_k_per_cell", lambda *a, **o: asked.append((a[1], o["tile_rows"])) or plain(*a, **o))
+    corpus, queries = random_vectors(2, 300, 4), random_vectors(1, 20, 4)
+    found = knn_join(table(spark, "query_id", queries), table(spark, "id", corpus), 3, None, 4, 0)
+    assert hits(found) == brute(queries, corpus, 3)
+    assert [rows for _, rows in asked] == [similarity.BLOCK_VALUES // 4] * 2
+    assert "bound" in asked[1][0].columns
+
+
+def test_long_texts_are_encoded_a_run_at_a_time(spark):
+    import pyarrow as pa
+
+    from tagweave.operators import encoding
+
+    texts = pa.array(["a b", None, "c " * 300_000, "", "d", "e " * 900_000, "f"])
+    runs = list(encoding.slices(texts))
+    assert pa.concat_arrays(runs).equals(texts)
+    assert len(runs) >= 2 and all(sum(len(t or "") for t in r.to_pylist()[1:]) <= 1 << 20 for r in runs)
+    assert [len(r) for r in encoding.slices(texts.slice(0, 0))] == [0]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts.to_pylist())], "id int, s string")
+    together, alone = (encode(rows.repartition(n), "s").collect() for n in (1, 7))
+    assert {r.id: r.vector for r in together} == {r.id: r.vector for r in alone}
+    assert sorted(map(tuple, fit_idf(rows.repartition(1), "s").collect())) == sorted(map(tuple, fit_idf(rows.repartition(7), "s").collect()))
