@@ -189,6 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .withColumn("marks", often & (_unlikely(F.col("toxic_docs"), F.col("clean_docs"), base) >= UNLIKELY))
         .orderBy(F.desc("marks"), F.desc(F.col("clean_docs") + F.col("toxic_docs")), "feature")
         .limit(VOCABULARY)
+        .select("feature", "marks")
         .collect()
     )
     marking = frozenset(bytes(row.feature) for row in rows if row.marks)
@@ -204,15 +205,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 for start in range(0, len(found), SEGMENT):
                     out.append(found[start : start + SEGMENT])
                     kinds.append(label > 0 and any(f in marking for w in out[-1] for f in features_of(w)))
+            joined = pa.array([b" ".join(words) for words in out], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out, pa.list_(pa.binary())), pa.array(kinds, pa.bool_())], names=["words", "toxic"]
+                [pa.array(out, pa.list_(pa.binary())), joined, pa.array(kinds, pa.bool_())], names=["words", "joined", "toxic"]
             )
 
-    cut = sample.mapInArrow(segments, "words array<binary>, toxic boolean")
+    # A segment comes to the driver as one value: a blank stands below every byte of a word, so it sorts as its words do.
+    cut = sample.mapInArrow(segments, "words array<binary>, joined binary, toxic boolean")
     order = [F.xxhash64("words"), F.col("words")]
-    parts = [cut.where(kind).orderBy(*order).limit(TRAIN_SEGMENTS // 2).collect() for kind in ("toxic", "NOT toxic")]
-    cuts = sorted((r.toxic, [bytes(w) for w in r.words]) for part in parts for r in part)
-    known = {w: i for i, w in enumerate(sorted({w for _, found in cuts for w in found}))}
+    parts = [cut.where(kind).orderBy(*order).limit(TRAIN_SEGMENTS // 2) for kind in ("toxic", "NOT toxic")]
+    cuts = sorted((r.toxic, bytes(r.joined)) for part in parts for r in part.select("toxic", "joined").collect())
+    known = {w: i for i, w in enumerate(sorted({w for _, found in cuts for w in found.split(b" ")}))}
     features = np.full((len(known), 2 + len(BEGINNINGS)), len(numbers) + 1)
     marks = np.zeros(len(known), bool)
     for word, i in known.items():
@@ -222,7 +225,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     tokens = np.zeros((SEGMENT, len(cuts)), np.int32)
     mask = np.zeros(tokens.shape, bool)
     for i, (_, found) in enumerate(cuts):
-        tokens[: len(found), i], mask[: len(found), i] = [known[w] for w in found], True
+        numbered = [known[w] for w in found.split(b" ")]
+        tokens[: len(numbered), i], mask[: len(numbered), i] = numbered, True
     tags = marks[tokens] & np.array([kind for kind, _ in cuts])
     emissions, chain = fit(tokens, mask, tags, features, len(numbers) + 1)
     tagger = Tagger(numbers, emissions, chain)
