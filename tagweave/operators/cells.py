@@ -6,14 +6,16 @@ vector is then kept under its cell, with a code: for each of ``parts`` slices of
 of the nearest of sixteen learned slices, four bits.
 
 A query compares its distance tables with the codes of the cells it probes, which are a small share
-of the bytes of the vectors, and exact distances are computed for its shortlist alone.
+of the bytes of the vectors, and exact distances are computed for its shortlist alone. Few queries meet
+the cells they probe in tiles. Many are dealt out in blocks, and the index streams past each block, codes
+first and vectors behind them, so a shortlist never leaves its task.
 
 Sums are over vectors in fixed point, so the same rows give the same index at any partitioning.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Any, NamedTuple
 
@@ -37,6 +39,10 @@ SAMPLE_TASKS = 8
 #: Members and queries of a cell that meet in one tile, about.
 TILE_MEMBERS, TILE_ASKERS = 65_536, 4_096
 _CUTS = (("n", TILE_MEMBERS, "member_parts"), ("m", TILE_ASKERS, "asker_parts"))
+#: Up to so many queries meet their cells in tiles; of more, this many blocks at least, of so many at most.
+FEW_ASKERS, ASKER_BLOCKS, BLOCK_ASKERS = 1_024, 32, 16_384
+#: Members that are sent as one row.
+PACK_MEMBERS = 1_024
 _SCALE = 1 << 24
 _WORKING_VALUES = 4_000_000
 
@@ -240,6 +246,168 @@ def _shortlisted(members: DataFrame, askers: DataFrame, values: np.ndarray, shor
     return left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(compare, schema)
 
 
+def _packed(members: DataFrame) -> DataFrame:
+    """``(cells, ids, codes, vectors)``: ``members(cell, id, code, vector)`` with many in one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACK_MEMBERS):
+                part = batch.slice(at, PACK_MEMBERS)
+                cell, ids, code, vector = part.columns
+                flat = [cell, ids, pa.array([b"".join(code.to_pylist())], pa.binary()), vector.flatten()]
+                whole = [c if i == 2 else pa.ListArray.from_arrays([0, len(c)], c) for i, c in enumerate(flat)]
+                yield pa.RecordBatch.from_arrays(whole, names=["cells", "ids", "codes", "vectors"])
+
+    kinds = [T.ArrayType(T.IntegerType()), T.ArrayType(members.schema["id"].dataType), T.BinaryType(), T.ArrayType(T.FloatType())]
+    fields = [T.StructField(name, kind) for name, kind in zip(["cells", "ids", "codes", "vectors"], kinds)]
+    return members.select("cell", "id", "code", "vector").mapInArrow(run, T.StructType(fields))
+
+
+def _first_of(row: np.ndarray, gap: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of the first ``most`` of each row by (rounded gap, id), row by row."""
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1], np.round(gap, 9), row))
+    row = row[order]
+    return order[np.arange(len(row)) - np.searchsorted(row, row) < most]
+
+
+class _Block:
+    """A block of queries while the index streams past: what each has found so far, of codes and then exactly."""
+
+    def __init__(self, asks: np.ndarray, vectors: np.ndarray, chosen: np.ndarray, values: np.ndarray, shortlist: int, k: int):
+        self.asks, self.vectors, self.chosen, self.shortlist, self.k = asks, vectors, chosen, shortlist, k
+        cut = _sliced(vectors, len(values))
+        self.tables = [_gaps(cut[:, s], values[s]) for s in range(len(values))]
+        self.edge = np.full(len(asks), np.inf)
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.hits: list[tuple[np.ndarray, ...]] = []
+        self.pending = 0
+        self.listed: tuple[np.ndarray, ...] | None = None
+
+    def _cut(self) -> None:
+        row, gap, cell, ids, known = (np.concatenate(c) for c in zip(*self.found))
+        kept = _first_of(row, gap, ids, self.shortlist)
+        self.found, self.pending = [(row[kept], gap[kept], cell[kept], ids[kept], known[kept])], 0
+        rows, n = np.unique(row[kept], return_counts=True)
+        last = np.round(gap[kept][np.cumsum(n) - 1], 9)
+        self.edge[rows[n == self.shortlist]] = last[n == self.shortlist]
+
+    def codes(self, cells: np.ndarray, ids: np.ndarray, known: np.ndarray, code: np.ndarray) -> None:
+        """Members by their codes: those no farther than what a query has ``shortlist`` of are kept."""
+        for cell in np.unique(cells):
+            here, asking = np.flatnonzero(cells == cell), np.flatnonzero(self.chosen[:, cell])
+            step = max(1, _WORKING_VALUES // len(here))
+            for at in range(0, len(asking), step):
+                rows = asking[at : at + step]
+                gap = np.zeros((len(rows), len(here)))
+                for s, table in enumerate(self.tables):
+                    gap += table[rows][:, code[here, s]]
+                row, member = np.nonzero(np.round(gap, 9) <= self.edge[rows][:, None])
+                at_member = here[member]
+                self.found.append((rows[row], gap[row, member], cells[at_member], ids[at_member], known[at_member]))
+                self.pending += len(row)
+                if self.pending > max(_WORKING_VALUES, self.shortlist * len(self.asks)):
+                    self._cut()
+
+    def exact(self, cells: np.ndarray, ids: np.ndarray, known: np.ndarray, vectors: np.ndarray) -> None:
+        """Members by their vectors: distances to those that have them on their shortlist."""
+        if self.listed is None:
+            if self.found:
+                self._cut()
+            row, _, cell, listed, was_known = self.found[0] if self.found else (np.zeros(0, int),) * 5
+            # a null id is near by its code, but there is nothing to find it by
+            row, cell, listed = (c[was_known.astype(bool)] for c in (row, cell, listed))
+            order = np.argsort(listed, kind="stable")
+            self.listed = row[order], cell[order], listed[order]
+        row, cell, listed = self.listed
+        start, end = (np.searchsorted(listed, ids, side) for side in ("left", "right"))
+        n = np.where(known, end - start, 0) if len(listed) else np.zeros(len(ids), int)
+        member = np.repeat(np.arange(len(ids)), n)
+        at = np.repeat(start, n) + np.arange(len(member)) - np.repeat(np.cumsum(n) - n, n)
+        same = cell[at] == cells[member]
+        member, asking = member[same], row[at[same]]
+        for first in range(0, len(member), _WORKING_VALUES):
+            some, rows = member[first : first + _WORKING_VALUES], asking[first : first + _WORKING_VALUES]
+            gap = np.zeros(len(some))
+            for place in range(vectors.shape[1]):  # one by one, as the column function adds
+                gap += (self.vectors[rows, place] - vectors[some, place]) ** 2
+            self.hits.append((rows, gap, ids[some]))
+            self.pending += len(rows)
+        if self.pending > _WORKING_VALUES:
+            self._nearest()
+
+    def _nearest(self) -> None:
+        row, gap, ids = (np.concatenate(c) for c in zip(*self.hits))
+        kept = _first_of(row, gap, ids, self.k)
+        self.hits, self.pending = [(row[kept], gap[kept], ids[kept])], 0
+
+    def best(self, id_type: pa.DataType) -> pa.RecordBatch:
+        if self.hits:
+            self._nearest()
+        row, gap, ids = self.hits[0] if self.hits else (np.zeros(0, int), np.zeros(0), np.zeros(0, int))
+        columns = [pa.array(self.asks[row], pa.int64()), pa.array(ids.tolist(), id_type), pa.array(gap, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, names=["ask", "id", "distance"])
+
+
+def _in_blocks(
+    asked: DataFrame, index: CellIndex, k: int, choose: Callable, shortlist: int, blocks: int
+) -> DataFrame:
+    """``(ask, id, distance)``: of every query the ``k`` nearest of its shortlist, block by block.
+
+    A block is a task. It gets its queries, the packed codes of all members, and their packed vectors, in this
+    order, and holds the queries, their shortlists and one pack at a time.
+    """
+    id_type = index.members.schema["id"].dataType
+    wide = {"asks": "array<long>", "cells": "array<int>", "ids": f"array<{id_type.simpleString()}>", "codes": "binary", "vectors": "array<float>"}
+
+    def shaped(rows: DataFrame, kind: int, block: Column, *names: str) -> DataFrame:
+        columns = [F.col(c) if c in names else F.lit(None).cast(wide[c]).alias(c) for c in wide]
+        return rows.select(block.alias("block"), F.lit(kind).alias("kind"), *columns)
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    packs = stage(_packed(index.members), "packs")
+    askers = asked.select("ask", F.array("ask").alias("asks"), F.col("vector").alias("vectors"))
+    rows = shaped(askers, 0, F.pmod(F.xxhash64("ask"), F.lit(blocks)).cast("int"), "asks", "vectors")
+    rows = rows.unionByName(shaped(packs, 1, every, "cells", "ids", "codes"))
+    rows = rows.unionByName(shaped(packs, 2, every, "cells", "ids", "vectors"))
+    rows = rows.repartitionById(blocks, "block").sortWithinPartitions("block", "kind")
+    values, centres = index.values, index.centres
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, block, asks, vectors, kind_of_id = -1, None, [], [], None
+        for batch in batches:
+            kind_of_id = batch.schema.field("ids").type.value_type
+            for i, (at, kind) in enumerate(zip(batch.column("block").to_pylist(), batch.column("kind").to_pylist())):
+                if at != number:
+                    if block:
+                        yield block.best(kind_of_id)
+                    number, block, asks, vectors = at, None, [], []
+                flat = batch.column("vectors")[i].values
+                if kind == 0:
+                    asks.append(batch.column("asks")[i].values[0].as_py())
+                    vectors.append(flat.to_numpy(zero_copy_only=False))
+                    continue
+                if not asks:
+                    continue
+                if block is None:
+                    whole = np.array(vectors, dtype=np.float64)
+                    chosen = choose(batch, np.sqrt(_gaps(whole, centres)))
+                    block, vectors = _Block(np.array(asks), whole, chosen, values, shortlist, k), []
+                cells, found = batch.column("cells")[i].values.to_numpy(), batch.column("ids")[i].values
+                known = found.is_valid().to_numpy(zero_copy_only=False)
+                nothing = "" if pa.types.is_string(found.type) else 0
+                ids = (found if known.all() else found.fill_null(nothing)).to_numpy(zero_copy_only=False)
+                if kind == 1:
+                    code = np.frombuffer(batch.column("codes")[i].as_py(), np.uint8).reshape(len(cells), -1)
+                    block.codes(cells, ids, known, code)
+                else:
+                    block.exact(cells, ids, known, flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(cells), -1))
+        if block:
+            yield block.best(kind_of_id)
+
+    fields = [("ask", T.LongType()), ("id", id_type), ("distance", T.DoubleType())]
+    return rows.mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
+
+
 def search_cells(
     queries: DataFrame,
     index: CellIndex,
@@ -251,8 +419,9 @@ def search_cells(
 
     A query's ``probes`` nearest cells are compared by code and its ``shortlist`` best exactly; distances are
     exact. Only folders of cells that some query probes are read: the visited cells, at most as many
-    as there are, are broadcast and prune the members' partitions. Queries stay on the executors.
-    Writes the queries, their routes and the shortlist.
+    as there are, are broadcast and prune the members' partitions. Queries stay on the executors. More
+    than ``FEW_ASKERS`` queries visit nearly all cells, so all are read, once. Writes the queries, and
+    their routes and shortlist or the packed index.
     """
     asked = _asked(queries)
     allowed = np.ones(len(index.centres), dtype=bool)
@@ -271,6 +440,10 @@ def _nearest_in_cells(
         np.put_along_axis(chosen, distance.argsort(axis=1, kind="stable")[:, :probes], True, axis=1)
         return chosen & allowed
 
+    n = asked.count()
+    if n > FEW_ASKERS:
+        exact = _in_blocks(asked, index, k, nearest, shortlist, max(ASKER_BLOCKS, -(-n // BLOCK_ASKERS)))
+        return _ranked(exact, ["ask"], k).select("ask", "id", "distance", "rank")
     routes = stage(_routed(asked.select("ask", "vector"), nearest, index.centres), "routes")
     visited = visited_members(index.members, routes)
     listed = _shortlisted(visited.select("cell", "id", "code"), routes, index.values, shortlist)

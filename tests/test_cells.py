@@ -67,6 +67,39 @@ def test_tiles_change_nothing(spark, monkeypatch):
     assert rows() == whole
 
 
+def test_many_queries_in_blocks_find_what_few_in_tiles_find(spark, monkeypatch):
+    vectors = clustered(400)
+    rows = [(None if i % 50 == 7 else i // 2 if i < 40 else i, [float(x) for x in vectors[i // 2 if i < 40 else i]]) for i in range(400)]
+    corpus = spark.createDataFrame(rows, "id bigint, vector array<float>").repartition(4)
+    words = corpus.withColumn("id", F.concat(F.lit("w"), "id")).where("id IS NOT NULL")
+    queries = table(spark, np.concatenate([vectors[::4], vectors[:9]]), "query_id")
+    queries = queries.unionByName(spark.createDataFrame([(None, rows[3][1]), (5, None)], "query_id bigint, vector array<float>"))
+    for known in (corpus, words):
+        index = c.train_cells(known.where("id IS NOT NULL"), cells=6, parts=5, rounds=2)
+        index = index._replace(members=stage(c.placed(known, index.centres, index.values), "members"))
+
+        def found(few, shortlist, probes):
+            monkeypatch.setattr(c, "FEW_ASKERS", few)
+            hits = c.search_cells(queries, index, 4, probes, shortlist)
+            return sorted((tuple(r) for r in hits.collect()), key=repr)
+
+        for shortlist, probes, working in ((30, 3, 64), (400, 6, 4_000_000)) if known is corpus else ((3, 1, 64),):
+            want = found(1_024, shortlist, probes)
+            monkeypatch.setattr(c, "_WORKING_VALUES", working)
+            monkeypatch.setattr(c, "ASKER_BLOCKS", 3)
+            monkeypatch.setattr(c, "PACK_MEMBERS", 17)
+            assert want and found(0, shortlist, probes) == want
+            monkeypatch.undo()
+
+
+def test_a_shortlist_of_many_queries_is_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(c, "FEW_ASKERS", 0)
+    vectors = clustered(200)
+    index = c.train_cells(table(spark, vectors), cells=4, parts=5, rounds=1)
+    hits = c.search_cells(table(spark, vectors, "query_id"), index, 3, 2, 30)
+    assert "FlatMapCoGroups" not in hits._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_no_vectors_few_vectors_and_copies(spark):
     nothing = table(spark, clustered(20)).limit(0)
     queries = table(spark, clustered(20)[:2], "query_id")
