@@ -121,7 +121,7 @@ def _crowded_links(fps: DataFrame, max_bits: int) -> DataFrame:
     near = F.explode(F.transform(F.array(*flips), lambda flip: F.col("fp").bitwiseXOR(flip)))
     points = fps.select(near.alias("point"), "fp")
     if max_bits < 2:  # a point must be a fingerprint itself
-        points = points.join(fps.select(F.col("fp").alias("point")), "point").where(F.lit(max_bits == 1))
+        points = points.join(fps.select(F.col("fp").alias("point")).hint("merge"), "point").where(F.lit(max_bits == 1))
     return (
         points.groupBy("point")
         .agg(F.collect_set("fp").alias("fps"))
@@ -148,9 +148,11 @@ def links(fps: DataFrame, max_bits: int = 2, most_at_home: int = MOST_AT_HOME) -
     hot = not is_empty(crowded)
     if hot:
         home = home.join(crowded, "key", "left_anti")
+    # Spark takes an exploded table to be no larger than what it was made from, and would broadcast 34 or
+    # more visits of every fingerprint of a table that is itself just small enough for it.
     found = (
-        home.alias("h")
-        .join(visits(fps).alias("v"), F.col("h.key") == F.col("v.key"))
+        home.hint("merge").alias("h")
+        .join(visits(fps).hint("merge").alias("v"), F.col("h.key") == F.col("v.key"))
         .where((F.col("h.fp") < F.col("v.fp")) & (differ <= max_bits))
         .select(F.col("h.fp").alias("a"), F.col("v.fp").alias("b"))
     )

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 import xxhash
 from pyspark.sql import functions as F
 
 from tagweave.llm.simhash import MOST_AT_HOME, fingerprint, keep_one, links, near_duplicates
+from tagweave.session import stage
 
 
 def plain_fingerprint(text: str | None) -> int:
@@ -94,6 +96,20 @@ def test_crowded_anchors(spark):
         check_links(spark, fps, bits, most_at_home=2)
 
 
+def test_exploded_sides_are_not_broadcast(spark):
+    """A table of few MB passes for small, its visits are 34 or more times as many rows."""
+    rng = random.Random(4)
+    frame = stage(spark.createDataFrame([(signed(rng.getrandbits(64)),) for _ in range(200)], "fp long"), "fps")
+    crowd = [(i ^ (1 << j),) for i in range(2) for j in range(40)]
+    crowded = stage(frame.unionByName(spark.createDataFrame(crowd, "fp long")).distinct(), "fps")
+    for fps in (frame, crowded):
+        for bits in (1, 2):
+            plan = links(fps, bits, 4)._jdf.queryExecution().executedPlan().toString()
+            # only the crowded anchors, which are a written table, may be sent to all tasks
+            joins = re.findall(r"BroadcastHashJoin .*", plan)
+            assert "SortMergeJoin" in plan and not [j for j in joins if "LeftAnti" not in j and "LeftSemi" not in j]
+
+
 WORDS = [f"w{i}" for i in range(400)]
 
 
