@@ -27,7 +27,17 @@ from pyspark.sql import types as T
 
 from tagweave.functions.vectors import squared_l2
 from tagweave.operators.items import filter_equal
-from tagweave.operators.similarity import _asked, _gaps, _keyed, _matrix, _ranked, _routed, pivots
+from tagweave.operators.similarity import (
+    _asked,
+    _gaps,
+    _keyed,
+    _leading,
+    _matrix,
+    _rank_codes,
+    _ranked,
+    _routed,
+    pivots,
+)
 from tagweave.session import stage
 from tagweave.sources.tables import publish, published
 
@@ -45,6 +55,8 @@ FEW_ASKERS, ASKER_BLOCKS, BLOCK_ASKERS = 1_024, 32, 16_384
 PACK_MEMBERS = 1_024
 _SCALE = 1 << 24
 _WORKING_VALUES = 4_000_000
+#: Rough distances, and values of pairs, that a task holds at once, few enough for its cache.
+_ROUGH_VALUES, _PAIR_VALUES = 1_000_000, 250_000
 
 
 class CellIndex(NamedTuple):
@@ -264,19 +276,53 @@ def _packed(members: DataFrame) -> DataFrame:
 
 
 def _first_of(row: np.ndarray, gap: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
-    """Places of the first ``most`` of each row by (rounded gap, id), row by row."""
-    order = np.lexsort((np.unique(ids, return_inverse=True)[1], np.round(gap, 9), row))
-    row = row[order]
-    return order[np.arange(len(row)) - np.searchsorted(row, row) < most]
+    """Places of the first ``most`` of each row by (rounded gap, id), row by row and by gap."""
+    gap = np.round(gap, 9)
+
+    def by_id(at: np.ndarray) -> np.ndarray:
+        order = np.lexsort((ids[at] if ids.dtype.kind in "iu" else _rank_codes(ids[at]), gap[at], row[at]))
+        return at[order]
+
+    if not np.isfinite(gap).all():
+        order = by_id(np.arange(len(row)))
+        return order[_leading(row[order], most)]
+    # One key after the other is much faster than all at once; ids only matter where the cut parts equal gaps.
+    order = np.argsort(gap)
+    short = row.astype(np.uint16) if row.max(initial=0) < 1 << 16 else row
+    order = order[np.argsort(short[order], kind="stable")]
+    rows, gaps = row[order], gap[order]
+    kept = _leading(rows, most)
+    parted = np.flatnonzero(kept[:-1] & ~kept[1:] & (rows[:-1] == rows[1:]) & (gaps[:-1] == gaps[1:]))
+    if len(parted):
+        edge = np.full(rows[-1] + 1, np.nan)
+        edge[rows[parted]] = gaps[parted]
+        tied = gaps == edge[rows]
+        order[tied] = by_id(order[tied])
+    return order[kept]
+
+
+def _pair_gaps(queries: np.ndarray, rows: np.ndarray, vectors: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """Squared distances of the given pairs, a bounded number at a time."""
+    out = np.zeros(len(rows))
+    step = max(1, _PAIR_VALUES // max(1, vectors.shape[1]))
+    for at in range(0, len(rows), step):
+        some, gap = slice(at, at + step), out[at : at + step]
+        for place in np.ascontiguousarray(((queries[rows[some]] - vectors[members[some]]) ** 2).T):
+            gap += place  # one by one, as the column function adds
+    return out
 
 
 class _Block:
     """A block of queries while the index streams past: what each has found so far, of codes and then exactly."""
 
+    @np.errstate(over="ignore", invalid="ignore")
     def __init__(self, asks: np.ndarray, vectors: np.ndarray, chosen: np.ndarray, values: np.ndarray, shortlist: int, k: int):
         self.asks, self.vectors, self.chosen, self.shortlist, self.k = asks, vectors, chosen, shortlist, k
         cut = _sliced(vectors, len(values))
         self.tables = [_gaps(cut[:, s], values[s]) for s in range(len(values))]
+        self.values, self.squares = values, (vectors * vectors).sum(axis=1)
+        self.rough = np.ones((len(asks), cut[0].size + 1), dtype=np.float32)
+        self.rough[:, :-1] = cut.reshape(len(asks), -1) * -2
         self.edge = np.full(len(asks), np.inf)
         self.found: list[tuple[np.ndarray, ...]] = []
         self.hits: list[tuple[np.ndarray, ...]] = []
@@ -291,21 +337,38 @@ class _Block:
         last = np.round(gap[kept][np.cumsum(n) - 1], 9)
         self.edge[rows[n == self.shortlist]] = last[n == self.shortlist]
 
+    @np.errstate(over="ignore", invalid="ignore")
     def codes(self, cells: np.ndarray, ids: np.ndarray, known: np.ndarray, code: np.ndarray) -> None:
-        """Members by their codes: those no farther than what a query has ``shortlist`` of are kept."""
+        """Members by their codes: those no farther than what a query has ``shortlist`` of are kept.
+
+        What the tables add up to is, but for their rounding, the squared distance to the vector that a code
+        stands for. A single-precision matrix product makes a list by that, widened by the error bounds so
+        that it is never too short; only what is on it is looked up in the tables.
+        """
+        parts = len(self.values)
+        meant = self.values[np.arange(parts), code].reshape(len(code), -1)
+        own = (meant * meant).sum(axis=1)
+        longest, unit_error = np.sqrt(own.max()), 4 * (meant.shape[1] + 4) * 6e-8
+        block = np.ascontiguousarray(np.column_stack([meant, own]).T, dtype=np.float32)
+        slack = (parts + 1) * 1e-9 + unit_error * (self.squares + np.sqrt(self.squares) * longest + longest * longest)
+        slack[~(self.squares + longest * longest < 1e37)] = np.inf  # too large for a single
         for cell in np.unique(cells):
             here, asking = np.flatnonzero(cells == cell), np.flatnonzero(self.chosen[:, cell])
-            step = max(1, _WORKING_VALUES // len(here))
+            step = max(1, _ROUGH_VALUES // len(here))
             for at in range(0, len(asking), step):
                 rows = asking[at : at + step]
-                gap = np.zeros((len(rows), len(here)))
+                limit = (self.edge[rows] - self.squares[rows] + slack[rows]).astype(np.float32)
+                limit = np.nextafter(np.where(np.isnan(limit), np.inf, limit), np.float32(np.inf), dtype=np.float32)
+                row, member = np.nonzero(~(self.rough[rows] @ block[:, here] > limit[:, None]))
+                row, member = rows[row], here[member]
+                gap = np.zeros(len(row))
                 for s, table in enumerate(self.tables):
-                    gap += table[rows][:, code[here, s]]
-                row, member = np.nonzero(np.round(gap, 9) <= self.edge[rows][:, None])
-                at_member = here[member]
-                self.found.append((rows[row], gap[row, member], cells[at_member], ids[at_member], known[at_member]))
+                    gap += table[row, code[member, s]]
+                near = np.round(gap, 9) <= self.edge[row]
+                row, gap, member = row[near], gap[near], member[near]
+                self.found.append((row, gap, cells[member], ids[member], known[member]))
                 self.pending += len(row)
-                if self.pending > max(_WORKING_VALUES, self.shortlist * len(self.asks)):
+                if self.pending > max(_ROUGH_VALUES // 16, self.shortlist * len(self.asks)):
                     self._cut()
 
     def exact(self, cells: np.ndarray, ids: np.ndarray, known: np.ndarray, vectors: np.ndarray) -> None:
@@ -327,10 +390,7 @@ class _Block:
         member, asking = member[same], row[at[same]]
         for first in range(0, len(member), _WORKING_VALUES):
             some, rows = member[first : first + _WORKING_VALUES], asking[first : first + _WORKING_VALUES]
-            gap = np.zeros(len(some))
-            for place in range(vectors.shape[1]):  # one by one, as the column function adds
-                gap += (self.vectors[rows, place] - vectors[some, place]) ** 2
-            self.hits.append((rows, gap, ids[some]))
+            self.hits.append((rows, _pair_gaps(self.vectors, rows, vectors, some), ids[some]))
             self.pending += len(rows)
         if self.pending > _WORKING_VALUES:
             self._nearest()
@@ -354,22 +414,23 @@ def _in_blocks(
     """``(ask, id, distance)``: of every query the ``k`` nearest of its shortlist, block by block.
 
     A block is a task. It gets its queries, the packed codes of all members, and their packed vectors, in this
-    order, and holds the queries, their shortlists and one pack at a time.
+    order, and holds the queries, their shortlists and one pack at a time. Packs come in the order of a hash, as
+    in the order of cells a query would meet its nearest ones late and list much that they push out again.
     """
     id_type = index.members.schema["id"].dataType
     wide = {"asks": "array<long>", "cells": "array<int>", "ids": f"array<{id_type.simpleString()}>", "codes": "binary", "vectors": "array<float>"}
 
     def shaped(rows: DataFrame, kind: int, block: Column, *names: str) -> DataFrame:
         columns = [F.col(c) if c in names else F.lit(None).cast(wide[c]).alias(c) for c in wide]
-        return rows.select(block.alias("block"), F.lit(kind).alias("kind"), *columns)
+        return rows.select(block.alias("block"), F.lit(kind).alias("kind"), F.xxhash64("ids").alias("turn"), *columns)
 
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     packs = stage(_packed(index.members), "packs")
-    askers = asked.select("ask", F.array("ask").alias("asks"), F.col("vector").alias("vectors"))
+    askers = asked.select("ask", F.array("ask").alias("asks"), F.col("vector").alias("vectors"), F.lit(None).alias("ids"))
     rows = shaped(askers, 0, F.pmod(F.xxhash64("ask"), F.lit(blocks)).cast("int"), "asks", "vectors")
     rows = rows.unionByName(shaped(packs, 1, every, "cells", "ids", "codes"))
     rows = rows.unionByName(shaped(packs, 2, every, "cells", "ids", "vectors"))
-    rows = rows.repartitionById(blocks, "block").sortWithinPartitions("block", "kind")
+    rows = rows.repartitionById(blocks, "block").sortWithinPartitions("block", "kind", "turn").drop("turn")
     values, centres = index.values, index.centres
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

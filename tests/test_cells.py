@@ -92,6 +92,59 @@ def test_many_queries_in_blocks_find_what_few_in_tiles_find(spark, monkeypatch):
             monkeypatch.undo()
 
 
+class Counted(np.ndarray):
+    """An array that counts the values that are looked up in it."""
+
+    looked_up = 0
+
+    def __getitem__(self, at):
+        out = super().__getitem__(at)
+        Counted.looked_up += np.size(out)
+        return out
+
+
+@pytest.mark.parametrize("scale", [1, 1e20])
+def test_only_codes_that_may_count_are_looked_up(monkeypatch, scale):
+    """The shortlist is that of all tables, with equal codes by id, also beyond single precision."""
+    monkeypatch.setattr(c, "_ROUGH_VALUES", 1_600, raising=False)
+    vectors = clustered(2_000, 16).astype(float) * scale
+    queries, values = vectors[::40], c._sliced(vectors[:1_600:100], 8).transpose(1, 0, 2)
+    cells, packed = c._places(vectors, vectors[:1600:400], values)
+    code = np.frombuffer(b"".join(packed), np.uint8).reshape(2_000, 8)
+    chosen = np.ones((50, 4), dtype=bool)
+    chosen[:, 3] = False
+    block = c._Block(np.arange(50), queries, chosen, values, 20, 3)
+    plain = [np.asarray(t) for t in block.tables]
+    Counted.looked_up, block.tables = 0, [t.view(Counted) for t in block.tables]
+    ids = np.random.default_rng(3).permutation(2_000)
+    order = np.random.default_rng(4).permutation(2_000)
+    for at in range(0, 2_000, 100):
+        some = order[at : at + 100]
+        block.codes(cells[some], ids[some], np.ones(100, bool), code[some])
+    block._cut()
+    row, gap, _, found, _ = block.found[0]
+    for query in range(50):
+        every = sum(t[query][code[:, s]] for s, t in enumerate(plain))
+        want = [i for i in np.lexsort((ids, np.round(every, 9))) if cells[i] < 3][:20]
+        assert set(found[row == query]) == set(ids[want])
+        assert np.array_equal(np.sort(gap[row == query]), np.sort(every[want]))
+    if scale == 1:
+        assert Counted.looked_up < 0.4 * 8 * 50 * (cells < 3).sum()
+
+
+def test_first_of_rows_with_many_ties():
+    rng = np.random.default_rng(5)
+    row, gap = rng.integers(0, 30, 3_000), rng.integers(0, 6, 3_000) / 3 + 1e-12
+    for ids in (rng.integers(0, 500, 3_000), rng.permutation(3_000).astype(str).astype(object)):
+        for kind in (gap, np.where(rng.random(3_000) < 0.9, np.nan, gap)):
+            want = sorted(range(3_000), key=lambda i: (row[i], np.isnan(kind[i]), np.nan_to_num(round(kind[i], 9)), ids[i]))
+            want = [i for at, i in enumerate(want) if at < 7 or row[want[at - 7]] != row[i]]
+            got = c._first_of(row, kind, ids, 7)
+            key = lambda i: (row[i], repr(round(kind[i], 9)), ids[i])
+            assert sorted(map(key, got)) == sorted(map(key, want))
+            assert np.array_equal(row[got], np.sort(row[got]))
+
+
 def test_a_shortlist_of_many_queries_is_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(c, "FEW_ASKERS", 0)
     vectors = clustered(200)
