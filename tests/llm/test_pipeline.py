@@ -12,6 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
 from compare import connect, difference  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
+from tagweave.llm import simhash  # noqa: E402
 from tagweave.llm.queries import CHECKS, QUERIES  # noqa: E402
 from tagweave.session import stage  # noqa: E402
 
@@ -50,3 +51,19 @@ def test_run_and_empty_tables(spark, tmp_path):
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{SF_DIR}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_copies_send_no_exploded_table_to_the_driver(spark, monkeypatch):
+    """The plan that writes the links in the stage of the pipeline."""
+    plans = {}
+
+    def kept(df, label, *partition_by):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, label, *partition_by)
+
+    monkeypatch.setattr(simhash, "stage", kept)
+    rows = [(i, f"a{i} b{i} c{i}") for i in range(50)]
+    docs = stage(spark.createDataFrame(rows, "doc_id long, text string"), "test")
+    assert corpus_pipeline.drop_near_copies(spark, docs, SF_DIR).count() == 50
+    assert "Generate explode" in plans["links"] and "SortMergeJoin" in plans["links"]
+    assert "BroadcastExchange" not in plans["links"]
